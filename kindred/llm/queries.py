@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import quality
+from kindred.llm import exactfit, mixing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.result(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules,)}
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.result(table(spark, sf_dir, "documents"))
+
+
+def op5_exact_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactfit.packed(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_mixing, op5_exact_fit_packing, op7_quality_rules)}
 
 SQL: dict[str, str] = {}
