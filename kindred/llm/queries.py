@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import exactfit, mixing, quality
+from kindred.llm import exactfit, mixing, near, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op5_exact_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactfit.packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op5_exact_fit_packing, op7_quality_rules)}
+def op8_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.grouped(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_mixing, op5_exact_fit_packing, op7_quality_rules, op8_bottom_k_near_dedup)}
 
 SQL: dict[str, str] = {}
