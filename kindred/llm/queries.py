@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import exactfit, mixing, near, quality
+from kindred.llm import exactfit, lm, mixing, near, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.result(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.result(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op8_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.grouped(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op5_exact_fit_packing, op7_quality_rules, op8_bottom_k_near_dedup)}
+def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.result(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_deleted_interpolation, op3_mixing, op5_exact_fit_packing, op7_quality_rules, op8_bottom_k_near_dedup, op10_compression_toxicity)}
 
 SQL: dict[str, str] = {}
