@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import bestfit, chat, exactfit, lm, mixing, near, quality, toxicity, urls
+from kindred.llm import bestfit, chat, exactfit, graph, lm, mixing, near, quality, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_pruned_graph_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.grouped(table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.result(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +51,20 @@ def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.result(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_decreasing, op2_deleted_interpolation, op3_mixing, op4_url_filter, op5_exact_fit_packing, op7_quality_rules, op8_bottom_k_near_dedup, op9_chat_formatting, op10_compression_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_decreasing,
+        op2_deleted_interpolation,
+        op3_mixing,
+        op4_url_filter,
+        op5_exact_fit_packing,
+        op6_pruned_graph_near_dedup,
+        op7_quality_rules,
+        op8_bottom_k_near_dedup,
+        op9_chat_formatting,
+        op10_compression_toxicity,
+    )
+}
 
 SQL: dict[str, str] = {"op9_chat_formatting": chat.SQL}
