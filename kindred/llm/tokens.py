@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
 END_ID = 1
 #: Words whose ids a worker keeps (about 150 MB); beyond it the cache starts anew, which costs time only.
 CACHE = 600_000
+#: Letters, then marks that the tokenizer parts from letters and keeps together.
+_PLAIN = re.compile(r"([^\W\d_]+)([.,!?;:%&$#*|]*)")
 _LOADED: dict[str, "Encoder"] = {}
 
 
@@ -26,8 +29,41 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
 
+    def _each(self, words: list[str]) -> None:
+        for word, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
+            self.known[word] = np.asarray(e.ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Words of letters are encoded in one text and parted at the ids that end words; if their number is not that of the words, and for all others, one by one."""
+        plain, rest = [], []
+        for w in words:
+            m = _PLAIN.fullmatch(w)
+            if m and m[1].isalpha():
+                plain.append((w, m[1], m[2]))
+            else:
+                rest.append(w)
+        letters = [x for x in {x[1] for x in plain} if x not in self.known]
+        if letters:
+            ids = np.asarray(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(letters) and cuts[-1] == len(ids):
+                data, at = ids.tobytes(), 0
+                for word, cut in zip(letters, (4 * cuts).tolist(), strict=True):
+                    self.known[word] = data[at:cut]
+                    at = cut
+            else:
+                self._each(letters)
+        rest += [x for x in {x[2] for x in plain} if x not in self.known]
+        if rest:
+            self._each(rest)
+        for word, start, marks in plain:
+            self.known[word] = self.known[start] + self.known[marks]
+
     def ids(self, text: str | None) -> bytes:
         """The ids of a whole text (null: none) and the end id, 4 bytes each."""
         parts = (text or "").replace("\n", " ").split(" ")
@@ -35,10 +71,8 @@ class Encoder:
         if new:
             if len(self.known) + len(new) > CACHE:
                 self.known = {"": b""}
-                new = set(parts)
-            new = [x for x in new if x]
-            for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[word] = np.asarray(e.ids, "<u4").tobytes()
+                new = set(parts) - {""}
+            self._learn(list(new))
         return b"".join(map(self.known.__getitem__, parts)) + END_ID.to_bytes(4, "little")
 
 
