@@ -53,7 +53,7 @@ def links_by_source(truth: DataFrame) -> DataFrame:
 def country_shift(records: DataFrame) -> DataFrame:
     """records with `split` (train, test): rows and shares of each country by source and over all sources, the change in percentage points, and whether only test has it."""
     every = records.select("split", "source", "country").unionByName(records.select("split", F.lit("ALL").alias("source"), "country"))
-    n = every.groupBy("source", "country").pivot("split", ["train", "test"]).agg(F.count("*")).fillna(0, ["train", "test"])
+    n = every.groupBy("source", "country").pivot("split", ["train", "test"]).agg(F.count(F.lit(1))).fillna(0, ["train", "test"])
     w = Window.partitionBy("source")
     share = lambda s: F.coalesce(F.try_divide(F.col(s).cast("double"), F.sum(s).over(w).cast("double")), F.lit(0.0))
     n = n.withColumns({"train_share": share("train"), "test_share": share("test")})

@@ -57,7 +57,7 @@ def read_source(spark: SparkSession, path: str, source: str) -> DataFrame:
 
 def parse_targets(raw: Column) -> Column:
     """The sorted ids of a comma list; an empty cell is an empty list; an empty item, a foreign prefix or a repeated id is an error."""
-    items = F.transform(F.split(raw, ","), F.trim)
+    items = F.transform(F.split(raw, ","), lambda x: F.trim(x))
     empty = F.trim(raw) == ""
     valid = F.forall(items, lambda x: x.rlike(r"^S[23]-.+$")) & (F.size(F.array_distinct(items)) == F.size(items))
     error = F.raise_error(F.concat(F.lit("invalid list of matched ids: "), raw)).cast("array<string>")
