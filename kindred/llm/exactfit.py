@@ -41,11 +41,12 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, width: int = WIDTH, wi
                 ids = enc.ids(text)
                 for k, at in enumerate(range(0, len(ids), 4 * width)):
                     part = ids[at : at + 4 * width]
-                    rows.append((None if pd.isna(doc_id) else int(doc_id), k, at // 4, len(part) // 4, zlib.crc32(part), *([part] * with_ids)))
-            yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *([part] * with_ids)))
+            yield pd.DataFrame(rows, columns=columns)
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text")).mapInPandas(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
+    out = docs.select(F.col("doc_id").cast("string"), F.col("text")).mapInPandas(cut, "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
+    return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))  # as text to Python and back: numbers with nulls among them become floating in pandas
 
 
 def _exact(counts: np.ndarray, used: dict[int, int], gap: int, sums: dict) -> list[int] | None:
@@ -151,6 +152,8 @@ def packed(docs: DataFrame, tokenizer: str | None = None, width: int = WIDTH, wi
     table = spark.sparkContext.broadcast(places(solve(histogram, width)))
     kept = [c for c in cut.columns]
 
+    kept_types = [(c, "string" if c == "doc_id" else t) for c, t in cut.dtypes]
+
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = table.value
         order = (at[:, 0] << 44) + at[:, 1]
@@ -160,5 +163,6 @@ def packed(docs: DataFrame, tokenizer: str | None = None, width: int = WIDTH, wi
             i = rank - row[:, 1]
             yield batch[kept].assign(sequence_id=row[:, 2] + i // np.maximum(row[:, 3], 1), offset=row[:, 4] + i % np.maximum(row[:, 3], 1) * length)
 
-    schema = ", ".join(f"{c} {t}" for c, t in cut.dtypes) + ", sequence_id bigint, offset bigint"
-    return ranked(cut).select(*kept, "rank").mapInPandas(place, schema)
+    schema = ", ".join(f"{c} {t}" for c, t in kept_types) + ", sequence_id bigint, offset bigint"
+    out = ranked(cut).withColumn("doc_id", F.col("doc_id").cast("string")).select(*kept, "rank").mapInPandas(place, schema)
+    return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))

@@ -58,9 +58,9 @@ def vectors(embeddings: DataFrame) -> DataFrame:
                 v = None if e is None else np.array([np.nan if x is None else x for x in e], np.float32)
                 ok = v is not None and len(v) and np.isfinite(v).all() and 0 < np.linalg.norm(v.astype(np.float64)) < np.inf
                 out.append(v.tobytes() if ok else None)
-            yield pd.DataFrame({"vec_id": batch["vec_id"].astype("Int64"), "vector": out})
+            yield pd.DataFrame({"vec_id": batch["vec_id"], "vector": out})
 
-    packed = embeddings.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<float>")).mapInPandas(pack, "vec_id bigint, vector binary")
+    packed = embeddings.select(F.col("vec_id").cast("string"), F.col("embedding").cast("array<float>")).mapInPandas(pack, "vec_id string, vector binary").withColumn("vec_id", F.col("vec_id").cast("bigint"))
     return packed.withColumn("class", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")))
 
 
@@ -196,7 +196,7 @@ def linked(classes: DataFrame, n: int, threshold: float = 0.95, slack: float = 0
     united = stored(lists.groupBy("class").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))  # at most `overlap` bounded lists each
 
     def find(key, asked: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
-        columns = ["class", "n_links", "other"]
+        columns = ["class", "n_links", "other", "count"]
         if not len(asked) or not len(nodes):
             return pd.DataFrame(columns=columns)
         shard, names, v = key[0], nodes["node"].to_numpy(np.int64), _unit(nodes["node_vector"].tolist())
@@ -223,14 +223,16 @@ def linked(classes: DataFrame, n: int, threshold: float = 0.95, slack: float = 0
                 if a != b:
                     parent[b] = a
                     edges.append((int(asked_names[q]), None, h))
-        return pd.concat([pd.DataFrame({"class": asked_names, "n_links": counts, "other": None}), pd.DataFrame(edges, columns=columns)]).astype({"n_links": "Int64", "other": "Int64"})
+        a, b = (np.array([e[k] for e in edges], np.int64) for k in (0, 2))
+        kind, none = np.repeat([True, False], [len(asked), len(a)]), np.zeros(len(a), np.int64)
+        return pd.DataFrame({"class": np.concatenate([asked_names, a]), "n_links": np.concatenate([counts, none]), "other": np.concatenate([np.zeros(len(asked), np.int64), b]), "count": kind})
 
     pairs = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     asked = pairs.select(*[F.col(c).alias(a) for c, a in (("shard", "s"), ("block", "of"), ("with", "in"), ("class", "class"), ("vector", "vector"), ("shards", "shards"))])
     nodes = pairs.join(united, "class").select(*[F.col(c).alias(a) for c, a in (("shard", "t"), ("with", "nodes_of"), ("block", "nodes_in"), ("class", "node"), ("vector", "node_vector"), ("copies", "copies"), ("shards", "node_shards"), ("near", "near"))])
-    found = stored(asked.groupBy("s", "of", "in").cogroup(nodes.groupBy("t", "nodes_of", "nodes_in")).applyInPandas(find, "class bigint, n_links bigint, other bigint"))
-    counts = found.filter("other IS NULL").groupBy("class").agg(F.sum("n_links").alias("n_links"))
-    return counts, found.filter("other IS NOT NULL").select(F.col("class").alias("a"), F.col("other").alias("b"))
+    found = stored(asked.groupBy("s", "of", "in").cogroup(nodes.groupBy("t", "nodes_of", "nodes_in")).applyInPandas(find, "class bigint, n_links bigint, other bigint, count boolean"))
+    counts = found.filter("count").groupBy("class").agg(F.sum("n_links").alias("n_links"))
+    return counts, found.filter("NOT count").select(F.col("class").alias("a"), F.col("other").alias("b"))
 
 
 def audited(classes: DataFrame, counts: DataFrame, threshold: float = 0.95) -> float:

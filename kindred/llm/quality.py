@@ -39,7 +39,6 @@ SHARES = {
     "repeat_share": ("n_repeat_words", "n_words"),
     "long_words": ("word_chars", "n_words"),
 }
-EMPTY_LONGS = F.array().cast("array<bigint>")
 
 
 def _covered(windows: Column) -> Column:
@@ -74,7 +73,7 @@ def with_measures(docs: DataFrame, text_col: str = "text", stratum: str = "lang"
         "n_dup_lines": F.size(q("lines")) - F.size(F.array_distinct(q("lines"))),
         "n_bangs": occurrences(q("text"), "!"),
         "n_upper": F.regexp_count(q("text"), F.lit(r"\p{Lu}")),
-        "hashes": F.when(F.size(q("words")) > WINDOW, F.transform(F.sequence(F.lit(0), F.size(q("words")) - WINDOW), lambda i: F.xxhash64(*[F.get(q("words"), i + k) for k in range(WINDOW)]))).otherwise(EMPTY_LONGS),
+        "hashes": F.when(F.size(q("words")) > WINDOW, F.transform(F.sequence(F.lit(0), F.size(q("words")) - WINDOW), lambda i: F.xxhash64(*[F.get(q("words"), i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>")),
     }
     d = d.withColumns({f"_q_{k}": v if k == "hashes" else v.cast("bigint") for k, v in counts.items()}).drop("_q_words", "_q_flat", "_q_lines", "_q_text")
     d = d.withColumn("_q_windows", F.when(F.size(F.array_distinct(q("hashes"))) < F.size(q("hashes")), F.sort_array(F.transform(q("hashes"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))

@@ -64,7 +64,7 @@ def word_hashes(texts: Iterable[str | None], lower: bool = True) -> Iterator[np.
     for text in texts:
         data = (text or "").encode("utf-8", "surrogatepass")
         data = data.lower() if lower else data  # bytes: A-Z alone
-        if size + len(data) + 1 > BLOCK and waiting:
+        if waiting and (size + len(data) + 1 > BLOCK or len(data) > BLOCK // 2):
             yield from done()
             waiting, size = [], 0
         if len(data) > BLOCK // 2:

@@ -43,7 +43,7 @@ class Encoder:
         plain, rest = [], []
         for w in words:
             m = _PLAIN.fullmatch(w)
-            if m and m[1].isalpha():
+            if m and m[1].lower().isalpha():  # a letter that leaves a mark when lower-cased would join what follows
                 plain.append((w, m[1], m[2]))
             else:
                 rest.append(w)

@@ -178,8 +178,8 @@ def scored(docs: DataFrame, model: Model, folds: int = 5) -> DataFrame:
         for batch in batches:
             yield batch[["doc_id", "held_out"]].assign(score=scorer.scores(batch["text"]))
 
-    out = docs.select(F.col("doc_id").cast("bigint"), (fold(F.col("doc_id"), folds) == 0).alias("held_out"), F.col("text"))
-    return out.mapInPandas(score, "doc_id bigint, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    out = docs.select(F.col("doc_id").cast("string"), (fold(F.col("doc_id"), folds) == 0).alias("held_out"), F.col("text"))
+    return out.mapInPandas(score, "doc_id string, held_out boolean, score double").withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
