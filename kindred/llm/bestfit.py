@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from kindred.llm import tokens
 
 WIDTH = 4096
-#: Ids gathered before they are packed: 32 MB at 4 bytes.
-BUFFER = 8 << 20
+#: Ids gathered before they are packed: 8 MB at 4 bytes.
+BUFFER = 2 << 20
 SCHEMA = "sequence_id bigint, n_tokens int, n_segments int, doc_ids array<bigint>, pieces array<int>, starts array<bigint>, cu_seqlens array<int>, input_ids binary, position_ids binary"
 
 
@@ -104,19 +104,19 @@ def packed(docs: DataFrame, tokenizer: str | None = None, width: int = WIDTH, bu
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = enc.ids(text)
                 for k, at in enumerate(range(0, len(ids), 4 * width)):
-                    waiting.append((None if pd.isna(doc_id) else int(doc_id), k, at // 4, ids[at : at + 4 * width]))
+                    waiting.append((None if doc_id is None else int(doc_id), k, at // 4, ids[at : at + 4 * width]))
                     size += len(waiting[-1][3]) // 4
                     if size >= buffer:
                         out = _rows(waiting, width, made, kind)
                         made, waiting, size = made + len(out), [], 0
-                        for a in range(0, len(out), 512):
-                            yield out.iloc[a : a + 512]
+                        for a in range(0, len(out), 64):
+                            yield out.iloc[a : a + 64]
         if waiting:
             out = _rows(waiting, width, made, kind)
-            for a in range(0, len(out), 512):
-                yield out.iloc[a : a + 512]
+            for a in range(0, len(out), 64):
+                yield out.iloc[a : a + 64]
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text")).mapInPandas(pack, SCHEMA)
+    return docs.select(F.col("doc_id").cast("string"), F.col("text")).mapInPandas(pack, SCHEMA)
 
 
 def unpacked(sequences: DataFrame, kind: str = "<u2") -> DataFrame:
