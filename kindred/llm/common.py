@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that separates words: space and the code points 9 to 13.
@@ -68,8 +68,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.unionByName(e.filter("a = b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        e = stored(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        e = stored(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")))
+        now = (seen.get["n"], seen.get["h"])
         if now == before:
             return e.filter("a <> b").select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).distinct()
         before = now

@@ -8,7 +8,10 @@
    the common values of a passage that stands in many documents open no candidates at all.
 3. Only links between different components matter. A few rounds link each class to the class it shares most with among
    the lists' hubs (one member a list), so a group of g near copies costs about g pairs a round, not its square. Lists
-   whose members then are in one component are done; of the others all pairs across components follow.
+   whose members then are in one component are done. For the classes in the others the lists are made anew, from the
+   rarest quarter of their full sets (the exact prefix filter: a passage in many documents opens nothing unless it is
+   three quarters of them); after one more round, all pairs across components that these lists still hold follow, unless
+   their sizes, the places of the shared value in both, or the parities of their hashes rule the similarity out.
 4. Every pair is filtered by the estimate from the union of the two sketches and verified on the full sets.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and link with nothing; fewer than five
@@ -23,7 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import shingles
@@ -41,6 +45,13 @@ def _sets(texts, n: int) -> Iterator[np.ndarray]:
         yield np.unique(shingles.runs(words, n))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], n: int = 256) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time: a batch's texts are not all Python strings at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
+
+
 def _class(whole: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "little", signed=True)
 
@@ -48,13 +59,14 @@ def _class(whole: bytes) -> int:
 def sketches(docs: DataFrame, k: int = K, words: int = 5) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, class (a digest of the set; null if empty) and sketch (the k smallest hashes, 8 bytes each)."""
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(len(s), _class(s.tobytes()) if len(s) else None, s[:k].tobytes()) for s in _sets(batch["text"], words)]
-            out = pd.DataFrame(rows, columns=["n_shingles", "class", "sketch"]).astype({"class": "Int64"})
-            yield pd.concat([batch[["doc_id"]].astype("Int64").reset_index(drop=True), out], axis=1)
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            rows = [(len(s), _class(s.tobytes()) if len(s) else 0, s[:k].tobytes()) for s in _sets(part["text"].to_pylist(), words)]
+            n, c, s = (pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary())))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], n, c, s], ["doc_id", "n_shingles", "class", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text")).mapInPandas(sketch, "doc_id bigint, n_shingles bigint, class bigint, sketch binary")
+    out = docs.select(F.col("doc_id").cast("bigint"), F.col("text")).mapInArrow(sketch, "doc_id bigint, n_shingles bigint, class bigint, sketch binary")
+    return out.withColumn("class", F.when(F.col("n_shingles") > 0, F.col("class")))
 
 
 def postings(classes: DataFrame, share: float = SHARE) -> DataFrame:
@@ -65,16 +77,57 @@ def postings(classes: DataFrame, share: float = SHARE) -> DataFrame:
             yield pd.DataFrame({"value": np.frombuffer(b"".join(batch["sketch"]), np.int64), "class": np.repeat(batch["class"].to_numpy(np.int64), sizes), "size": np.repeat(sizes, sizes)})
 
     every = classes.select("class", "sketch").mapInPandas(values, "value bigint, class bigint, size bigint")
-    often = every.groupBy("value").agg(F.count("*").alias("often")).filter("often > 1")
-    shared = every.join(often, "value")
-    # One row a class: at most k values each. The rarest first; those that no other class has come before all and need no row.
-    lists = shared.groupBy("class", "size").agg(F.array_sort(F.collect_list(F.struct("often", "value"))).alias("v"))
-    needed = F.greatest(F.lit(1), F.floor(F.col("size") * share)).cast("int")
-    return lists.withColumn("first", F.size("v") - needed + 1).filter("first > 0").select("class", F.explode(F.slice("v", F.lit(1), F.col("first"))).alias("x")).select("x.value", "class")
+    return _rarest(every, F.greatest(F.lit(1), F.floor(F.col("size") * share)).cast("int"))
+
+
+def _rarest(values: DataFrame, needed: Column) -> DataFrame:
+    """(value, class, size, place): of each class the size - needed + 1 rarest values and their places in that order. values: value, class, size. Values of one class only come first in that order and need no row."""
+    often = values.groupBy("value").agg(F.count("*").alias("often")).filter("often > 1")
+    shared = values.join(often, "value")
+    lists = shared.groupBy("class", "size").agg(F.array_sort(F.collect_list(F.struct("often", "value"))).alias("v"))  # at most a set's size each
+    lists = lists.withColumn("first", F.size("v") - needed + 1).filter("first > 0")
+    place = (F.col("size") - F.size("v") + F.col("i") + 1).cast("int").alias("place")
+    return lists.select("class", "size", "v", F.posexplode(F.slice("v", F.lit(1), F.col("first"))).alias("i", "x")).select("x.value", "class", "size", place)
+
+
+def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int = 5) -> DataFrame:
+    """(class, set) with the sorted hashes, 8 bytes each, of the classes in wanted. One document of each is read again."""
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            whole = [s for s in (x.tobytes() for x in _sets(part["text"].to_pylist(), words)) if s]
+            yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in whole], pa.int64()), pa.array(whole, pa.binary())], ["class", "set"])
+
+    ids = classes.join(wanted, "class", "left_semi").select("doc_id").distinct()
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    return texts.mapInArrow(full, "class bigint, set binary").join(wanted, "class", "left_semi").dropDuplicates(["class"])
+
+
+def prefix_postings(sets: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """(value, class) of the rarest hashes of full sets, as many as two sets of that similarity cannot miss each other by; hashes of one set only are left out."""
+
+    def every(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = batch["set"].str.len().to_numpy(np.int64) // 8
+            yield pd.DataFrame({"value": np.frombuffer(b"".join(batch["set"]), np.int64), "class": np.repeat(batch["class"].to_numpy(np.int64), sizes), "size": np.repeat(sizes, sizes)})
+
+    values = sets.mapInPandas(every, "value bigint, class bigint, size bigint")
+    return _rarest(values, F.ceil(F.col("size") * F.lit(threshold)).cast("int"))
+
+
+def parities(sets: DataFrame) -> DataFrame:
+    """(class, bits): 512 bits, each the parity of how many of a set's hashes fall on it. The bits in which two sets differ are at most the hashes in which they differ."""
+
+    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            odd = [np.packbits(np.bincount((np.frombuffer(x, np.uint64) & np.uint64(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1).view(np.int64).tolist() for x in batch["set"]]
+            yield pd.DataFrame({"class": batch["class"], "bits": odd})
 
+    return sets.mapInPandas(bits, "class bigint, bits array<bigint>")
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float = 0.75, margin: float = MARGIN, words: int = 5) -> DataFrame:
-    """Those of pairs (a, b) of classes whose full sets have a Jaccard similarity of threshold or more. classes: class, n_shingles, sketch, doc_id (one document of each class)."""
+
+def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float = 0.75, margin: float = MARGIN) -> DataFrame:
+    """Those of pairs (a, b) of classes whose full sets have a Jaccard similarity of threshold or more. classes: class, n_shingles, sketch; sets: class, set."""
     top, bottom = round(threshold * 1000), 1000
 
     def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,25 +137,13 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: f
                 a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 union = np.union1d(a, b)
                 size = len(union) if max(n, m) <= max(len(a), len(b)) else min(len(a), len(b))
-                last = union[min(size, len(union)) - 1]
                 both = np.intersect1d(a, b, assume_unique=True)
-                keep.append((both <= last).sum() >= (threshold - margin) * size)
+                keep.append((both <= union[size - 1]).sum() >= (threshold - margin) * size)
             yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
     side = lambda x: classes.select(F.col("class").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") * bottom >= F.greatest("na", "nb") * top)
-    near = stored(sized.mapInPandas(close, "a bigint, b bigint"))
-
-    def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            whole = [(c, s) for s in (x.tobytes() for x in _sets(batch["text"], words)) if s and (c := _class(s)) is not None]
-            yield pd.DataFrame(whole, columns=["class", "set"])
-
-    wanted = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    ids = classes.join(wanted, "class", "left_semi").select("doc_id", F.col("class").alias("wanted"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = texts.mapInPandas(full, "class bigint, set binary").join(wanted, "class", "left_semi").dropDuplicates(["class"])
-    sets = stored(sets)
+    near = sized.mapInPandas(close, "a bigint, b bigint")
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -127,30 +168,39 @@ def _hubs(lists: DataFrame, salt: int) -> DataFrame:
 
 
 def _open(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """lists (value, class) with the component of each class, without those that lie in one component."""
+    """lists (value, class, …) with the component of each class, without those that lie in one component."""
     c = lists.withColumn("component", F.col("class")) if labels is None else lists.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    c = stored(c)
     split = c.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("value")
-    return stored(c.join(split, "value", "left_semi"))
+    return stored(c.join(split, "value", "left_semi"))  # value, class, size, place, component
 
 
 def class_components(docs: DataFrame, classes: DataFrame, threshold: float = 0.75, rounds: int = ROUNDS, words: int = 5) -> DataFrame:
     """(node, component) of the classes that link with another class."""
     lists = stored(postings(classes))
+    sets = stored(full_sets(docs, classes, lists.select("class").distinct(), words))
     links = tried = labels = None
-    for k in range(rounds + 1):
-        lists = _open(lists.select("value", "class"), labels)
+    last = rounds + 1  # one round with hubs on the second lists, then what they leave open
+    for k in range(last + 1):
+        lists = _open(lists.drop("component"), labels)
         if lists.isEmpty():
             break
-        if k < rounds:
+        if k == rounds:
+            lists = _open(prefix_postings(sets.join(lists.select("class").distinct(), "class", "left_semi"), threshold), labels)
+        if k < last:
             pairs = _hubs(lists, k)
         else:
-            x, y = (lists.select("value", F.col("class").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
-            pairs = x.join(y, "value").filter("a < b AND ca <> cb").select("a", "b").distinct()
+            held = lists.join(parities(sets.join(lists.select("class").distinct(), "class", "left_semi")), "class").select("value", "class", "component", "size", "place", *[F.col("bits")[i].alias(f"w{i}") for i in range(8)])
+            x, y = (held.select("value", F.col("class").alias(s), F.col("component").alias(f"c{s}"), F.col("size").alias(f"n{s}"), F.col("place").alias(f"p{s}"), *[F.col(f"w{i}").alias(f"w{i}{s}") for i in range(8)]) for s in "ab")
+            sizes = f"least(na, nb) >= {threshold!r} * greatest(na, nb) - 1e-6"
+            enough = f"1 + least(na - pa, nb - pb) >= {threshold / (1 + threshold)!r} * (na + nb) - 1e-6"  # what can still be common after the place of this value
+            differ = f"{' + '.join(f'bit_count(w{i}a ^ w{i}b)' for i in range(8))} <= {(1 - threshold) / (1 + threshold)!r} * (na + nb) + 1e-6"
+            pairs = x.join(y, "value").filter(f"a < b AND ca <> cb AND {sizes} AND {enough} AND {differ}").select("a", "b").distinct()
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = verified(pairs, classes, docs, threshold, words=words)
-        links = found if links is None else links.unionByName(found)
+        found = verified(pairs, classes, sets, threshold)
         tried = pairs if tried is None else tried.unionByName(pairs)
+        if found.isEmpty():
+            continue
+        links = found if links is None else links.unionByName(found)
         labels = stored(components(links))
     return labels if labels is not None else classes.sparkSession.createDataFrame([], "node bigint, component bigint")
 

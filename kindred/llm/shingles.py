@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Texts are hashed in blocks of about so many bytes, which bounds memory whatever a text's length.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _tables: dict[str, np.ndarray] = {}
 
