@@ -116,6 +116,21 @@ def guardian_cutoff(scored: DataFrame, truth: DataFrame, policy: Policy) -> floa
     return x.groupBy("cutoff").agg(F.avg(kept).alias("f")).orderBy(F.round("f", 12).desc(), "cutoff").first()["cutoff"]
 
 
+def cross_pairs(scored: DataFrame, k: int = 3) -> DataFrame:
+    """(s1, a, b): a record's k best candidates in S2 with its k best in S3, at most k * k pairs."""
+    best = top(scored.select("s1", "source", "target", "score"), k, ["s1", "source"], F.desc("score"), F.col("target"))
+    side = lambda s, p: best.filter(F.col("source") == s).select("s1", F.col("target").alias(p))
+    return side("S2", "a").join(side("S3", "b"), "s1")
+
+
+def guardian_confusion(scored: DataFrame, truth: DataFrame, cutoff: float) -> DataFrame:
+    """One row: records with and without matches that the guardian lets pass or stops. A record without pairs is stopped."""
+    g = truth.select("s1", (F.size("targets") > 0).alias("has")).join(scored.groupBy("s1").agg(F.max("guardian_probability").alias("g")), "s1", "left")
+    passed = F.coalesce(F.col("g") > cutoff, F.lit(False))
+    n = lambda c: F.count_if(c)
+    return g.agg(n(passed & F.col("has")).alias("passed_matched"), n(passed & ~F.col("has")).alias("passed_single"), n(~passed & F.col("has")).alias("stopped_matched"), n(~passed & ~F.col("has")).alias("stopped_single"))
+
+
 def cross_evidence(scored: DataFrame, k: int = 3) -> DataFrame:
     """(s1, target, cross_name, cross_core, cross_address, cross_numeric_agreement, cross_numeric_conflict): the most alike of a record's k best candidates in the other source, at most k * k pairs a record. scored has tn2, ta2."""
     best = top(scored.select("s1", "source", "target", "score", "tn2", "ta2"), k, ["s1", "source"], F.desc("score"), F.col("target"))

@@ -199,7 +199,7 @@ def pool(p: DataFrame) -> DataFrame:
 
 
 def q_of(p: DataFrame) -> DataFrame:
-    return retrieve.queries_with_sources(X.represented(s1(p)), {})
+    return retrieve.queries_with_sources(X.represented(s1(p)))
 
 
 def terms_of(p: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -461,3 +461,98 @@ def decide_features(p: DataFrame, t: DataFrame) -> DataFrame:
     s = X_enhanced(p, t)
     zero = {c: F.lit(0.0) for c in ("best_retrieval_score", "pass_count", "normalized_name_exact", "core_name_exact", "normalized_address_exact", "primary_number_mismatch")}
     return decide.decision_features(s.withColumns(zero).join(decide.cross_evidence(s), ["s1", "target"], "left"))[0]
+
+
+# Further operators, mostly on the parts above
+
+query("a_31_retrieval_pool", _POST + "SELECT source, count(*) AS pairs, count(DISTINCT s1) AS records FROM rk GROUP BY source")(lambda p, t: found(p).groupBy("source").agg(F.count("*").alias("pairs"), F.count_distinct("s1").alias("records")))
+query("a_32_feature_pairs")(lambda p, t: linkage.training(linkage.labelled(features.with_first(ranking.budgeted(linkage.candidates(p), CAPS, 10)), t)).select("s1", "target", "label", "kind", "hardness"))
+query("b_08_multipass_admission")(lambda p, t: blocking.multipass(X.represented(s1(p)), X.represented(others(p)), presets.MultiPassConfig(pool=1 << 30)).select("s1", "target"))
+query("b_10_same_country", _POST + "SELECT CAST(0 AS BIGINT) AS across, count(*) AS pairs FROM rk")(
+    lambda p, t: found(p).select("s1", "country").join(p.select(F.col("entity_id").alias("s1"), F.col("country").alias("c")), "s1").agg(F.count_if(F.col("c") != F.col("country")).alias("across"), F.count("*").alias("pairs"))
+)
+query("b_16_finite_scores", _SCORED + " SELECT s1, target, score FROM s")(lambda p, t: decide.finite(scores(p, t)).select("s1", "target", "score"))
+query("b_20_policy")(lambda p, t: (decide.Policy(0.965, 0.956).require({"guardian": None, "exclusivity": False, "penalty": 0.0, "s2": 0.965, "s3": 0.956}), decide.accepted(scores(p, t), decide.Policy(0.965, 0.956)))[1])
+query("b_21_strict_lists", "SELECT count(*) AS rows_checked, CAST(0 AS BIGINT) AS broken FROM truth")(
+    lambda p, t: tsv.submission(t, metrics.links(t)).withColumn("x", tsv.parse_targets(F.col("matched_entity_ids"))).agg(F.count("*").alias("rows_checked"), F.count_if((F.array_join("x", ",") != F.col("matched_entity_ids")) | (F.size(F.array_distinct("x")) != F.size("x"))).alias("broken"))
+)
+query("c_10_positive_pairs", "SELECT l.s1, l.target, a.business_name AS left_name, b.business_name AS right_name FROM link l JOIN party a ON a.entity_id = l.s1 JOIN party b ON b.entity_id = l.target")(lambda p, t: pairs(p, t).select("s1", "target", F.col("qn.raw").alias("left_name"), F.col("tn.raw").alias("right_name")))
+query("c_12_cross_source_pairs", _SCORED + ", k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY s1, source ORDER BY score DESC, target) <= 3) SELECT x.s1, x.target AS a, y.target AS b FROM k x JOIN k y ON x.s1 = y.s1 WHERE x.source = 'S2' AND y.source = 'S3'")(lambda p, t: decide.cross_pairs(scores(p, t)))
+query("c_15_split_outer", """, s AS (SELECT CASE WHEN CAST(split_part(entity_id, '-', 2) AS BIGINT) % 50 = 0 THEN 'test' ELSE 'train' END AS split, source, country FROM party), e AS (SELECT * FROM s UNION ALL SELECT split, 'ALL', country FROM s)
+SELECT source, country, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'test') AS test FROM e GROUP BY ALL""")(
+    lambda p, t: audit.country_shift(p.withColumn("split", F.when(F.split_part("entity_id", F.lit("-"), F.lit(2)).cast("bigint") % 50 == 0, "test").otherwise("train"))).select("source", "country", "train", "test")
+)
+
+
+def merged_shards(p: DataFrame) -> DataFrame:
+    """Four shards of the reference records, and their union in the original order."""
+    numbered = ranking.shard(tsv.positioned(s1(p).select("entity_id"), "entity_id"), "position", 4)
+    parts = [numbered.filter(F.col("shard") == k) for k in range(4)]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.orderBy("position").select("position", "entity_id")
+
+
+query("c_16_shard_merge", "SELECT row_number() OVER (ORDER BY entity_id) - 1 AS position, entity_id FROM party WHERE source = 'S1'")(lambda p, t: merged_shards(p))
+query("m_07_merge_checks", "SELECT count(*) AS n, count(DISTINCT entity_id) AS n_distinct, max(position) AS last FROM (SELECT row_number() OVER (ORDER BY entity_id) - 1 AS position, entity_id FROM party WHERE source = 'S1')")(lambda p, t: merged_shards(p).agg(F.count("*").alias("n"), F.count_distinct("entity_id").alias("n_distinct"), F.max("position").alias("last")))
+query("d_06_quick_audit", "SELECT source, count(*) AS n_rows, count(DISTINCT entity_id) AS n_ids, min(entity_id) AS first_id, count(*) FILTER (trim(business_address) = '') AS missing FROM party GROUP BY source")(
+    lambda p, t: p.groupBy("source").agg(F.count("*").alias("n_rows"), F.count_distinct("entity_id").alias("n_ids"), F.min("entity_id").alias("first_id"), F.count_if(F.trim("business_address") == "").alias("missing"))
+)
+query("d_16_fbeta", _PRED + "SELECT s1, round(fbeta, 9) AS fbeta FROM ev WHERE n_true > 0")(lambda p, t: metrics.entity_metrics(t, predicted(t)).filter("n_true > 0").select("s1", F.round(metrics.fbeta(F.col("precision"), F.col("recall")), 9).alias("fbeta")))
+_BY = "SELECT {0}, count(*) AS entities, CAST(sum(kept.n_true) AS BIGINT) AS true_links, CAST(sum(kept) AS BIGINT) AS kept_links, round(avg(n), 9) AS mean_candidates, round(quantile_cont(n, 0.95), 9) AS p95_candidates, count(*) FILTER (n = 0) AS zero_entities FROM kept JOIN truth USING (s1) GROUP BY ALL"
+_BY_COLUMNS = ["entities", "true_links", "kept_links", "mean_candidates", "p95_candidates", "zero_entities"]
+query("d_20_blocking_by_country", _POST + _PER + _BY.format("country"))(
+    lambda p, t: rounded(metrics.candidate_metrics(t.join(p.select(F.col("entity_id").alias("s1"), "country"), "s1"), ranking.budgeted(found(p), CAPS, 60), by=["country"]), "mean_candidates", "p95_candidates").select("country", *_BY_COLUMNS)
+)
+query("d_25_benchmark_by_multiplicity", _POST + _PER + _BY.format("CASE WHEN truth.n_true = 0 THEN '0' WHEN truth.n_true <= 2 THEN '1-2' WHEN truth.n_true <= 4 THEN '3-4' ELSE '5+' END AS matches"))(
+    lambda p, t: rounded(metrics.candidate_metrics(t.withColumn("matches", metrics.multiplicity(F.size("targets"))), ranking.budgeted(found(p), CAPS, 60), by=["matches"]), "mean_candidates", "p95_candidates").select("matches", *_BY_COLUMNS)
+)
+query("d_24_error_causes")(lambda p, t: metrics.error_causes(linkage.labelled(features.with_first(ranking.budgeted(linkage.candidates(p), CAPS, 20)).withColumn("score", F.col("exp001_rule_score")), t), 90.0))
+query("d_29_pool_counts", _POST + "SELECT sel.source, sel.country, count(*) AS pairs, count(link.target) AS positives FROM sel LEFT JOIN link ON link.s1 = sel.s1 AND link.target = sel.target GROUP BY ALL")(
+    lambda p, t: linkage.labelled(ranking.budgeted(found(p), CAPS, 60), t).groupBy("source", "country").agg(F.count("*").alias("pairs"), F.sum("label").alias("positives"))
+)
+_GUARD = _SCORED + ", g AS (SELECT t.s1, n_true, coalesce(max(score), -1) AS g, count(s.target) FILTER (score >= 0.5 AND label = 1) AS tp, count(s.target) FILTER (score >= 0.5 AND label = 0) AS fp FROM truth t LEFT JOIN s ON s.s1 = t.s1 GROUP BY ALL) "
+query("d_35_guardian_confusion", _GUARD + "SELECT count(*) FILTER (g > 0.5 AND n_true > 0) AS passed_matched, count(*) FILTER (g > 0.5 AND n_true = 0) AS passed_single, count(*) FILTER (g <= 0.5 AND n_true > 0) AS stopped_matched, count(*) FILTER (g <= 0.5 AND n_true = 0) AS stopped_single FROM g")(
+    lambda p, t: decide.guardian_confusion(scores(p, t).withColumn("guardian_probability", F.col("score")), t, 0.5)
+)
+query("e_14_guardian_cutoff", _GUARD + """, c AS (SELECT cutoff, round(avg(CASE WHEN g > cutoff THEN CASE WHEN n_true = 0 THEN CAST(fp = 0 AS DOUBLE) WHEN tp = 0 THEN 0 ELSE 1.25 * tp / (1.25 * tp + 0.25 * (n_true - tp) + fp) END ELSE CAST(n_true = 0 AS DOUBLE) END), 12) AS f
+  FROM g CROSS JOIN (SELECT CAST(unnest(range(0, 91, 2)) / 100 AS DOUBLE) AS cutoff) GROUP BY cutoff) SELECT cutoff FROM c ORDER BY f DESC, cutoff LIMIT 1""")(
+    lambda p, t: t.sparkSession.createDataFrame([(decide.guardian_cutoff(scores(p, t).withColumn("guardian_probability", F.col("score")), t, decide.Policy(0.5, 0.5)),)], "cutoff double")
+)
+query("d_37_importance")(lambda p, t: importances(p, t))
+query("e_01_vectors")(lambda p, t: features.vectors(features.with_first(ranking.budgeted(linkage.candidates(p), CAPS, 5)), features.FIRST).select("s1", "target", F.col("features").cast("string").alias("features")))
+query("e_10_fine_thresholds", _SCORED + """, g AS (SELECT CAST(unnest(range(50, 101, 5)) / 100 AS DOUBLE) AS threshold), c AS (SELECT t.s1, n_true, threshold, count(s.target) FILTER (s.label = 1) AS tp, count(s.target) FILTER (s.label = 0) AS fp FROM truth t CROSS JOIN g LEFT JOIN s ON s.s1 = t.s1 AND s.score >= threshold GROUP BY ALL)
+SELECT threshold, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, count(*) FILTER (n_true = 0 AND fp = 0) AS correct_singletons FROM c GROUP BY threshold""")(lambda p, t: metrics.threshold_curve(scores(p, t), t, [x / 100 for x in range(50, 101, 5)]).select("threshold", "tp", "fp", "correct_singletons"))
+query("f_03_top_k", _LEX + "SELECT s1, source, target FROM m WHERE en OR ea OR sn >= 1 OR sa >= 2 OR (sa >= 1 AND sd >= 1) QUALIFY row_number() OVER (PARTITION BY s1, source ORDER BY 100 * CAST(en AS INTEGER) + 90 * CAST(ea AS INTEGER) + 20 * sn + 8 * sa + 12 * sd DESC, target) <= 3")(
+    lambda p, t: blocking.lexical(X.represented(s1(p)), X.represented(others(p)), presets.LexicalConfig(top_k=3)).select("s1", "source", "target")
+)
+query("f_04_pool_prune", _POST + "SELECT s1, source, target FROM best QUALIFY row_number() OVER (PARTITION BY s1, source ORDER BY best_score DESC, pass_count DESC, target) <= 10")(lambda p, t: ranking.pruned(found(p), 10).select("s1", "source", "target"))
+query("f_11_link_ranks", _POST + """, a AS (SELECT s1, target, row_number() OVER (PARTITION BY s1, source ORDER BY best_score DESC, pass_count DESC, target) AS k FROM rk), b AS (SELECT s1, target, row_number() OVER (PARTITION BY s1, source ORDER BY best_score DESC, pass_count DESC, target) AS k FROM el)
+SELECT link.s1, link.target, CAST(a.k AS INTEGER) AS pool_rank, CAST(b.k AS INTEGER) AS eligible_rank FROM link JOIN a ON a.s1 = link.s1 AND a.target = link.target JOIN b ON b.s1 = link.s1 AND b.target = link.target""")(
+    lambda p, t: miss.classified(t, found(p), presets.Budget("b", 60, CAPS)).filter("eligible_rank IS NOT NULL").select("s1", "target", "pool_rank", "eligible_rank")
+)
+query("g_10_hardness")(lambda p, t: features.with_rule(lexical(p)).select("s1", "target", sampling.hardness(F.col("exp001_rule_score"), F.col("blocking_score")).alias("hardness")))
+query("g_11_importance_sample", _SCORED + " SELECT s1, target FROM s ORDER BY sha256(concat('3:', s1, '|', target)) LIMIT 25")(lambda p, t: sampling.first(scores(p, t), 25, hashing.sha_key(F.concat_ws("|", "s1", "target"), 3)).select("s1", "target"))
+query("g_14_ordered_candidates", _POST + "SELECT s1, source, string_agg(target, ',' ORDER BY best_score DESC, target) AS targets FROM sel GROUP BY s1, source")(
+    lambda p, t: ranking.budgeted(found(p), CAPS, 60).groupBy("s1", "source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("best_score")).alias("k"), "target"))), lambda x: x["target"]), ",").alias("targets"))
+)
+query("h_02_token_sets", _PAIRS + " SELECT s1, target, len(list_intersect(x, y)) AS shared, len(list_distinct(list_concat(x, y))) AS every FROM pr")(
+    lambda p, t: pairs(p, t).select("s1", "target", X.shared(F.col("qn.uniq"), F.col("tn.uniq")).cast("bigint").alias("shared"), F.size(F.array_union("qn.uniq", "tn.uniq")).cast("bigint").alias("every"))
+)
+query("h_06_exclusion", "SELECT s1 FROM truth EXCEPT SELECT s1 FROM link")(lambda p, t: t.select("s1").join(metrics.links(t).select("s1"), "s1", "left_anti"))
+query("s_05_token_sort")(lambda p, t: pairs(p, t).select("s1", "target", fuzzy.similarities({"a": (F.col("qa.norm"), F.col("ta.norm"), "sort")})["a_sort"].alias("v")))
+query("s_06_token_set")(lambda p, t: pairs(p, t).select("s1", "target", fuzzy.similarities({"a": (F.col("qa.norm"), F.col("ta.norm"), "set")})["a_set"].alias("v")))
+query("s_13_reciprocal_rank", _POST + "SELECT s1, target, round(CASE WHEN name_token_rank > 0 THEN 1.0::DOUBLE / name_token_rank ELSE 0 END, 9) AS v FROM rk")(lambda p, t: found(p).select("s1", "target", F.round(F.when(F.col("name_token_rank") > 0, 1.0 / F.col("name_token_rank")).otherwise(0.0), 9).alias("v")))
+query("s_22_term_kinds", _POST + "SELECT CASE WHEN field = 'name' THEN 'name' WHEN num THEN 'numeric' ELSE 'address' END AS kind, count(*) AS n FROM term GROUP BY 1")(
+    lambda p, t: terms_of(p)[0].groupBy(F.when(F.col("field") == "name", "name").when(F.col("numeric"), "numeric").otherwise("address").alias("kind")).agg(F.count("*").alias("n"))
+)
+query("m_05_probe_trace", _POST + ", h AS (SELECT s1, source, probe, count(*) AS hits FROM bh GROUP BY ALL) SELECT pb.s1, pb.source, CAST(pb.probe AS INTEGER) AS probe, coalesce(hits, 0) AS hits FROM pb LEFT JOIN h ON h.s1 = pb.s1 AND h.source = pb.source AND h.probe = pb.probe")(
+    lambda p, t: (lambda x: retrieve.probe_trace(retrieve.probes(x[0], x[1], presets.IndexConfig()), x[1], presets.IndexConfig()).select("s1", "source", "probe", "hits"))(terms_of(p))
+)
+
+
+def importances(p: DataFrame, t: DataFrame) -> DataFrame:
+    f = linkage.labelled(features.with_first(ranking.budgeted(linkage.candidates(p), CAPS, 10)), t).persist()
+    found_ = model.importance(model.fit(linkage.training(f), model.logistic(), features.FIRST), features.FIRST)
+    return p.sparkSession.createDataFrame(list(found_.items()), "feature string, value double")

@@ -102,7 +102,7 @@ def test_intersection_and_overflow(spark):
 
 def test_exact_limit(spark):
     t = records(spark, *[(f"S2-{i}", "Acme", "Road", "US") for i in range(6)])
-    q = retrieve.queries_with_sources(X.represented(records(spark, ("S1-1", "Acme", "Road", "US"))), {})
+    q = retrieve.queries_with_sources(X.represented(records(spark, ("S1-1", "Acme", "Road", "US"))))
     hits, over = retrieve.exact_hits(q, index.build(t), 2)
     assert {r["target"] for r in hits.collect()} == {"S2-0", "S2-1"} and {r["hits"] for r in over.collect()} == {6}
 
