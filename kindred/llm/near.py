@@ -38,6 +38,8 @@ SHARE = 0.375
 #: The estimate of a pair may be so far below the threshold: over six standard deviations at k = 64.
 MARGIN = 0.35
 ROUNDS = 2
+#: Hubs that a class meets in the round on the second lists: most of those left link with some members of a large group and not with others.
+HUBS = 2
 
 
 def _sets(texts, n: int) -> Iterator[np.ndarray]:
@@ -158,12 +160,13 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: f
     return stored(near.join(whole("a"), "a").join(whole("b"), "b").mapInPandas(exact, "a bigint, b bigint"))
 
 
-def _hubs(lists: DataFrame, salt: int) -> DataFrame:
-    """One pair a class: with the hub that it shares most lists with. lists: value, class, component."""
-    key = F.struct(F.xxhash64(F.lit(salt), "class").alias("order"), F.col("class").alias("hub"), F.col("component").alias("hub_component"))
-    hubs = lists.groupBy("value").agg(F.min(key).alias("h")).select("value", "h.hub", "h.hub_component")
-    pairs = lists.join(hubs, "value").filter("component <> hub_component").groupBy(F.col("class").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("n"))
-    best = pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+def _hubs(lists: DataFrame, first: int, n: int = 1) -> DataFrame:
+    """Up to n pairs a class: each with that one of the lists' hubs, under an order of its own, that it shares most lists with. lists: value, class, component."""
+    key = lambda salt: F.struct(F.xxhash64(F.lit(salt), "class").alias("order"), F.col("class").alias("hub"), F.col("component").alias("hub_component"))
+    hubs = lists.groupBy("value").agg(*[F.min(key(first + k)).alias(f"h{k}") for k in range(n)]).select("value", F.array(*[f"h{k}" for k in range(n)]).alias("hubs"))
+    met = lists.join(hubs, "value").select(F.col("class").alias("a"), "component", F.posexplode("hubs").alias("k", "h"))
+    pairs = met.filter("h.hub_component <> component").groupBy("a", "k", F.col("h.hub").alias("b")).agg(F.count("*").alias("n"))
+    best = pairs.groupBy("a", "k").agg(F.max(F.struct("n", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -187,7 +190,7 @@ def class_components(docs: DataFrame, classes: DataFrame, threshold: float = 0.7
         if k == rounds:
             lists = _open(prefix_postings(sets.join(lists.select("class").distinct(), "class", "left_semi"), threshold), labels)
         if k < last:
-            pairs = _hubs(lists, k)
+            pairs = _hubs(lists, k, 1 if k < rounds else HUBS)
         else:
             held = lists.join(parities(sets.join(lists.select("class").distinct(), "class", "left_semi")), "class").select("value", "class", "component", "size", "place", *[F.col("bits")[i].alias(f"w{i}") for i in range(8)])
             x, y = (held.select("value", F.col("class").alias(s), F.col("component").alias(f"c{s}"), F.col("size").alias(f"n{s}"), F.col("place").alias(f"p{s}"), *[F.col(f"w{i}").alias(f"w{i}{s}") for i in range(8)]) for s in "ab")
