@@ -437,13 +437,20 @@ SELECT round(avg(CASE WHEN n_true = 0 THEN CAST(np = 0 AS DOUBLE) WHEN tp = 0 TH
     lambda p, t: rounded(decide.assessed(scores(p, t), t, decide.Policy(0.5, 0.5)).select("macro_fbeta", "tp", "fp"), "macro_fbeta")
 )
 query("e_28_rule_matches")(lambda p, t: linkage.rule_matches(p)[1].select("s1", "source", "target", "score"))
-query("x_51_features")(lambda p, t: features.with_first(ranking.budgeted(linkage.candidates(p), CAPS, 20)).select("s1", "target", *features.FIRST))
-query("x_83_features")(lambda p, t: features.with_all(ranking.budgeted(linkage.candidates(p), CAPS, 20), s1(p), others(p)).select("s1", "target", *features.ALL))
-on_numbers("s_19_numeric_features")(lambda p: features.with_all(ranking.budgeted(linkage.candidates(p), CAPS, 10), s1(p), others(p)).select("s1", "target", *features.MORE))
+
+
+def first_featured(p: DataFrame) -> DataFrame:
+    """Pass-eligible pairs, uncapped, with the first 51 features."""
+    return features.with_first(ranking.eligible(linkage.candidates(p), CAPS))
+
+
+query("x_51_features")(lambda p, t: first_featured(p).select("s1", "target", *features.FIRST))
+query("x_83_features")(lambda p, t: linkage.featured(p).select("s1", "target", *features.ALL))
+on_numbers("s_19_numeric_features")(lambda p: linkage.featured(p).select("s1", "target", *features.MORE))
 
 
 def fitted(p: DataFrame, t: DataFrame) -> DataFrame:
-    f = linkage.labelled(features.with_all(ranking.budgeted(linkage.candidates(p), CAPS, 20), s1(p), others(p)), t).persist()
+    f = linkage.labelled(linkage.featured(p), t).persist()
     return model.scored(f, model.fit(linkage.training(f), model.logistic()))
 
 
@@ -466,7 +473,7 @@ def decide_features(p: DataFrame, t: DataFrame) -> DataFrame:
 # Further operators, mostly on the parts above
 
 query("a_31_retrieval_pool", _POST + "SELECT source, count(*) AS pairs, count(DISTINCT s1) AS records FROM rk GROUP BY source")(lambda p, t: found(p).groupBy("source").agg(F.count("*").alias("pairs"), F.count_distinct("s1").alias("records")))
-query("a_32_feature_pairs")(lambda p, t: linkage.training(linkage.labelled(features.with_first(ranking.budgeted(linkage.candidates(p), CAPS, 10)), t)).select("s1", "target", "label", "kind", "hardness"))
+query("a_32_feature_pairs")(lambda p, t: linkage.training(linkage.labelled(first_featured(p), t)).select("s1", "target", "label", "kind", "hardness"))
 query("b_08_multipass_admission")(lambda p, t: blocking.multipass(X.represented(s1(p)), X.represented(others(p)), presets.MultiPassConfig(pool=1 << 30)).select("s1", "target"))
 query("b_10_same_country", _POST + "SELECT CAST(0 AS BIGINT) AS across, count(*) AS pairs FROM rk")(
     lambda p, t: found(p).select("s1", "country").join(p.select(F.col("entity_id").alias("s1"), F.col("country").alias("c")), "s1").agg(F.count_if(F.col("c") != F.col("country")).alias("across"), F.count("*").alias("pairs"))
@@ -508,7 +515,7 @@ query("d_20_blocking_by_country", _POST + _PER + _BY.format("country"))(
 query("d_25_benchmark_by_multiplicity", _POST + _PER + _BY.format("CASE WHEN truth.n_true = 0 THEN '0' WHEN truth.n_true <= 2 THEN '1-2' WHEN truth.n_true <= 4 THEN '3-4' ELSE '5+' END AS matches"))(
     lambda p, t: rounded(metrics.candidate_metrics(t.withColumn("matches", metrics.multiplicity(F.size("targets"))), ranking.budgeted(found(p), CAPS, 60), by=["matches"]), "mean_candidates", "p95_candidates").select("matches", *_BY_COLUMNS)
 )
-query("d_24_error_causes")(lambda p, t: metrics.error_causes(linkage.labelled(features.with_first(ranking.budgeted(linkage.candidates(p), CAPS, 20)).withColumn("score", F.col("exp001_rule_score")), t), 90.0))
+query("d_24_error_causes")(lambda p, t: metrics.error_causes(linkage.labelled(first_featured(p).withColumn("score", F.col("exp001_rule_score")), t), 90.0))
 query("d_29_pool_counts", _POST + "SELECT sel.source, sel.country, count(*) AS pairs, count(link.target) AS positives FROM sel LEFT JOIN link ON link.s1 = sel.s1 AND link.target = sel.target GROUP BY ALL")(
     lambda p, t: linkage.labelled(ranking.budgeted(found(p), CAPS, 60), t).groupBy("source", "country").agg(F.count("*").alias("pairs"), F.sum("label").alias("positives"))
 )
@@ -521,13 +528,16 @@ query("e_14_guardian_cutoff", _GUARD + """, c AS (SELECT cutoff, round(avg(CASE
     lambda p, t: t.sparkSession.createDataFrame([(decide.guardian_cutoff(scores(p, t).withColumn("guardian_probability", F.col("score")), t, decide.Policy(0.5, 0.5)),)], "cutoff double")
 )
 query("d_37_importance")(lambda p, t: importances(p, t))
-query("e_01_vectors")(lambda p, t: features.vectors(features.with_first(ranking.budgeted(linkage.candidates(p), CAPS, 5)), features.FIRST).select("s1", "target", F.col("features").cast("string").alias("features")))
+query("e_01_vectors")(lambda p, t: features.vectors(first_featured(p), features.FIRST).select("s1", "target", F.col("features").cast("string").alias("features")))
 query("e_10_fine_thresholds", _SCORED + """, g AS (SELECT CAST(unnest(range(50, 101, 5)) / 100 AS DOUBLE) AS threshold), c AS (SELECT t.s1, n_true, threshold, count(s.target) FILTER (s.label = 1) AS tp, count(s.target) FILTER (s.label = 0) AS fp FROM truth t CROSS JOIN g LEFT JOIN s ON s.s1 = t.s1 AND s.score >= threshold GROUP BY ALL)
 SELECT threshold, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, count(*) FILTER (n_true = 0 AND fp = 0) AS correct_singletons FROM c GROUP BY threshold""")(lambda p, t: metrics.threshold_curve(scores(p, t), t, [x / 100 for x in range(50, 101, 5)]).select("threshold", "tp", "fp", "correct_singletons"))
 query("f_03_top_k", _LEX + "SELECT s1, source, target FROM m WHERE en OR ea OR sn >= 1 OR sa >= 2 OR (sa >= 1 AND sd >= 1) QUALIFY row_number() OVER (PARTITION BY s1, source ORDER BY 100 * CAST(en AS INTEGER) + 90 * CAST(ea AS INTEGER) + 20 * sn + 8 * sa + 12 * sd DESC, target) <= 3")(
     lambda p, t: blocking.lexical(X.represented(s1(p)), X.represented(others(p)), presets.LexicalConfig(top_k=3)).select("s1", "source", "target")
 )
 query("f_04_pool_prune", _POST + "SELECT s1, source, target FROM best QUALIFY row_number() OVER (PARTITION BY s1, source ORDER BY best_score DESC, pass_count DESC, target) <= 10")(lambda p, t: ranking.pruned(found(p), 10).select("s1", "source", "target"))
+query("a_12_all_positions")(lambda p, t: tsv.positioned(s1(p).select("entity_id"), "entity_id"))
+query("f_03_top_25")(lambda p, t: blocking.lexical(X.represented(s1(p)), X.represented(others(p)), presets.LexicalConfig()).select("s1", "source", "target"))
+query("f_04_pool_of_120")(lambda p, t: ranking.pruned(found(p), presets.MultiPassConfig().pool).select("s1", "source", "target"))
 query("f_11_link_ranks", _POST + """, a AS (SELECT s1, target, row_number() OVER (PARTITION BY s1, source ORDER BY best_score DESC, pass_count DESC, target) AS k FROM rk), b AS (SELECT s1, target, row_number() OVER (PARTITION BY s1, source ORDER BY best_score DESC, pass_count DESC, target) AS k FROM el)
 SELECT link.s1, link.target, CAST(a.k AS INTEGER) AS pool_rank, CAST(b.k AS INTEGER) AS eligible_rank FROM link JOIN a ON a.s1 = link.s1 AND a.target = link.target JOIN b ON b.s1 = link.s1 AND b.target = link.target""")(
     lambda p, t: miss.classified(t, found(p), presets.Budget("b", 60, CAPS)).filter("eligible_rank IS NOT NULL").select("s1", "target", "pool_rank", "eligible_rank")
@@ -553,6 +563,6 @@ query("m_05_probe_trace", _POST + ", h AS (SELECT s1, source, probe, count(*) AS
 
 
 def importances(p: DataFrame, t: DataFrame) -> DataFrame:
-    f = linkage.labelled(features.with_first(ranking.budgeted(linkage.candidates(p), CAPS, 10)), t).persist()
+    f = linkage.labelled(first_featured(p), t).persist()
     found_ = model.importance(model.fit(linkage.training(f), model.logistic(), features.FIRST), features.FIRST)
     return p.sparkSession.createDataFrame(list(found_.items()), "feature string, value double")
