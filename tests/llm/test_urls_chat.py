@@ -46,6 +46,39 @@ def test_rules_equal_brute_force(spark):
     assert got == want and ("a", "b") in got
 
 
+def brute_rules(rows, letters, least, sure):
+    found = {}
+    for n in range(1, len(letters) + 1):
+        for s in combinations(letters, n):
+            has = [b for i, b in rows if set(s) <= set(i)]
+            if sum(has) >= least and sum(has) / len(has) >= sure:
+                found[s] = (sum(has), round(sum(has) / len(has), 9))
+    return {s: v for s, v in found.items() if not any(set(o) < set(s) and found[o][1] >= v[1] for o in found)}
+
+
+def test_rules_of_any_length_equal_brute_force(spark):
+    """Four or five tokens together tell, and more than half of the urls are bad."""
+    for seed, noise in ((3, 0.05), (4, 0.55)):
+        r = random.Random(seed)
+        rows = [(sorted(r.sample("abcdefg", r.randint(1, 7))), False) for _ in range(500)]
+        rows = [(i, set("abcd") <= set(i) or r.random() < noise) for i, _ in rows]
+        share = sum(b for _, b in rows) / 500
+        got = urls.mine(spark.createDataFrame(rows, "items array<string>, bad boolean"), least=5, longest=None).collect()
+        want = brute_rules(rows, "abcdefg", 5, max(0.6, min(2 * share, 1 - (1 - share) / 2)))
+        assert {tuple(x["items"]): (x["support"], round(x["confidence"], 9)) for x in got} == want and ("a", "b", "c", "d") in want
+    assert share > 0.5
+
+
+def test_four_tokens_together_block(spark):
+    """No three of the tokens tell more than half: only the four are bad; and the same where most labelled urls are bad."""
+    parts = [(a, b, c, d) for a in ("m", "w") for b in ("x", "y") for c in ("en", "de") for d in ("buy", "read")]
+    for bad in (lambda p: p == ("m", "x", "en", "buy"), lambda p: p != ("w", "y", "de", "read")):
+        rows = [(16 * k + i, f"http://{p[0]}.{p[1]}.org/{p[2]}/{p[3]}", "", "") for k in range(30) for i, p in enumerate(parts)]
+        labels = spark.createDataFrame([(i, 1, int(bad(parts[i % 16]))) for i, *_ in rows], "doc_id long, quality int, toxic int")
+        got = urls.judged(spark.createDataFrame(rows, PAGE), spark.createDataFrame([], "rule string, verdict string"), labels.selectExpr("doc_id AS page_id", "toxic > 0 AS bad")).collect()
+        assert {r["page_id"] for r in got if r["verdict"] == "block"} == {i for i, *_ in rows if bad(parts[i % 16])}
+
+
 def test_mined_rules_block(spark):
     r = random.Random(1)
     rows = [(i, f"http://{r.choice(['www', 'm'])}.{r.choice(['spam-farm', 'good', 'fine'])}.example.org/en/{i}", "", "") for i in range(400)]
