@@ -12,7 +12,8 @@ from kindred.functions import fuzzy
 from kindred.operators import metrics as M
 from kindred.operators.ranking import exclusive, score_ranks, top
 
-GRID = tuple(sorted({round(0.5 + 0.005 * i, 3) for i in range(91)} | {round(0.9 + 0.001 * i, 3) for i in range(100)} | {1.000001}))
+#: The 187 thresholds that are tried for either source.
+GRID = (*[i / 100 for i in range(50, 85)], *[i / 1000 for i in range(850, 1001)], 1.000001)
 
 
 @dataclass(frozen=True)

@@ -531,6 +531,11 @@ query("d_37_importance")(lambda p, t: importances(p, t))
 query("e_01_vectors")(lambda p, t: features.vectors(first_featured(p), features.FIRST).select("s1", "target", F.col("features").cast("string").alias("features")))
 query("e_10_fine_thresholds", _SCORED + """, g AS (SELECT CAST(unnest(range(50, 101, 5)) / 100 AS DOUBLE) AS threshold), c AS (SELECT t.s1, n_true, threshold, count(s.target) FILTER (s.label = 1) AS tp, count(s.target) FILTER (s.label = 0) AS fp FROM truth t CROSS JOIN g LEFT JOIN s ON s.s1 = t.s1 AND s.score >= threshold GROUP BY ALL)
 SELECT threshold, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, count(*) FILTER (n_true = 0 AND fp = 0) AS correct_singletons FROM c GROUP BY threshold""")(lambda p, t: metrics.threshold_curve(scores(p, t), t, [x / 100 for x in range(50, 101, 5)]).select("threshold", "tp", "fp", "correct_singletons"))
+# The same searches on the thresholds of the reference, which SQL is too slow for
+query("e_06_configured_threshold")(lambda p, t: metrics.best_threshold(scores(p, t), t, presets.PROBABILITY_THRESHOLDS).select("threshold", F.round("macro_fbeta", 9).alias("macro_fbeta")))
+query("e_07_configured_curve")(lambda p, t: metrics.threshold_curve(scores(p, t), t, presets.PROBABILITY_THRESHOLDS).select("threshold", F.round("macro_fbeta", 9).alias("macro_fbeta")))
+query("e_10_thousandths")(lambda p, t: metrics.threshold_curve(scores(p, t), t, presets.FINE_THRESHOLDS).select("threshold", "tp", "fp", "correct_singletons", F.round("macro_fbeta", 9).alias("macro_fbeta")))
+query("e_11_reference_grid")(lambda p, t: rounded(decide.source_thresholds(scores(p, t), t), "macro_fbeta"))
 query("f_03_top_k", _LEX + "SELECT s1, source, target FROM m WHERE en OR ea OR sn >= 1 OR sa >= 2 OR (sa >= 1 AND sd >= 1) QUALIFY row_number() OVER (PARTITION BY s1, source ORDER BY 100 * CAST(en AS INTEGER) + 90 * CAST(ea AS INTEGER) + 20 * sn + 8 * sa + 12 * sd DESC, target) <= 3")(
     lambda p, t: blocking.lexical(X.represented(s1(p)), X.represented(others(p)), presets.LexicalConfig(top_k=3)).select("s1", "source", "target")
 )

@@ -1,9 +1,13 @@
 """Queries that have to see all pairs, thresholds and operators, not a first few."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from kindred import queries as Q
+from kindred.operators import decide
+from kindred.plans import presets, proxy
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -31,3 +35,48 @@ def test_every_positive_pair_is_a_training_pair(spark, copies):
 @pytest.mark.parametrize("name, n", [("a_12_all_positions", 50), ("f_03_top_25", 2 * 25 * 50), ("f_04_pool_of_120", 2 * 25 * 50)])
 def test_production_limits(spark, copies, name, n):
     assert Q.QUERIES[name](spark, copies).count() == n
+
+
+def brute(truth, scored, a, b):
+    """Macro F0.5 of thresholds a and b."""
+    total = 0.0
+    for e, targets in truth:
+        hit = {x for q, source, x, v in scored if q == e and v >= (a if source == "S2" else b)}
+        tp = len(hit & set(targets))
+        total += (1.25 * tp / (1.25 * tp + 0.25 * (len(targets) - tp) + len(hit) - tp) if tp else 0.0) if targets else float(not hit)
+    return total / len(truth)
+
+
+@pytest.fixture(scope="module")
+def fine():
+    """Right pairs score .9651 or .9561 by source, and more, wrong ones just less."""
+    r = random.Random(6)
+    truth = [(f"S1-{i}", [f"S2-{i}", f"S3-{i}"]) for i in range(12)]
+    low = {"S2": 0.9641, "S3": 0.9551}
+    scored = [(e, x[:2], x, low[x[:2]] + 0.001 + r.choice([0, 0.02])) for e, xs in truth for x in xs] + [(e, s, f"{s}-w{e}", low[s] - r.choice([0, 0.3])) for e, _ in truth for s in low]
+    return truth, scored
+
+
+def test_source_thresholds_equal_brute_force_on_the_whole_grid(spark, fine):
+    truth, scored = fine
+    assert len(decide.GRID) == 187 and decide.GRID == tuple(sorted(set(decide.GRID))) and {0.5, 0.84, 0.851, 1.0, 1.000001} < set(decide.GRID)
+    steps = [x for x in decide.GRID if 0.63 < x < 0.99]
+    want = max((round(brute(truth, scored, a, b), 12), a + b, a, b) for a in steps for b in steps)
+    got = decide.source_thresholds(spark.createDataFrame(scored, "s1 string, source string, target string, score double"), spark.createDataFrame(truth, "s1 string, targets array<string>")).first()
+    assert (got["s2"], got["s3"]) == want[2:] == (0.965, 0.956) and got["macro_fbeta"] == pytest.approx(want[0]) == 1.0
+
+
+def test_curves_have_the_configured_thresholds(spark, copies):
+    p = proxy.party(spark, copies)
+    truth = [tuple(r) for r in proxy.truth(p).select("s1", "targets").collect()]
+    scored = [tuple(r) for r in Q.scores(p, proxy.truth(p)).select("s1", "source", "target", "score").collect()]
+    want = {x: round(brute(truth, scored, x, x), 9) for x in presets.PROBABILITY_THRESHOLDS}
+    got = {r["threshold"]: r["macro_fbeta"] for r in Q.QUERIES["e_07_configured_curve"](spark, copies).collect()}
+    assert got == pytest.approx(want) and len(got) == 16
+    best = Q.QUERIES["e_06_configured_threshold"](spark, copies).first()
+    assert best["threshold"] == max(want, key=lambda x: (want[x], x))
+    fine = {r["threshold"]: r["macro_fbeta"] for r in Q.QUERIES["e_10_thousandths"](spark, copies).collect()}
+    assert set(fine) == set(presets.FINE_THRESHOLDS) and len(fine) == 506
+    for x in (0.1, 0.5, 0.501, 0.777, 0.999, 1.0):
+        assert fine[x] == pytest.approx(round(brute(truth, scored, x, x), 9))
+    assert Q.QUERIES["e_11_reference_grid"](spark, copies).first()["s2"] in decide.GRID
