@@ -16,7 +16,7 @@
 
 Defined cases: null and empty texts, and texts without words, have an empty set and link with nothing; fewer than five
 words are one shingle; a null doc_id stands in no component of another document and is kept only if nothing with an id
-equals it; repeated rows are copies; an empty table gives an empty result; other columns have no effect.
+equals it (deduplicated() goes by texts: there rows with null or repeated ids link as all others do); repeated rows are copies; an empty table gives an empty result; other columns have no effect.
 """
 
 from __future__ import annotations
@@ -58,16 +58,17 @@ def _class(whole: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "little", signed=True)
 
 
-def sketches(docs: DataFrame, k: int = K, words: int = 5) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, class (a digest of the set; null if empty) and sketch (the k smallest hashes, 8 bytes each)."""
+def sketches(docs: DataFrame, k: int = K, words: int = 5, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, class (a digest of the set; null if empty) and sketch (the k smallest hashes, 8 bytes each). carried: further columns of 64-bit numbers to keep."""
+    ids = ("doc_id", *carried)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
             rows = [(len(s), _class(s.tobytes()) if len(s) else 0, s[:k].tobytes()) for s in _sets(part["text"].to_pylist(), words)]
             n, c, s = (pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary())))
-            yield pa.RecordBatch.from_arrays([part["doc_id"], n, c, s], ["doc_id", "n_shingles", "class", "sketch"])
+            yield pa.RecordBatch.from_arrays([*(part[x] for x in ids), n, c, s], [*ids, "n_shingles", "class", "sketch"])
 
-    out = docs.select(F.col("doc_id").cast("bigint"), F.col("text")).mapInArrow(sketch, "doc_id bigint, n_shingles bigint, class bigint, sketch binary")
+    out = docs.select(*[F.col(x).cast("bigint") for x in ids], F.col("text")).mapInArrow(sketch, "".join(f"{x} bigint, " for x in ids) + "n_shingles bigint, class bigint, sketch binary")
     return out.withColumn("class", F.when(F.col("n_shingles") > 0, F.col("class")))
 
 
@@ -223,7 +224,20 @@ def grouped(docs: DataFrame, threshold: float = 0.75, words: int = 5) -> DataFra
 
 
 def deduplicated(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """docs without all but one document of each group; of rows that repeat an id, one stays."""
-    kept = stored(grouped(docs, threshold).filter("kept").select("doc_id"))
-    out = docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if kept.count() > kept.distinct().count() else out
+    """docs with one row of each component of texts: that of the smallest id, a null id last. Texts without words stay; of rows equal in id and text one does.
+
+    Ids may be null or repeated, so a row is known by a hash of its id and text, and that is what stands for its class.
+    """
+    row = F.xxhash64("doc_id", "text")
+    keyed = docs.select(row.alias("doc_id"), F.col("doc_id").cast("bigint").alias("id"), "text")
+    every = stored(sketches(keyed, carried=("id",)))
+    first = stored(every.filter("class IS NOT NULL").groupBy("class").agg(F.min(F.struct(F.isnull("id").alias("unnamed"), "id", "doc_id")).alias("first")))
+    classes = stored(every.join(first.select("class", F.col("first.doc_id").alias("doc_id")), ["class", "doc_id"]).dropDuplicates(["class"]).select("class", "doc_id", "n_shingles", "sketch"))
+    labels = class_components(keyed, classes, threshold)
+    best = first.join(labels.withColumnRenamed("node", "class"), "class", "left").groupBy(F.coalesce("component", "class").alias("component")).agg(F.min("first").alias("first"))
+    kept = stored(best.select(F.col("first.doc_id").alias("_row")).unionByName(every.filter("class IS NULL").select(F.col("doc_id").alias("_row")).distinct()))
+    again = stored(every.groupBy(F.col("doc_id").alias("_row")).agg(F.count("*").alias("n")).filter("n > 1").join(kept, "_row", "left_semi").select("_row"))
+    out = docs.withColumn("_row", row).join(kept, "_row", "left_semi")
+    if not again.isEmpty():
+        out = out.join(again, "_row", "left_anti").unionByName(out.join(again, "_row", "left_semi").dropDuplicates(["_row"]))
+    return out.drop("_row").select(docs.columns)

@@ -80,6 +80,22 @@ def test_edges(spark):
     assert near.deduplicated(spark.createDataFrame(rows, DOC)).filter("doc_id = 4").count() == 1
 
 
+def test_null_and_repeated_ids(spark):
+    """Components are of texts: ids that are null or repeated neither merge different texts nor bring copies back."""
+    r = random.Random(8)
+    text = lambda: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(100))
+    t = [text() for _ in range(9)]
+    near_ = lambda x: x.rsplit(" ", 2)[0] + " changed end"
+    rows = [(None, t[0]), (None, t[1]), (None, t[2]), (3, t[2]), (None, near_(t[3])), (4, t[3]), (None, t[4]), (None, t[4]), (None, near_(t[4]))]
+    rows += [(5, t[5]), (5, t[6]), (5, near_(t[6])), (6, t[7]), (6, t[8]), (2, t[8]), (6, t[7]), (7, ""), (7, ""), (None, None), (None, "  ")]
+    got = near.deduplicated(spark.createDataFrame([(*x, "clash") for x in rows], DOC))
+    kept = [(x["doc_id"], x["text"]) for x in got.collect()]
+    assert len(kept) == len(set(kept)) and got.columns == ["doc_id", "text", "component_id"]
+    fixed = {(None, t[0]), (None, t[1]), (3, t[2]), (4, t[3]), (5, t[5]), (6, t[7]), (2, t[8]), (7, ""), (None, None), (None, "  ")}
+    either = [{(None, t[4]), (None, near_(t[4]))}, {(5, t[6]), (5, near_(t[6]))}]
+    assert fixed <= set(kept) and [len(x & set(kept)) for x in either] == [1, 1] and len(kept) == len(fixed) + 2
+
+
 def test_hashes():
     r = random.Random(0)
     texts = ["".join(r.choices("aB \n\t\x0b.é漢", k=r.randint(0, 80))) for _ in range(400)]
