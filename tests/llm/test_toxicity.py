@@ -33,6 +33,21 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in out)
 
 
+def test_rare_family_is_learned():
+    """Words that stand in 1.5% of toxic documents and in no other, are in the dictionary and tell."""
+    r = random.Random(5)
+    part = ["the", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of"]
+    plain = lambda: ["".join(r.choices(part, k=r.randint(1, 4))) for _ in range(60)]
+    rude = lambda words: " ".join([*plain(), *r.choices(words, k=6)])
+    rare = ("quixblag", "vromptus")
+    toxic = [rude(INSULTS) for _ in range(985)] + [rude(rare) for _ in range(15)]
+    model = toxicity.fit(toxic, [" ".join(plain()) for _ in range(2000)])
+    assert all(w.encode() in model.toxic for w in (*INSULTS, *rare))
+    scorer = toxicity.Scorer(model)
+    assert (scorer.scores([rude(rare) for _ in range(20)]) >= 0.5).all()
+    assert (scorer.scores([" ".join(plain()) for _ in range(20)]) < 0.5).all()
+
+
 def test_held_out_labels_are_not_learned(spark):
     rows, labels = corpus(300)
     d, lab = spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
