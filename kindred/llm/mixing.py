@@ -5,12 +5,13 @@ with the smallest exponential keys -ln(u) / weight are taken until their sizes f
 that would cross the budget is taken if at least half of it fits). u is a hash of the document, so reruns agree.
 
 No source is sorted as a whole. Keys fall in about sqrt(n) buckets a source; sums by bucket show the bucket in which the
-budget ends, and only that bucket's rows are sorted. What is decided for a source is then one small row: its epochs and
-the largest key taken. Texts are not shuffled.
+budget ends, and only that bucket's distinct keys are sorted, each with its number of rows. What is decided for a source is
+then one small row: its epochs, the largest key taken and how many of the rows with that key are. Texts are not shuffled.
 
 Defined cases: null and empty texts have size 0 and are never worth words; a null source is a source of its own, last in
-order; a source without words has target 0; rows equal in id and text share their key and are taken together; a null id
-is an id like others; an empty table gives an empty result. Further columns are left alone, whatever their names.
+order; a source without words has target 0; rows equal in id and text share their key, and where the budget ends among
+them as many are taken as fit (any, since they are equal); a null id is an id like others; an empty table gives an empty
+result. Further columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -73,21 +74,45 @@ def plan(rows: DataFrame, **options) -> DataFrame:
     ends = sums.withColumn("before", before).join(goal.select(F.col("source").alias("s"), "left"), F.col("source").eqNullSafe(F.col("s"))).filter("left > 0 AND before <= left AND left < before + words")
     ends = stored(ends.select(F.col("source").alias("s"), F.col("bucket").alias("cut_bucket"), (F.col("left") - F.col("before")).alias("room")))
     last = b.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("cut_bucket")))
-    sofar = F.sum("_m_size").over(Window.partitionBy("s", "cut_bucket").orderBy("_m_key", "_m_tie").rowsBetween(Window.unboundedPreceding, -1))
-    taken = last.withColumn("sofar", F.coalesce(sofar, F.lit(0))).filter("sofar + _m_size / 2.0 <= room")
-    cut = taken.groupBy(F.col("s").alias("cs")).agg(F.max(F.struct("_m_key", "_m_tie")).alias("cut"))
+    last = last.filter("_m_size > 0").groupBy("s", "cut_bucket", "_m_key", "_m_tie", "_m_size", "room").agg(F.count("*").alias("rows"))
+    sofar = F.sum(F.col("_m_size") * F.col("rows")).over(Window.partitionBy("s", "cut_bucket").orderBy("_m_key", "_m_tie", "_m_size").rowsBetween(Window.unboundedPreceding, -1))
+    fit = F.floor((F.col("room") - F.coalesce(sofar, F.lit(0))) / F.col("_m_size") + 0.5).cast("bigint")  # the last one if half of it fits
+    taken = last.withColumn("take", F.least(fit, "rows")).filter("take > 0")
+    cut = taken.groupBy(F.col("s").alias("cs")).agg(F.max(F.struct("_m_key", "_m_tie", "_m_size", "take", "rows")).alias("cut"))
     out = goal.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").join(cut, F.col("source").eqNullSafe(F.col("cs")), "left")
-    return stored(out.select("source", "source_size", "n", "target", "epochs", "cut_bucket", F.col("cut._m_key").alias("cut_key"), F.col("cut._m_tie").alias("cut_tie")))
+    cuts = [F.col(f"cut.{a}").alias(b) for a, b in (("_m_key", "cut_key"), ("_m_tie", "cut_tie"), ("take", "cut_take"), ("rows", "cut_rows"))]
+    return stored(out.select("source", "source_size", "n", "target", "epochs", "cut_bucket", *cuts))
 
 
-def _copies(rows: DataFrame, decided: DataFrame) -> DataFrame:
-    """rows with what is decided for their source, prefixed `_p_`, and `_copies`. The decisions, a row a source, are joined as Spark's size limit for broadcasts decides."""
+def _decided(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """rows with what is decided for their source, prefixed `_p_`, with `_copies`, and with `_edge` for those whose key is the last one and only taken in part. The decisions, a row a source, are joined as Spark's size limit for broadcasts decides."""
     p = decided.select(*[F.col(c).alias(f"_p_{c}") for c in decided.columns])
     out = rows.join(p, F.col("_m_source").eqNullSafe(F.col("_p_source")))
     bucket = _bucket(F.col("_m_key"), F.col("_p_n"))
-    inside = (bucket == F.col("_p_cut_bucket")) & ((F.col("_m_key") < F.col("_p_cut_key")) | ((F.col("_m_key") == F.col("_p_cut_key")) & (F.col("_m_tie") <= F.col("_p_cut_tie"))))
+    last = (F.col("_m_key") == F.col("_p_cut_key")) & (F.col("_m_tie") == F.col("_p_cut_tie"))
+    inside = (bucket == F.col("_p_cut_bucket")) & ((F.col("_m_key") < F.col("_p_cut_key")) | ((F.col("_m_key") == F.col("_p_cut_key")) & (F.col("_m_tie") < F.col("_p_cut_tie"))) | (last & (F.col("_p_cut_take") == F.col("_p_cut_rows"))))
     chosen = F.coalesce((bucket < F.col("_p_cut_bucket")) | F.coalesce(inside, F.lit(False)), F.lit(False))
-    return out.withColumn("_copies", F.when(F.col("_m_size") > 0, F.col("_p_epochs") + chosen.cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    out = out.withColumn("_copies", F.when(F.col("_m_size") > 0, F.col("_p_epochs") + chosen.cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    return out.withColumn("_edge", F.coalesce(last & (F.col("_m_size") > 0) & (F.col("_p_cut_take") < F.col("_p_cut_rows")), F.lit(False)))
+
+
+def _copies(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """rows with the columns of _decided(); of the rows at an edge, which are equal, as many are taken once more as the plan says.
+
+    These rows are numbered where they lie and stored; sums by their tasks' numbers show in which of them the count ends, so
+    that no group of equal rows is sorted or gathered.
+    """
+    out = _decided(rows, decided)
+    if decided.filter("cut_take < cut_rows").isEmpty():
+        return out
+    edge = stored(out.filter("_edge").withColumn("_m_n", F.monotonically_increasing_id()))
+    place = F.shiftright("_m_n", 33)
+    sums = edge.groupBy(F.col("_m_source").alias("_b_source"), place.alias("_b_place")).agg(F.count("*").alias("_b_rows"))
+    before = F.sum("_b_rows").over(Window.partitionBy("_b_source").orderBy("_b_place")) - F.col("_b_rows")
+    own = F.row_number().over(Window.partitionBy("_m_source", F.shiftright("_m_n", 33)).orderBy("_m_n")) - 1
+    numbered = edge.withColumn("_own", own).join(sums.withColumn("_before", before), F.col("_m_source").eqNullSafe(F.col("_b_source")) & (place == F.col("_b_place")))
+    more = (F.col("_own") + F.col("_before") < F.col("_p_cut_take")).cast("bigint")
+    return out.filter("NOT _edge").unionByName(numbered.withColumn("_copies", F.col("_copies") + more).select(out.columns))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
