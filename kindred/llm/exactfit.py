@@ -7,7 +7,8 @@ exactly is used as often as its lengths' counts allow; where there is none, the
 fit) and the rest is looked up again. A plan is a list of patterns with repeat counts, of which each uses up a length.
 
 Pieces then find their place by their rank among those of their length. Ranks come from two levels, (length, hash bucket)
-and buckets in a length, so a length that a third of all pieces share is never in one task.
+and buckets in a length, so a length that a third of all pieces share is never in one task; rows that are equal have numbers
+of their own, so that copies of one document spread over the buckets as well.
 
 Defined cases: a null or empty text is the end id alone, one piece; repeated rows are packed each; an empty table gives an
 empty result; other columns have no effect.
@@ -49,40 +50,50 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, width: int = WIDTH, wi
     return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))  # as text to Python and back: numbers with nulls among them become floating in pandas
 
 
-def _exact(counts: np.ndarray, used: dict[int, int], gap: int, sums: dict) -> list[int] | None:
-    """One to three lengths that fill gap exactly, beside those used already; the fullest counts first."""
+class Sums:
+    """Which sums single lengths, pairs and triples of available lengths have: bit s of a number stands for the sum s. Rebuilt when a length is used up."""
+
+    def __init__(self, counts: np.ndarray):
+        width = len(counts) - 1
+        mask = (1 << (width + 1)) - 1
+        self.there = [int(x) for x in np.flatnonzero(counts > 0)]
+        self.single = sum(1 << x for x in self.there)
+        self.pair = self.triple = 0
+        for x in self.there:
+            self.pair |= self.single << x & mask
+        for x in self.there:
+            self.triple |= self.pair << x & mask
+
+
+def _two(free: np.ndarray, gap: int) -> list[int] | None:
+    """Two lengths that fill gap exactly, those that can most often."""
+    a = np.arange(1, gap // 2 + 1)
+    if not len(a):
+        return None
+    enough = np.minimum(free[a], free[gap - a]) - (2 * a == gap) * (free[a] + 1) // 2
+    best = int(a[enough.argmax()])
+    return [gap - best, best] if enough.max() > 0 else None
+
+
+def _exact(counts: np.ndarray, used: dict[int, int], gap: int, sums: Sums) -> list[int] | None:
+    """One to three lengths that fill gap exactly, beside those used already. The index of sums says which kinds can; counts decide."""
     free = counts[: gap + 1].copy()
     for length, n in used.items():
         if length <= gap:
             free[length] -= n
-    if free[gap] > 0:
+    if sums.single >> gap & 1 and free[gap] > 0:
         return [gap]
-    a = np.arange(1, gap // 2 + 1)
-    if len(a):
-        enough = np.minimum(free[a], free[gap - a]) - (2 * a == gap) * (free[a] + 1) // 2
-        if enough.max() > 0:
-            best = int(a[enough.argmax()])
-            return [gap - best, best]
-    if "pairs" not in sums:  # which sums pairs of available lengths have; rebuilt when a length is used up
-        there = np.flatnonzero(counts > 0)
-        index = np.zeros(2 * len(counts), bool)
-        for x in there:
-            index[x + there] = True
-        sums["pairs"] = index
-    for c in np.flatnonzero(free[:gap] > 0)[::-1]:
-        if 3 * c < gap:
-            break
-        rest = gap - int(c)
-        if not sums["pairs"][rest]:
-            continue
-        free[c] -= 1
-        a = np.arange(1, rest // 2 + 1)
-        if len(a):
-            enough = np.minimum(free[a], free[rest - a]) - (2 * a == rest) * (free[a] + 1) // 2
-            if enough.max() > 0:
-                best = int(a[enough.argmax()])
-                return [int(c), rest - best, best]
-        free[c] += 1
+    if sums.pair >> gap & 1 and (found := _two(free, gap)):
+        return found
+    if sums.triple >> gap & 1:
+        for c in np.flatnonzero(free[:gap] > 0)[::-1].tolist():
+            if 3 * c < gap:
+                break
+            if sums.pair >> (gap - c) & 1:
+                free[c] -= 1
+                if found := _two(free, gap - c):
+                    return [c, *found]
+                free[c] += 1
     return None
 
 
@@ -91,11 +102,12 @@ def solve(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[dict[int,
     counts = np.zeros(width + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
-    out, sums = [], {}
+    out, sums = [], None
     for length in range(width, 0, -1):
         while counts[length] > 0:
             used, gap = {length: 1}, width - length
             while gap > 0:
+                sums = sums or Sums(counts)
                 if fill := _exact(counts, used, gap, sums):
                     for x in fill:
                         used[x] = used.get(x, 0) + 1
@@ -108,14 +120,13 @@ def solve(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[dict[int,
                 if not len(fits := np.flatnonzero(free > 0)):
                     break
                 x = int(fits[-1])
-                n = min(gap // x, int(free[x])) if 2 * x <= gap and x <= 64 else 1
-                used[x] = used.get(x, 0) + n
-                gap -= n * x
+                used[x] = used.get(x, 0) + 1
+                gap -= x
             times = int(min(counts[x] // n for x, n in used.items()))
             for x, n in used.items():
                 counts[x] -= n * times
                 if counts[x] == 0:
-                    sums.pop("pairs", None)
+                    sums = None
             out.append((used, times))
     return out
 
@@ -134,25 +145,25 @@ def places(patterns: list[tuple[dict[int, int], int]]) -> np.ndarray:
 
 
 def ranked(cut: DataFrame) -> DataFrame:
-    """cut with `rank`, from 0 within each length."""
+    """cut (with `row`, a number of its own for each row) with `rank`, from 0 within each length."""
     many = cut.groupBy("length").count().agg(F.max("count")).first()[0] or 1
     buckets = int(np.ceil(np.sqrt(many)))
-    b = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    b = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "row"), F.lit(buckets)))
     sums = b.groupBy("length", "bucket").count()
     before = sums.select(F.col("length").alias("l"), F.col("bucket").alias("b"), (F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "row")) - 1
     return b.withColumn("own", own).join(before, (F.col("length") == F.col("l")) & (F.col("bucket") == F.col("b"))).withColumn("rank", F.col("own") + F.col("before")).drop("bucket", "own", "l", "b", "before")
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None, width: int = WIDTH, with_ids: bool = False) -> DataFrame:
     """Every piece with sequence_id and offset: its sequence and its place there. The plan is broadcast: at most 2 * width patterns of at most sqrt(2 * width) lengths, some MB."""
     spark = docs.sparkSession
-    cut = stored(pieces(docs, tokenizer, width, with_ids))
+    cut = stored(pieces(docs, tokenizer, width, with_ids).withColumn("row", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `width` rows
     table = spark.sparkContext.broadcast(places(solve(histogram, width)))
-    kept = [c for c in cut.columns]
+    kept = [c for c in cut.columns if c != "row"]
 
-    kept_types = [(c, "string" if c == "doc_id" else t) for c, t in cut.dtypes]
+    kept_types = [(c, "string" if c == "doc_id" else t) for c, t in cut.dtypes if c in kept]
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = table.value
