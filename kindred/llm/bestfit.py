@@ -94,8 +94,11 @@ def _rows(pieces: list[tuple], width: int, first: int, kind: str) -> pd.DataFram
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None, width: int = WIDTH, buffer: int = BUFFER, kind: str = "<u2") -> DataFrame:
-    """One row per sequence. kind: numpy's type of the matrices' numbers; two bytes hold a vocabulary and a width of up to 65,536."""
+    """One row per sequence. kind: numpy's type of the matrices' numbers; two bytes hold a vocabulary and a width of up to 65,536, and a type too small for either is an error."""
     path = tokenizer or tokens.default_path()
+    most = max(tokens.largest_id(path), width - 1)
+    if most > np.iinfo(kind).max:
+        raise ValueError(f"numbers of type {kind} can't hold {most}; ask for a wider kind")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, waiting, size = tokens.encoder(path), [], 0

@@ -80,3 +80,8 @@ def encoder(path: str) -> Encoder:
     if path not in _LOADED:
         _LOADED[path] = Encoder(path)
     return _LOADED[path]
+
+
+def largest_id(path: str) -> int:
+    """The largest id that the tokenizer, or the end of a document, can give."""
+    return max(len(encoder(path).ends) - 1, END_ID)

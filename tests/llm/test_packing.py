@@ -108,3 +108,19 @@ def test_best_fit_round_trip(spark, tokenizer):
         assert [x for _, p in sorted(back[i].items()) for x in p] == ids(tokenizer, t)
     assert len({r["sequence_id"] for r in rows}) == len(rows)
     assert bestfit.packed(docs(spark).limit(0)).count() == 0
+
+
+def test_equal_rows_have_places_of_their_own(spark):
+    d = spark.createDataFrame([(1, "same text here", "")] * 3000 + [(2, "other", "")] * 10, DOC).repartition(5)
+    got = exactfit.packed(d).toPandas()
+    assert len(got) == 3010 and not got.duplicated(["sequence_id", "offset"]).any()
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert (s.offset.to_numpy() == s.length.cumsum().to_numpy() - s.length.to_numpy()).all() and s.length.sum() <= 4096
+    assert got.sequence_id.nunique() == -(-int(got.length.sum()) // 4096)
+
+
+def test_ids_too_wide_for_the_matrix_are_an_error(spark):
+    with pytest.raises(ValueError, match="wider kind"):
+        bestfit.packed(docs(spark), kind="<u1")
+    with pytest.raises(ValueError, match="wider kind"):
+        bestfit.packed(docs(spark), width=1 << 17)
