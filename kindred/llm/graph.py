@@ -1,8 +1,11 @@
 """Embedding near-dedup by a robust-pruned flat graph.
 
-1. Vectors of equal direction bytes form a class, so copies are one node however many there are.
+1. Equal vectors form a class, so copies are one node however many there are. Classes are 64-bit hashes; where two vectors
+   share one, another seed is taken.
 2. Centroids are fitted on a bounded sample (at most `SAMPLE` classes, by a hash of the vector); every class is indexed in
-   its `overlap` nearest shards. A shard larger than `BLOCK` rows is dealt into blocks, so no task holds more.
+   its `overlap` nearest shards. Beyond `MOST_SHARDS` shards each of these cells has centroids of its own, fitted on at most
+   `CELL_SAMPLE` of its classes, so shards grow with the rows. A shard larger than `BLOCK` rows is dealt into blocks, so no
+   task holds more.
 3. Each shard's block becomes a graph: every node's nearest neighbours, robustly pruned (a neighbour goes if a kept one is
    `ALPHA` times closer to it than the node is), and a chain through the block that keeps all nodes reachable. The
    adjacency lists of a node from all its shards are united.
@@ -11,10 +14,14 @@
    searched for each block of queries.
 5. Links are verified by the cosine in double precision. A pair that shares several shards is counted in the first of
    them only; a task returns counts and a spanning forest of what it found, never its pairs.
-6. Recall is audited against brute force on at most `AUDIT` queries over all rows; below `least_recall` the overlap
-   is doubled and the search repeated.
+6. Recall is audited against brute force on `AUDIT` classes (all, if there are no more), chosen by hash whatever the search
+   found, over all rows: once over their links and once as the mean over those with links, of which the lesser counts. Below
+   `least_recall` the overlap is doubled and the search repeated; if `WIDEST` shards a vector do not suffice either, an
+   error names the recall.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are kept;
+components of double precision are compared as such, however great or small; vectors that differ only in length of the
+arrow are not equal, but link;
 vectors of another length than the most frequent one link only among their own length (each length is a graph of its own
 shard); a null vec_id gets no row of another component; repeated rows count as copies; an empty table gives an empty
 result; other columns, labels among them, have no effect.
@@ -26,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.common import components, stored
@@ -39,50 +46,97 @@ NEIGHBOURS = 48
 DEGREE = 24
 ALPHA = 1.2
 BEAM = 8
-AUDIT = 256
+AUDIT = 1_024
+CELL_SAMPLE = 2_048
+WIDEST = 24
 
 
-def _unit(data, n: int | None = None) -> np.ndarray:
-    """Rows of float32 bytes as unit vectors in double precision."""
-    v = np.frombuffer(b"".join(data), np.float32).reshape(len(data), -1).astype(np.float64)
+def _unit(data, kind: str) -> np.ndarray:
+    """Rows of bytes (numbers of that kind) as unit vectors in double precision; scaled first, so that no square overflows or vanishes."""
+    v = np.frombuffer(b"".join(data), kind).reshape(len(data), -1).astype(np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def kind_of(embeddings: DataFrame) -> str:
+    """Single precision where the column has it, else double."""
+    return "<f4" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+
+
 def vectors(embeddings: DataFrame) -> DataFrame:
-    """vec_id, vector (float32 bytes; null if it links with nothing) and class (a hash of the vector and its length)."""
+    """vec_id and vector (its components' bytes; null if it links with nothing)."""
+    kind = kind_of(embeddings)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for e in batch["embedding"]:
-                v = None if e is None else np.array([np.nan if x is None else x for x in e], np.float32)
-                ok = v is not None and len(v) and np.isfinite(v).all() and 0 < np.linalg.norm(v.astype(np.float64)) < np.inf
-                out.append(v.tobytes() if ok else None)
+                v = None if e is None else np.array([np.nan if x is None else x for x in e], kind)
+                out.append(v.tobytes() if v is not None and len(v) and np.isfinite(v).all() and v.any() else None)
             yield pd.DataFrame({"vec_id": batch["vec_id"], "vector": out})
 
-    packed = embeddings.select(F.col("vec_id").cast("string"), F.col("embedding").cast("array<float>")).mapInPandas(pack, "vec_id string, vector binary").withColumn("vec_id", F.col("vec_id").cast("bigint"))
-    return packed.withColumn("class", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")))
-
-
-def centroids(classes: DataFrame, n: int, seed: int = 11) -> dict[int, np.ndarray]:
-    """For each vector length its shards' centres: at most MOST_SHARDS, by some k-means steps over a sample of at most SAMPLE."""
+    column = F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>").alias("embedding")
+    packed = embeddings.select(F.col("vec_id").cast("string"), column).mapInPandas(pack, "vec_id string, vector binary")
+    return packed.withColumn("vec_id", F.col("vec_id").cast("bigint"))
+
+
+def classed(every: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """every (vec_id, vector) with `class`, and a row a class: class, first_id, copies, vector."""
+    for seed in range(42, 58):
+        named = every.withColumn("class", F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(seed), "vector")))
+        sums = [F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.min("vector").alias("vector"), F.max("vector").alias("other")]
+        classes = stored(named.filter("class IS NOT NULL").groupBy("class").agg(*sums))
+        if classes.filter("vector <> other").isEmpty():
+            return named, classes.drop("other")
+    raise RuntimeError("no seed tells all vectors apart by 64 bits")
+
+
+def _means(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k centres of unit vectors, by some k-means steps."""
+    x = x.astype(np.float32)
+    c = x[np.random.default_rng(seed).choice(len(x), k, replace=False)]
+    for _ in range(6):
+        near = np.concatenate([(x[a : a + 4096] @ c.T).argmax(1) for a in range(0, len(x), 4096)])
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(size > 0, sums / np.maximum(size, 1e-12), c)
+    return c.astype(np.float32)
+
+
+def centroids(classes: DataFrame, n: int, kind: str, seed: int = 11) -> dict[int, np.ndarray]:
+    """For each vector length (in bytes) its cells' centres: at most MOST_SHARDS, from a sample of at most SAMPLE."""
     rows = classes.orderBy(F.xxhash64("class")).limit(SAMPLE).select("vector").collect()
     by_length: dict[int, list[bytes]] = {}
     for r in rows:
-        by_length.setdefault(len(r["vector"]) // 4, []).append(bytes(r["vector"]))
-    out = {}
-    for length, data in by_length.items():
-        x = _unit(data).astype(np.float32)
-        k = max(1, min(MOST_SHARDS, len(x), round(n * len(data) / len(rows) / SHARD)))
-        c = x[np.random.default_rng(seed).choice(len(x), k, replace=False)]
-        for _ in range(6):
-            near = np.concatenate([(x[a : a + 4096] @ c.T).argmax(1) for a in range(0, len(x), 4096)])
-            sums = np.zeros_like(c)
-            np.add.at(sums, near, x)
-            size = np.linalg.norm(sums, axis=1, keepdims=True)
-            c = np.where(size > 0, sums / np.maximum(size, 1e-12), c)
-        out[length] = c.astype(np.float32)
-    return out
+        by_length.setdefault(len(r["vector"]), []).append(bytes(r["vector"]))
+    return {length: _means(_unit(data, kind), max(1, min(MOST_SHARDS, len(data), round(n * len(data) / len(rows) / SHARD))), seed) for length, data in by_length.items()}
+
+
+def _refined(rows: DataFrame, fine: int, kind: str) -> DataFrame:
+    """rows (class, vector, copies, shards) with each of their cells replaced by the shard of the nearest of `fine` centres of that cell."""
+    cells = rows.select("class", "vector", "copies", F.posexplode("shards").alias("k", "cell"))
+    near = Window.partitionBy("cell").orderBy(F.xxhash64("class"))
+    sample = cells.select("cell", "vector", F.row_number().over(near).alias("r")).filter(F.col("r") <= CELL_SAMPLE).select("cell", "vector")
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        x = _unit(part["vector"].tolist(), kind)
+        c = _means(x, min(fine, len(x)), 13)
+        return pd.DataFrame({"cell": part["cell"].iloc[:1], "centres": [c.tobytes()]})
+
+    centres = stored(sample.groupBy("cell").applyInPandas(fit, "cell bigint, centres binary"))
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = cells.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).drop("parts")
+    held = centres.join(sizes, "cell").select(F.col("cell").alias("c"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), "centres")
+
+    def assign(part: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        x = _unit(part["vector"].tolist(), kind)
+        c = np.frombuffer(centres["centres"].iloc[0], np.float32).reshape(-1, x.shape[1])
+        return part[["class", "k"]].assign(shard=part["cell"].to_numpy(np.int64) * (1 << 20) + (x @ c.T).argmax(1))
+
+    placed = dealt.groupBy("cell", "part").cogroup(held.groupBy("c", "p")).applyInPandas(assign, "class bigint, k int, shard bigint")
+    lists = placed.groupBy("class").agg(F.array_sort(F.collect_set("shard")).alias("shards"))  # at most `overlap` each
+    return rows.drop("shards").join(lists, "class")
 
 
 def robust_prune(v: np.ndarray, near: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
@@ -165,31 +219,34 @@ def search(v: np.ndarray, adjacency: list[np.ndarray], queries: np.ndarray, thre
         yield q, got[got != own[q]]
 
 
-def linked(classes: DataFrame, n: int, threshold: float = 0.95, slack: float = 0.05, overlap: int = 3) -> tuple[DataFrame, DataFrame]:
+def linked(classes: DataFrame, n: int, kind: str, threshold: float = 0.95, slack: float = 0.05, overlap: int = 3) -> tuple[DataFrame, DataFrame]:
     """(class, n_links) over the copies of other classes, and edges (a, b) of a spanning forest of each task's links. classes: class, vector, copies."""
     spark = classes.sparkSession
-    held = spark.sparkContext.broadcast(centroids(classes, n))
+    held = spark.sparkContext.broadcast(centroids(classes, n, kind))  # at most MOST_SHARDS centres a length
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for length, part in batch.groupby(batch["vector"].str.len() // 4):
+            for length, part in batch.groupby(batch["vector"].str.len()):
+                x = _unit(part["vector"].tolist(), kind)
                 c = held.value.get(int(length))
                 if c is None:  # a length that the sample misses
-                    c = np.zeros((1, int(length)), np.float32)
+                    c = np.zeros((1, x.shape[1]), np.float32)
                 k = min(overlap, len(c))
-                near = np.sort(np.argpartition(-(_unit(part["vector"].tolist()) @ c.T), k - 1, axis=1)[:, :k], axis=1) + int(length) * MOST_SHARDS
+                near = np.sort(np.argpartition(-(x @ c.T), k - 1, axis=1)[:, :k], axis=1) + int(length) * MOST_SHARDS
                 out.append(part.assign(shards=near.astype(np.int64).tolist()))
             if out:
                 yield pd.concat(out)[["class", "vector", "copies", "shards"]]
 
     rows = stored(classes.select("class", "vector", "copies").mapInPandas(assign, "class bigint, vector binary, copies bigint, shards array<bigint>"))
+    if n > MOST_SHARDS * SHARD:
+        rows = stored(_refined(rows, -(-n // (MOST_SHARDS * SHARD)), kind))
     placed = rows.withColumn("shard", F.explode("shards"))
     blocks = placed.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = stored(placed.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("class", "shard"), F.col("blocks")).cast("int")))
 
     def make(part: pd.DataFrame) -> pd.DataFrame:
-        v, names = _unit(part["vector"].tolist()), part["class"].to_numpy()
+        v, names = _unit(part["vector"].tolist(), kind), part["class"].to_numpy()
         return pd.DataFrame({"class": names, "near": [names[x].tolist() for x in build(v)]})
 
     lists = placed.select("shard", "block", "class", "vector").groupBy("shard", "block").applyInPandas(make, "class bigint, near array<bigint>")
@@ -199,7 +256,7 @@ def linked(classes: DataFrame, n: int, threshold: float = 0.95, slack: float = 0
         columns = ["class", "n_links", "other", "count"]
         if not len(asked) or not len(nodes):
             return pd.DataFrame(columns=columns)
-        shard, names, v = key[0], nodes["node"].to_numpy(np.int64), _unit(nodes["node_vector"].tolist())
+        shard, names, v = key[0], nodes["node"].to_numpy(np.int64), _unit(nodes["node_vector"].tolist(), kind)
         place = {int(c): i for i, c in enumerate(names)}
         adjacency = [np.array([place[j] for j in x if j in place], np.int64) for x in nodes["near"]]
         copies, first = nodes["copies"].to_numpy(np.int64), [set(x) for x in nodes["node_shards"]]
@@ -214,7 +271,7 @@ def linked(classes: DataFrame, n: int, threshold: float = 0.95, slack: float = 0
 
         counts, edges = np.zeros(len(asked), np.int64), []
         mine = [[s for s in x if s < shard] for x in asked["shards"]]
-        for q, hits in search(v, adjacency, _unit(asked["vector"].tolist()), threshold, slack, own):
+        for q, hits in search(v, adjacency, _unit(asked["vector"].tolist(), kind), threshold, slack, own):
             counted = hits if not mine[q] else np.array([h for h in hits if not any(s in first[h] for s in mine[q])], np.int64)
             counts[q] = copies[counted].sum() if len(counted) else 0
             a = root(int(asked_names[q]))
@@ -224,8 +281,8 @@ def linked(classes: DataFrame, n: int, threshold: float = 0.95, slack: float = 0
                     parent[b] = a
                     edges.append((int(asked_names[q]), None, h))
         a, b = (np.array([e[k] for e in edges], np.int64) for k in (0, 2))
-        kind, none = np.repeat([True, False], [len(asked), len(a)]), np.zeros(len(a), np.int64)
-        return pd.DataFrame({"class": np.concatenate([asked_names, a]), "n_links": np.concatenate([counts, none]), "other": np.concatenate([np.zeros(len(asked), np.int64), b]), "count": kind})
+        counted, none = np.repeat([True, False], [len(asked), len(a)]), np.zeros(len(a), np.int64)
+        return pd.DataFrame({"class": np.concatenate([asked_names, a]), "n_links": np.concatenate([counts, none]), "other": np.concatenate([np.zeros(len(asked), np.int64), b]), "count": counted})
 
     pairs = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     asked = pairs.select(*[F.col(c).alias(a) for c, a in (("shard", "s"), ("block", "of"), ("with", "in"), ("class", "class"), ("vector", "vector"), ("shards", "shards"))])
@@ -235,13 +292,13 @@ def linked(classes: DataFrame, n: int, threshold: float = 0.95, slack: float = 0
     return counts, found.filter("NOT count").select(F.col("class").alias("a"), F.col("other").alias("b"))
 
 
-def audited(classes: DataFrame, counts: DataFrame, threshold: float = 0.95) -> float:
-    """The share of brute-force links that the counts hold, over at most AUDIT classes with links (and as many others), compared with every row."""
-    known = classes.join(counts, "class", "left")
-    asked = known.orderBy(F.xxhash64("class")).limit(AUDIT).unionByName(known.filter("n_links > 0").orderBy(F.xxhash64("class")).limit(AUDIT)).select("class", "vector", "n_links").distinct().collect()
+def audited(classes: DataFrame, counts: DataFrame, kind: str, threshold: float = 0.95) -> float:
+    """The lesser of two shares of brute-force links that the counts hold, over AUDIT classes chosen by hash, each compared with every row: of all their links, and the mean share of a class with links."""
+    chosen = classes.orderBy(F.xxhash64("class")).limit(AUDIT).select("class", "vector")
+    asked = chosen.join(counts, "class", "left").collect()
     if not asked:
         return 1.0
-    held = classes.sparkSession.sparkContext.broadcast([(r["class"], bytes(r["vector"])) for r in asked])
+    held = classes.sparkSession.sparkContext.broadcast([(r["class"], bytes(r["vector"])) for r in asked])  # AUDIT vectors
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -249,29 +306,37 @@ def audited(classes: DataFrame, counts: DataFrame, threshold: float = 0.95) -> f
                 mine = [(c, x) for c, x in held.value if len(x) == length]
                 if mine:
                     names = np.array([c for c, _ in mine])
-                    hit = (_unit([x for _, x in mine]) @ _unit(part["vector"].tolist()).T >= threshold) & (names[:, None] != part["class"].to_numpy()[None])
+                    hit = (_unit([x for _, x in mine], kind) @ _unit(part["vector"].tolist(), kind).T >= threshold) & (names[:, None] != part["class"].to_numpy()[None])
                     yield pd.DataFrame({"class": names, "n": hit @ part["copies"].to_numpy(np.int64)})
 
-    true = {r["class"]: r["n"] for r in classes.select("class", "vector", "copies").mapInPandas(compare, "class bigint, n bigint").groupBy("class").agg(F.sum("n").alias("n")).collect()}
-    total = sum(true.values())
-    return sum(min(r["n_links"] or 0, true.get(r["class"], 0)) for r in asked) / total if total else 1.0
+    compared = classes.select("class", "vector", "copies").mapInPandas(compare, "class bigint, n bigint")
+    true = {r["class"]: r["n"] for r in compared.groupBy("class").agg(F.sum("n").alias("n")).collect()}  # AUDIT rows
+    found = {r["class"]: min(r["n_links"] or 0, true.get(r["class"], 0)) for r in asked}
+    linked_ones = [c for c, n in true.items() if n]
+    if not linked_ones:
+        return 1.0
+    return min(sum(found[c] for c in linked_ones) / sum(true[c] for c in linked_ones), sum(found[c] / true[c] for c in linked_ones) / len(linked_ones))
 
 
 def grouped(embeddings: DataFrame, threshold: float = 0.95, least_recall: float = 0.98) -> DataFrame:
-    """One row per row of embeddings: vec_id, n_links, component_id, kept."""
-    every = stored(vectors(embeddings))
-    classes = stored(every.filter("class IS NOT NULL").groupBy("class").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.min("vector").alias("vector")))
+    """One row per row of embeddings: vec_id, n_links, component_id, kept, and recall: the audit's figure, the same in every row."""
+    kind = kind_of(embeddings)
+    every, classes = classed(stored(vectors(embeddings)))
     n, overlap = classes.count(), 3
     if not n:
-        return every.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return every.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("recall"))
     while True:
-        counts, edges = linked(classes, n, threshold, overlap=overlap)
-        if audited(classes, counts, threshold) >= least_recall or overlap >= 24:
+        counts, edges = linked(classes, n, kind, threshold, overlap=overlap)
+        recall = audited(classes, counts, kind, threshold)
+        if recall >= least_recall:
             break
+        if overlap >= WIDEST:
+            raise RuntimeError(f"recall {recall:.4f} is below {least_recall} with {overlap} shards a vector")
         overlap *= 2
     labels = components(edges)
     named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").join(counts, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = stored(named.join(least, "component").select("class", "component_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     out = every.select("vec_id", "class").join(named, "class", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("class").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("class").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).withColumn("recall", F.lit(recall))

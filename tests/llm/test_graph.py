@@ -56,3 +56,35 @@ def test_invalid_vectors(spark):
     assert got == [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False)] + [(i, 0, i, True) for i in range(3, 10)]
     assert graph.grouped(spark.createDataFrame([], SCHEMA)).count() == 0
     assert graph.grouped(spark.createDataFrame(rows[2:4], SCHEMA)).filter("kept").count() == 2
+
+
+def test_cells_with_centres_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SHARD", 40)
+    monkeypatch.setattr(graph, "MOST_SHARDS", 4)
+    monkeypatch.setattr(graph, "BLOCK", 64)
+    rows = corpus(4, 300)
+    out = graph.grouped(spark.createDataFrame([(i, v, 0, "") for i, v in rows], SCHEMA)).collect()
+    got, want = {r["vec_id"]: r["n_links"] for r in out}, brute(rows)
+    assert sum(got.values()) >= 0.97 * sum(n for n, _ in want.values()) and all(got[i] <= want[i][0] for i in want)
+    assert out[0]["recall"] >= 0.98
+
+
+def test_double_precision_whatever_the_scale(spark):
+    rows = [(1, [1e300, 1e300]), (2, [1e300, 1e300]), (3, [2e-60, 2e-60]), (4, [1e-320, 0.0]), (5, [1.0, 1e-9]), (6, [-1.0, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in graph.grouped(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(graph, "audited", lambda *a: 0.5)
+    monkeypatch.setattr(graph, "WIDEST", 1)
+    with pytest.raises(RuntimeError, match="0.5"):
+        graph.grouped(spark.createDataFrame([(i, v, 0, "") for i, v in corpus(5, 20)], SCHEMA))
+
+
+def test_audit_sees_small_groups(spark):
+    rows = corpus(6, 60)
+    every, classes = graph.classed(graph.vectors(spark.createDataFrame([(i, v, 0, "") for i, v in rows], SCHEMA)))
+    counts, _ = graph.linked(classes, classes.count(), "<f4")
+    assert graph.audited(classes, counts, "<f4") >= 0.98
+    assert graph.audited(classes, counts.filter("n_links > 100"), "<f4") < 0.98  # the small groups' links are missing
