@@ -94,10 +94,3 @@ def multipass(queries: DataFrame, targets: DataFrame, c: MultiPassConfig | None
         some = some | h
     p = R.summarised(p.filter(some).withColumns(R.pass_scores(holds)))
     return R.ranked(R.pruned(p, c.pool))
-
-
-def admitted(pairs: DataFrame) -> DataFrame:
-    """The first blocker's admission predicate over pairs with the shared counts."""
-    return pairs.filter("exact_name OR exact_address OR shared_name >= 1 OR shared_address >= 2 OR (shared_address >= 1 AND shared_digits >= 1)")
-
-

@@ -107,16 +107,51 @@ def test_exact_limit(spark):
     assert {r["target"] for r in hits.collect()} == {"S2-0", "S2-1"} and {r["hits"] for r in over.collect()} == {6}
 
 
-def test_probe_plan():
+def plans(spark, rows, c):
+    """For each (terms, population) the plan: pairs of frequencies, and the counts."""
+    df = spark.createDataFrame([(i, [{"df": n, "field": f, "token": t} for n, f, t in terms], pop) for i, (terms, pop) in enumerate(rows)], "k int, terms array<struct<df:bigint,field:string,token:string>>, population bigint")
+    out = retrieve.planned(df, c).orderBy("k").collect()
+    return [([(r["pool"][p["i"]]["df"], r["pool"][p["j"]]["df"]) for p in r["picks"]], r) for r in out]
+
+
+def test_probe_plan(spark):
     c = presets.IndexConfig(intersection_terms=4, max_intersections=2, selective_max_probes_per_term=1, intersection_scheduler="selective_v1")
     terms = [(n, "name", f"t{n}") for n in (100, 80, 10, 20, 30, 40)]
-    plan, count = retrieve.plan_probes(terms, 10**6, c, False)
-    assert [(a[0], b[0]) for a, b in plan] == [(10, 20), (30, 40)] and count["considered"] == 6
     big = [(6000, "name", "a"), (7000, "address", "b")]
-    assert len(retrieve.plan_probes(big, 10**6, c, False)[0]) == 1
-    assert retrieve.plan_probes(big, 10_000, c, False)[1]["skipped_selectivity"] == 1
-    random.Random(3).shuffle(terms)
-    assert retrieve.plan_probes(terms, 10**6, c, False)[0] == plan
+    mixed = terms[:]
+    random.Random(3).shuffle(mixed)
+    (plan, r), (one, _), (none, s), (again, _), (empty, e), (unknown, u) = plans(spark, [(terms, 10**6), (big, 10**6), (big, 10_000), (mixed, 10**6), ([], 10), (big, None)], c)
+    assert plan == [(10, 20), (30, 40)] == again and r["considered"] == 6
+    assert len(one) == 1 and none == [] and s["skipped_selectivity"] == 1
+    assert empty == [] and e["considered"] == 0 and unknown == [] and u["skipped_selectivity"] == 1
+
+
+def test_probe_plan_equals_a_plain_search(spark):
+    """Each step takes, of all pairs still allowed, one that no other comes before: checked step by step by going through the pairs."""
+    r = random.Random(8)
+    for scheduler in ("selective_v1", "selective_v2_compact"):
+        c = presets.IndexConfig(intersection_terms=6, max_intersections=7, selective_max_probes_per_term=3, selective_max_anchor_df=60, intersection_anchor_df=20, selective_max_expected_hits=2, intersection_scheduler=scheduler)
+        rows = [([(r.choice([0, 1, 3, 9, 25, 30, 70]), f, t) for f, t in r.sample([(f, t) for f in ("name", "address") for t in ("aa", "bb", "cc", "12", "7")], r.randint(0, 9))], r.choice([10, 200, 1000])) for _ in range(40)]
+        for (terms, population), (_, row) in zip(rows, plans(spark, rows, c)):
+            pool = [(x["df"], x["field"], x["token"]) for x in row["pool"]]
+            kind = {t: "n" if t[1] == "name" else "d" if t[2].isdigit() else "w" for t in pool}
+            rare = sorted(t for t in terms if t[0] > 0)
+            assert pool == sorted(pool) and len(pool) == min(6, len(rare)) and {t for t in pool} <= set(rare)
+            for k in "ndw":
+                same = [t for t in rare if ("n" if t[1] == "name" else "d" if t[2].isdigit() else "w") == k]
+                assert not same or same[0] in pool
+            chance = lambda a, b: scheduler == "selective_v2_compact" or a[0] > 20
+            allowed = {(a, b) for i, a in enumerate(pool) for b in pool[i + 1 :] if a[0] <= 60 and not (chance(a, b) and a[0] * b[0] > 2 * population)}
+            done = []
+            for p in row["picks"]:
+                now = (pool[p["i"]], pool[p["j"]])
+                uses = lambda t: sum(t in x for x in done)
+                of_kinds = lambda x: sum({kind[x[0]], kind[x[1]]} == {kind[y[0]], kind[y[1]]} for y in done)
+                order = lambda x: (max(map(uses, x)), sum(map(uses, x)), of_kinds(x), x[0][0] * x[1][0], x)
+                open_ = [x for x in allowed - set(done) if max(map(uses, x)) < 3]
+                assert now in open_ and all(order(now) <= order(x) for x in open_)
+                done.append(now)
+            assert len(done) == 7 or not [x for x in allowed - set(done) if max(sum(t in y for y in done) for t in x) < 3]
 
 
 def test_budget_equals_sequential_model(spark):
