@@ -29,22 +29,28 @@ def rendered(role: Column, text: Column) -> Column:
 
 
 def prefixes(conversations: DataFrame) -> DataFrame:
-    """conv_id, part, place (from 1), n_turns, h1, h2, and role and text: every turn with the hashes of the prefix that it ends."""
+    """conv_id, place (from 1), n_turns, h1, h2, and role and text: every turn with the hashes of the prefix that it ends."""
     t = conversations.select(F.col("conv_id").cast("bigint"), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("part", F.coalesce(F.floor(F.col("turn") / PART), F.lit(1 << 60)).cast("bigint"))
-    t = t.withColumn("own", F.row_number().over(Window.partitionBy("conv_id", "part").orderBy(F.col("turn").asc_nulls_last(), "role", "text")))
-    parts = t.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("conv_id").orderBy("part")
-    parts = parts.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), (F.sum("n").over(order) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy("conv_id")).alias("n_turns"))
-    t = t.join(parts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))).withColumn("place", F.col("own") + F.col("before")).drop("c", "p", "before", "own", "turn")
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_last(), "role", "text", "own"]
+    ranged = t.withColumn("own", F.monotonically_increasing_id()).orderBy(*order)
+    t = stored(ranged.select("conv_id", "role", "text", F.monotonically_increasing_id().alias("at")))  # `at` rises along the sorted table
+    t = t.withColumn("stretch", F.shiftright("at", 33))
+    inner = Window.partitionBy("conv_id", "stretch").orderBy("at")
+    outer = Window.partitionBy("conv_id").orderBy("stretch")
+
+    def before(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
+        """rows with, for each sum, what the conversation's earlier stretches hold (b_…) and what all do (n_…)."""
+        per = rows.groupBy("conv_id", "stretch").agg(*[v.alias(k) for k, v in sums.items()])
+        exact = lambda c, k: c.cast("bigint" if k == "n" else "decimal(38,0)")
+        per = per.select(F.col("conv_id").alias("c"), F.col("stretch").alias("s"), *[exact(F.sum(k).over(outer) - F.col(k), k).alias(f"b_{k}") for k in sums], *[exact(F.sum(k).over(Window.partitionBy("conv_id")), k).alias(f"n_{k}") for k in sums])
+        return rows.join(per, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("stretch") == F.col("s"))).drop("c", "s")
+
+    t = before(t, {"n": F.count("*")}).withColumn("place", F.row_number().over(inner) + F.col("b_n"))
     for k in (1, 2):  # sums of 64-bit numbers, exact in 38 digits
         t = t.withColumn(f"x{k}", F.xxhash64(F.lit(k), "place", "role", "text").cast("decimal(38,0)"))
-    inner = Window.partitionBy("conv_id", "part").orderBy("place")
-    t = stored(t.withColumn("s1", F.sum("x1").over(inner).cast("decimal(38,0)")).withColumn("s2", F.sum("x2").over(inner).cast("decimal(38,0)")))
-    sums = t.groupBy("conv_id", "part").agg(F.sum("x1").cast("decimal(38,0)").alias("t1"), F.sum("x2").cast("decimal(38,0)").alias("t2"))
-    sums = sums.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), *[(F.sum(f"t{k}").over(order) - F.col(f"t{k}")).cast("decimal(38,0)").alias(f"b{k}") for k in (1, 2)])
-    t = t.join(sums, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
-    return t.select("conv_id", "part", "place", "n_turns", *[(F.col(f"s{k}") + F.col(f"b{k}")).cast("decimal(38,0)").alias(f"h{k}") for k in (1, 2)], "role", "text")
+    t = stored(t.withColumn("s1", F.sum("x1").over(inner).cast("decimal(38,0)")).withColumn("s2", F.sum("x2").over(inner).cast("decimal(38,0)")).drop("b_n"))
+    t = before(t, {"t1": F.sum("x1").cast("decimal(38,0)"), "t2": F.sum("x2").cast("decimal(38,0)")})
+    return t.select("conv_id", "place", F.col("n_n").alias("n_turns"), *[(F.col(f"s{k}") + F.col(f"b_t{k}")).cast("decimal(38,0)").alias(f"h{k}") for k in (1, 2)], "role", "text")
 
 
 def maximal(marked: DataFrame) -> DataFrame:
@@ -59,22 +65,23 @@ def formatted(conversations: DataFrame) -> DataFrame:
     """A row per maximal conversation and part: conv_id, part, n_turns (of the conversation), copies, text."""
     marked = stored(prefixes(conversations))
     kept = stored(maximal(marked)).withColumnRenamed("conv_id", "kept_id")
-    turns = marked.join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id")))
+    turns = marked.join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id"))).withColumn("part", F.floor((F.col("place") - 1) / PART).cast("bigint"))
     lines = turns.groupBy("conv_id", "part", "n_turns", "copies").agg(F.array_sort(F.collect_list(F.struct("place", rendered(F.col("role"), F.col("text")).alias("line")))).alias("lines"))
     return lines.select("conv_id", "part", "n_turns", "copies", F.array_join("lines.line", "").alias("text"))
 
 
-#: The same in DuckDB, for logs whose turn numbers are below 1,024 (one part).
-SQL = """
+#: The same in DuckDB.
+SQL = f"""
 WITH t AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, ''), coalesce(text, '')) AS place,
     concat('<|', replace(coalesce(role, ''), '<|', '< |'), '|>', chr(10), replace(coalesce(text, ''), '<|', '< |'), '<|end|>', chr(10)) AS line
   FROM conversations),
 s AS (
-  SELECT conv_id, place, count(*) OVER (PARTITION BY conv_id) AS n_turns,
-    string_agg(line, '') OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS text
+  SELECT conv_id, place, line, count(*) OVER (PARTITION BY conv_id) AS n_turns,
+    string_agg(concat(length(line), ':', line), '') OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix
   FROM t),
-whole AS (SELECT min(conv_id) AS conv_id, n_turns, count(*) AS copies, text FROM s WHERE place = n_turns GROUP BY n_turns, text)
-SELECT conv_id, CAST(0 AS BIGINT) AS part, n_turns, copies, text FROM whole
-WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.place < s.n_turns AND s.place = whole.n_turns AND s.text = whole.text)
+whole AS (SELECT min(conv_id) AS conv_id, n_turns, count(*) AS copies, prefix FROM s WHERE place = n_turns GROUP BY n_turns, prefix),
+kept AS (SELECT * FROM whole WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.place < s.n_turns AND s.place = whole.n_turns AND s.prefix = whole.prefix))
+SELECT kept.conv_id, CAST((s.place - 1) // {PART} AS BIGINT) AS part, kept.n_turns, kept.copies, string_agg(s.line, '' ORDER BY s.place) AS text
+FROM kept JOIN s ON s.conv_id IS NOT DISTINCT FROM kept.conv_id GROUP BY ALL
 """

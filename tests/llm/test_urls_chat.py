@@ -108,20 +108,29 @@ def test_equals_sql(spark):
     for conv in range(120):
         turns = [(r.choice(["user", "assistant", None]), r.choice(["a", "b", None])) for _ in range(r.randint(1, 5))]
         rows += [(conv, r.choice([k, k, None, 0]), role, text, "") for k, (role, text) in enumerate(turns)]
-    df = spark.createDataFrame(rows, CHAT)
-    conversations = df.toPandas()  # noqa: F841
-    conversations["turn"] = conversations["turn"].astype("Int64")
+    rows += [(None, r.choice([None, 1]), "user", r.choice("abc"), "") for _ in range(40)]
+    rows += [(500, k if k % 3 else None, "user", f"t{k % 50}", "") for k in range(2100)]
+    df = spark.createDataFrame(rows, CHAT).repartition(7)
+    conversations = df.toPandas()
+    conversations["turn"], conversations["conv_id"] = conversations["turn"].astype("Int64"), conversations["conv_id"].astype("Int64")
     c = duckdb.connect()
     c.register("conversations", conversations)
-    want = sorted(map(tuple, c.execute(chat.SQL).fetchall()))
-    null = df.filter("turn IS NULL").select("conv_id").distinct()
-    assert null.count()
-    plain = df.join(null, "conv_id", "left_anti")
-    conversations2 = plain.toPandas()
-    c.register("conversations", conversations2)
-    want = sorted(map(tuple, c.execute(chat.SQL).fetchall()))
-    got = sorted((r["conv_id"], r["part"], r["n_turns"], r["copies"], r["text"]) for r in chat.formatted(plain).collect())
-    assert got == want and chat.formatted(df).count() > 0
+    key = lambda x: tuple((v is None, v) for v in x)
+    want = sorted(map(tuple, c.execute(chat.SQL).fetchall()), key=key)
+    got = sorted(((r["conv_id"], r["part"], r["n_turns"], r["copies"], r["text"]) for r in chat.formatted(df).collect()), key=key)
+    assert got == want and any(x[1] == 2 for x in got) and any(x[0] is None for x in got)
+
+
+def test_a_log_without_ids_or_turns_is_not_one_row(spark):
+    """Half of the rows have no conv_id and no turn: they spread over tasks and rows."""
+    rows = [(None, None, "user", f"text {k % 700}", "") for k in range(6000)] + [(k, 0, "user", f"x{k}", "") for k in range(6000)]
+    d = spark.createDataFrame(rows, CHAT).repartition(6)
+    places = chat.prefixes(d).filter("conv_id IS NULL").select("place", "text").collect()
+    assert sorted(r["place"] for r in places) == list(range(1, 6001))
+    assert [r["text"] for r in sorted(places)] == sorted(t for _, _, _, t, _ in rows[:6000])
+    got = chat.formatted(d).filter("conv_id IS NULL").collect()
+    assert len(got) == 6 and {r["n_turns"] for r in got} == {6000}
+    assert "".join(r["text"] for r in sorted(got, key=lambda r: r["part"])).count("<|end|>") == 6000
 
 
 def test_long_conversations_have_parts(spark):
@@ -131,4 +140,4 @@ def test_long_conversations_have_parts(spark):
     text = "".join(r["text"] for r in sorted((r for r in got if r["conv_id"]), key=lambda r: r["part"]))
     assert text == "".join(f"<|user|>\nt{k}<|end|>\n" for k in range(3000))
     assert chat.formatted(spark.createDataFrame([], CHAT)).count() == 0
-    assert chat.formatted(spark.createDataFrame(rows, CHAT).withColumn("turn", F.lit(None).cast("long"))).count() > 0
+    assert sorted((r["conv_id"] or -1, r["part"]) for r in chat.formatted(spark.createDataFrame(rows, CHAT).withColumn("turn", F.lit(None).cast("long"))).collect()) == [(-1, 0), (1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2)]
