@@ -1,10 +1,18 @@
 """Quality rules with risk-controlled cutoffs (native: DataFrame functions only).
 
-Each document gets counts over its whole text. A rule rejects a document whose measure is at or above a cutoff; the
-cutoffs come from a fixed grid and are chosen per stratum on labelled documents: a cutoff is admissible only if the exact
-binomial upper bound (Clopper-Pearson) on its share of falsely rejected good documents stays below `alpha / rules`, at
-confidence `1 - delta`, corrected (Bonferroni) for every stratum, rule and cutoff tried. Of the admissible ones the rule
-takes the one that catches most bad documents, where each good one lost weighs `loss` times as much.
+Each document gets counts over its whole text. A rule rejects a document whose measure is at or above a cutoff. Cutoffs come
+from fixed grids and are chosen per stratum on labelled documents that the base rule keeps, in two halves by a hash of the id:
+
+1. The first half orders the steps (rule, cutoff): each rule goes from its strictest cutoff to the one of its greatest gain
+   (share of bad documents caught less `loss` times the share of good ones lost), and the steps of all rules are merged by
+   the share of good documents that they lose.
+2. The second half certifies them along this path. A step is tested by how many good documents it and all before it reject
+   together: it passes if the exact binomial upper bound (Clopper-Pearson) on that share stays below `alpha`. Steps are tested
+   in the order that was fixed before (fixed-sequence testing), up to the first that fails, so that a stratum needs no
+   correction for their number; `delta` is divided by the number of strata (Bonferroni).
+
+So with probability 1 - delta, in no stratum do the rules together reject more than `alpha` of the good documents. With
+alpha = 0.03, delta = 0.05 and four strata a stratum needs 144 good labelled documents in the second half, about 290 in all.
 
 Defined cases: null and empty texts have no words and fail the base rule; a null stratum is a stratum of its own; a stratum
 with too few labels to certify anything gets no cutoff, so only the base rule acts there; null, contradictory or repeated
@@ -14,7 +22,7 @@ result. Other columns of the input have no effect, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.common import occurrences, spaced, stored, words_of
@@ -91,40 +99,76 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     return with_measures(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(stratum).alias("lang"))).select("doc_id", "_q.*")
 
 
-def certified(k: Column, n: Column, alpha: Column, delta: Column) -> Column:
-    """Whether k false rejections among n good documents show, at confidence 1 - delta, a rate below alpha: P(Binomial(n, alpha) <= k) <= delta, exactly.
+def _log_gamma(x: Column) -> Column:
+    """Stirling's series at x + 7, brought back to x."""
+    z = x + 7
+    series = (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+    for i in range(7):
+        series = series - F.log(x + i)
+    return series
 
-    The last term is taken by logarithms and the others by their ratios downwards, which fall since only k < n * alpha can pass.
-    """
-    up_to_k = F.sequence(F.lit(1).cast("bigint"), k)
-    last = F.aggregate(up_to_k, k * F.log(alpha) + (n - k) * F.log(1 - alpha), lambda s, i: s + F.log((n - k + i) / i.cast("double")))
-    tail = F.aggregate(
-        up_to_k, F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")),
-        lambda s, i: F.struct((s["term"] * (k - i + 1) * (1 - alpha) / ((n - k + i) * alpha)).alias("term"), (s["sum"] + s["term"] * (k - i + 1) * (1 - alpha) / ((n - k + i) * alpha)).alias("sum")),
-        lambda s: s["sum"],
-    )
-    log_p = F.when(k == 0, n * F.log(1 - alpha)).otherwise(last + F.log(tail))
-    return F.when((n > 0) & (k < n * alpha), log_p <= F.log(delta)).otherwise(F.lit(False))
 
+def _at_most(k: Column, n: Column, p: Column) -> Column:
+    """P(Binomial(n, p) <= k) for k < n * p: the regularised incomplete beta function of (n - k, k + 1) at 1 - p, by its continued fraction, whose steps grow with the root of n."""
+    a, b, x = n - k, k + 1.0, 1.0 - p
+    safe = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
 
-def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = 0.06, delta: float = 0.05, loss: float = 20.0) -> DataFrame:
-    """The chosen cutoffs: (stratum, rule, cutoff, good, good_lost, bad, bad_caught). Counts are first summed per stratum and measure step, so nothing is gathered by stratum.
+    def half(s: Column, step: Column) -> Column:
+        d, c = 1 / safe(1 + step * s["d"]), safe(1 + step / s["c"])
+        return F.struct(d.alias("d"), c.alias("c"), (s["h"] * d * c).alias("h"))
 
-    Documents that the base rule rejects are left out: the method judges what is left.
-    """
-    marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    held = measured.filter(~F.col("base_failed")).join(marks, "doc_id").withColumn("is_good", (F.col("quality") > 0).cast("long"))
+    def both(s: Column, m: Column) -> Column:
+        even = half(s, m * (b - m) * x / ((a - 1 + 2 * m) * (a + 2 * m)))
+        return F.get(F.transform(F.array(even), lambda t: half(t, -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 1 + 2 * m)))), F.lit(0))
+
+    first = 1 / safe(1 - (a + b) * x / (a + 1))
+    steps = F.sequence(F.lit(1), (F.ceil(5 * F.sqrt(n)) + 50).cast("int"))
+    fraction = F.aggregate(steps, F.struct(first.alias("d"), F.lit(1.0).alias("c"), first.alias("h")), both, lambda s: s["h"])
+    return F.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * F.log(x) + b * F.log(p)) * fraction / a
+
+
+def certified(k: Column, n: Column, alpha: Column, delta: Column) -> Column:
+    """Whether k false rejections among n good documents show, at confidence 1 - delta, a rate below alpha: P(Binomial(n, alpha) <= k) <= delta, exactly."""
+    k, n = k.cast("double"), n.cast("double")
+    return F.when((n > 0) & (k < n * alpha), _at_most(k, n, alpha) <= delta).otherwise(F.lit(False))
+
+
+def _path(half: DataFrame, loss: float) -> DataFrame:
+    """(stratum, rank, rule, cutoff): the steps in the order in which they are to be tested. Counts are first summed per stratum and measure step, so nothing is gathered by stratum; a stratum has at most as many rows as GRIDS has cutoffs."""
     steps = [F.struct(F.lit(name).alias("rule"), sum(((F.col(name) >= c).cast("int") for c in grid), F.lit(0)).alias("step")) for name, grid in GRIDS.items()]
-    counts = stored(held.select("stratum", "is_good", F.explode(F.array(*steps)).alias("s")).groupBy("stratum", "s.rule", "s.step").agg(F.sum("is_good").alias("good"), F.sum(1 - F.col("is_good")).alias("bad")))
+    counts = half.select("stratum", "good", F.explode(F.array(*steps)).alias("s")).groupBy("stratum", "s.rule", "s.step").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
     per = counts.groupBy("stratum", "rule").agg(F.collect_list(F.struct("step", "good", "bad")).alias("at"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))  # at most one entry for each step of a grid
-    tried = max(1, counts.select("stratum").distinct().count()) * sum(len(g) for g in GRIDS.values())
     grid = F.create_map(*[x for name, g in GRIDS.items() for x in (F.lit(name), F.array(*[F.struct(F.lit(i + 1).alias("step"), F.lit(c).alias("cutoff")) for i, c in enumerate(g)]))])
     over = lambda what: F.aggregate("at", F.lit(0).cast("bigint"), lambda s, x: s + F.when(x["step"] >= F.col("g.step"), x[what]).otherwise(0))
-    tests = per.select("*", F.explode(F.element_at(grid, F.col("rule"))).alias("g")).select("stratum", "rule", "good", "bad", F.col("g.cutoff").alias("cutoff"), over("good").alias("good_lost"), over("bad").alias("bad_caught"))
-    sure = tests.filter(certified(F.col("good_lost"), F.col("good"), F.lit(alpha / len(GRIDS)), F.lit(delta / tried)))
-    gain = F.try_divide(F.col("bad_caught").cast("double"), F.col("bad").cast("double")) - loss * F.col("good_lost") / F.col("good")
-    best = sure.withColumn("gain", gain).filter("gain > 0").groupBy("stratum", "rule").agg(F.max(F.struct("gain", "cutoff", "good", "good_lost", "bad", "bad_caught")).alias("b"))
-    return best.select("stratum", "rule", "b.cutoff", "b.good", "b.good_lost", "b.bad", "b.bad_caught")
+    tests = per.select("*", F.explode(F.element_at(grid, F.col("rule"))).alias("g")).select("stratum", "rule", "g.cutoff", F.try_divide(over("good").cast("double"), F.col("good")).alias("lost"), F.try_divide(over("bad").cast("double"), F.col("bad")).alias("caught"))
+    gain = F.col("caught") - loss * F.col("lost")
+    best = F.max(F.when(F.col("gain") > 0, F.struct("gain", "cutoff"))).over(Window.partitionBy("stratum", "rule"))["cutoff"]
+    useful = tests.withColumn("gain", gain).withColumn("best", best).filter("cutoff >= best AND caught > 0")
+    order = Window.partitionBy("stratum").orderBy("lost", F.desc("caught"), "rule", F.desc("cutoff"))
+    return useful.select("stratum", F.row_number().over(order).alias("rank"), "rule", "cutoff")
+
+
+def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = 0.03, delta: float = 0.05, loss: float = 20.0) -> DataFrame:
+    """The certified cutoffs: (stratum, rule, cutoff), and of the stratum's second half good, good_lost, bad, bad_caught by all its rules together."""
+    marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = measured.filter(~F.col("base_failed")).join(marks, "doc_id").withColumn("good", (F.col("quality") > 0).cast("long"))
+    known = stored(known.select("stratum", "good", (F.xxhash64("doc_id") % 2 == 0).alias("tuning"), *GRIDS))
+    path = stored(_path(known.filter("tuning"), loss))
+    lists = path.groupBy(F.col("stratum").alias("s")).agg(F.collect_list(F.struct("rank", "rule", "cutoff")).alias("steps"))
+    value = F.create_map(*[x for name in GRIDS for x in (F.lit(name), F.col(name))])
+    first = F.array_min(F.transform(F.filter("steps", lambda x: F.element_at(F.col("value"), x["rule"]) >= x["cutoff"]), lambda x: x["rank"]))
+    judged_by = known.filter("NOT tuning").withColumn("value", value).join(lists, F.col("stratum").eqNullSafe(F.col("s")), "left").select("stratum", "good", first.alias("first"))
+    counts = stored(judged_by.groupBy("stratum", "first").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")))
+    totals = counts.groupBy(F.col("stratum").alias("s")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    strata = max(1, totals.count())
+    at = counts.filter("first IS NOT NULL").select(F.col("stratum").alias("cs"), F.col("first").alias("cr"), F.col("good").alias("g"), F.col("bad").alias("b"))
+    sofar = Window.partitionBy("stratum").orderBy("rank")
+    steps = path.join(at, F.col("stratum").eqNullSafe(F.col("cs")) & (F.col("rank") == F.col("cr")), "left").join(totals, F.col("stratum").eqNullSafe(F.col("s")))
+    steps = steps.withColumn("good_lost", F.coalesce(F.sum("g").over(sofar), F.lit(0))).withColumn("bad_caught", F.coalesce(F.sum("b").over(sofar), F.lit(0)))
+    passed = F.min(certified(F.col("good_lost"), F.col("good"), F.lit(alpha), F.lit(delta / strata))).over(sofar)
+    last = Window.partitionBy("stratum")
+    kept = steps.withColumn("passed", passed).filter("passed").withColumn("good_lost", F.max("good_lost").over(last)).withColumn("bad_caught", F.max("bad_caught").over(last))
+    return kept.groupBy("stratum", "rule", "good", "good_lost", "bad", "bad_caught").agg(F.min("cutoff").alias("cutoff")).select("stratum", "rule", "cutoff", "good", "good_lost", "bad", "bad_caught")
 
 
 def _with_verdicts(measured: DataFrame, q: str, chosen: DataFrame) -> DataFrame:
@@ -136,16 +180,17 @@ def _with_verdicts(measured: DataFrame, q: str, chosen: DataFrame) -> DataFrame:
     return out.withColumn("_rejected_by", F.when(F.col(f"{q}base_failed"), F.lit("base")).otherwise(rule)).drop(*wide.columns)
 
 
-def judged(docs: DataFrame, labels: DataFrame, alpha: float = 0.06, delta: float = 0.05, loss: float = 20.0, **columns: str) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, alpha: float = 0.03, delta: float = 0.05, loss: float = 20.0, **columns: str) -> DataFrame:
     """Every row of docs with its measures, base_failed, rejected_by (the first rule that rejects it, else null) and kept."""
     m = stored(measures(docs, **columns))
     return _with_verdicts(m, "", cutoffs(m, labels, alpha, delta, loss)).withColumnRenamed("_rejected_by", "rejected_by").withColumn("kept", F.col("rejected_by").isNull())
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.06, delta: float = 0.05, loss: float = 20.0) -> DataFrame:
-    """The rows of docs that are kept, with their columns. The measures are taken twice, for the cutoffs and for the verdicts, so that no text is shuffled."""
-    chosen = cutoffs(stored(measures(docs)), labels, alpha, delta, loss)
-    return _with_verdicts(with_measures(docs), "_q.", chosen).filter("_rejected_by IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns])
+def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.03, delta: float = 0.05, loss: float = 20.0) -> DataFrame:
+    """The rows of docs that are kept, with their columns. Each text is measured once: the rows are stored with their measures, and no text is shuffled."""
+    m = stored(with_measures(docs))
+    chosen = cutoffs(m.select("doc_id", "_q.*"), labels, alpha, delta, loss)
+    return _with_verdicts(m, "_q.", chosen).filter("_rejected_by IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def result(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def test_counts(spark):
     assert {r["doc_id"]: r["base_failed"] for r in rows} == {i: (b[0] < 20 or 100 * b[4] > 30 * b[0]) for i, b in ((i, brute(t)) for i, t in enumerate(TEXTS))}
 
 
-@pytest.mark.parametrize("n, alpha, delta", [(50, 0.1, 0.05), (300, 0.02, 0.01), (900, 0.02, 0.001), (0, 0.1, 0.05)])
+@pytest.mark.parametrize("n, alpha, delta", [(50, 0.1, 0.05), (300, 0.02, 0.01), (900, 0.02, 0.001), (0, 0.1, 0.05), (1, 0.9, 0.2), (1000, 0.03, 0.0125)])
 def test_exact_binomial_bound(spark, n, alpha, delta):
     df = spark.range(0, n + 1).select(F.col("id").alias("k"), F.lit(n).cast("bigint").alias("n"))
     got = {r["k"]: r["ok"] for r in df.select("k", quality.certified(F.col("k"), F.col("n"), F.lit(alpha), F.lit(delta)).alias("ok")).collect()}
@@ -76,3 +76,65 @@ def test_plan_has_no_python(spark):
     d, labels = labelled(spark)
     plan = quality.result(d, labels)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_many_labels(spark):
+    """A million good documents: the bound is that of the normal approximation, within a few parts in a thousand, in few steps."""
+    n, alpha = 1_000_000, 0.03
+    sd = math.sqrt(n * alpha * (1 - alpha))
+    df = spark.createDataFrame([(int(n * alpha - z * sd), n) for z in (1.5, 1.7, 3.0)], "k bigint, n bigint")
+    got = [r[0] for r in df.select(quality.certified(F.col("k"), F.col("n"), F.lit(alpha), F.lit(0.05))).collect()]
+    assert got == [False, True, True]
+
+
+def plain_cutoffs(rows, alpha, delta, loss, tuning):
+    """rows: (id, stratum, good, {rule: value}). The choice by loops over documents."""
+    strata = {s for i, s, _, _ in rows if not tuning[i]}
+    out = {}
+    for s in strata:
+        mine = [r for r in rows if r[1] == s]
+        first, second = [r for r in mine if tuning[r[0]]], [r for r in mine if not tuning[r[0]]]
+        good, bad = [r for r in first if r[2]], [r for r in first if not r[2]]
+        if not good or not bad:
+            continue
+        path = []
+        for rule, grid in quality.GRIDS.items():
+            share = lambda docs, c: sum(r[3][rule] >= c for r in docs) / len(docs)
+            gains = [(share(bad, c) - loss * share(good, c), c) for c in grid]
+            if max(gains)[0] > 0:
+                path += [(share(good, c), -share(bad, c), rule, -c) for g, c in gains if c >= max(gains)[1] and share(bad, c) > 0]
+        n = sum(r[2] for r in second)
+        chosen = {}
+        for _, _, rule, c in sorted(path):
+            trial = chosen | {rule: min(-c, chosen.get(rule, math.inf))}
+            lost = sum(r[2] and any(r[3][x] >= y for x, y in trial.items()) for r in second)
+            if sum(math.comb(n, k) * alpha**k * (1 - alpha) ** (n - k) for k in range(lost + 1)) > delta / len(strata) or lost >= n * alpha:
+                break
+            chosen = trial
+        out |= {(s, rule): c for rule, c in chosen.items()}
+    return out
+
+
+@pytest.mark.parametrize("seed, n", [(1, 1500), (2, 400), (3, 6000)])
+def test_cutoffs_equal_brute_force(spark, seed, n):
+    import random
+
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        good = int(r.random() < 0.7)
+        values = {name: float(r.choice([0.0, *grid[: 3 if good and r.random() < 0.99 else 8]]) if r.random() < (0.03 if good else 0.4) else 0.0) for name, grid in quality.GRIDS.items()}
+        rows.append((i, r.choice(["en"] * 6 + ["de", None]), good, values))
+    measured = spark.createDataFrame([(i, s, False, *v.values()) for i, s, _, v in rows], "doc_id bigint, stratum string, base_failed boolean, " + ", ".join(f"{x} double" for x in quality.GRIDS))
+    labels = spark.createDataFrame([(i, g, 0) for i, _, g, _ in rows] + [(rows[0][0], 1, 0), (None, 0, 0), (10**9, 0, 0)], "doc_id bigint, quality int, toxic int")
+    tuning = {r["id"]: r["t"] for r in spark.range(n).select("id", (F.xxhash64("id") % 2 == 0).alias("t")).collect()}
+    got = {(x["stratum"], x["rule"]): x["cutoff"] for x in quality.cutoffs(measured, labels).collect()}
+    assert got == plain_cutoffs(rows, 0.03, 0.05, 20.0, tuning)
+    assert got or n == 400
+
+
+def test_null_strata_and_contradictory_labels(spark):
+    d, labels = labelled(spark)
+    both = labels.unionByName(labels.filter("doc_id < 40").withColumn("quality", F.lit(0)))  # 40 good ones are called bad too
+    got = quality.judged(d.withColumn("lang", F.lit(None).cast("string")).unionByName(d.limit(5)), both)
+    assert got.count() == 1505 and got.filter("doc_id >= 1200 AND NOT kept").count() == 300 and got.filter("doc_id < 1200 AND NOT kept").count() == 0
