@@ -50,8 +50,8 @@ def _block_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix(h), starts
 
 
-def word_hashes(texts: Iterable[str | None], lower: bool = True) -> Iterator[np.ndarray]:
-    """For each text (null: empty) the hashes of its words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased unless told otherwise."""
+def word_hashes(texts: Iterable[str | bytes | None], lower: bool = True) -> Iterator[np.ndarray]:
+    """For each text (null: empty; or its UTF-8 bytes) the hashes of its words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased unless told otherwise."""
     waiting: list[bytes] = []
     size = 0
 
@@ -62,7 +62,7 @@ def word_hashes(texts: Iterable[str | None], lower: bool = True) -> Iterator[np.
         yield from np.split(h, np.searchsorted(starts, cuts)[:-1])
 
     for text in texts:
-        data = (text or "").encode("utf-8", "surrogatepass")
+        data = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
         data = data.lower() if lower else data  # bytes: A-Z alone
         if waiting and (size + len(data) + 1 > BLOCK or len(data) > BLOCK // 2):
             yield from done()
