@@ -40,7 +40,7 @@ def finite(scored: DataFrame, column: str = "score") -> DataFrame:
 def accepted(scored: DataFrame, policy: Policy) -> DataFrame:
     """The pairs (s1, target, score) that the policy accepts. scored: s1, source, target, score, and numeric_conflict and guardian_probability if the policy asks for them."""
     p = scored.withColumn("score", F.col("score") - policy.penalty * F.col("numeric_conflict")) if policy.penalty else scored
-    p = p.filter(F.col("score") >= F.when(F.col("source") == "S2", F.lit(policy.s2)).otherwise(F.lit(policy.s3)))
+    p = p.filter(F.col("score") >= F.when(F.col("source") == "S2", F.lit(policy.s2)).when(F.col("source") == "S3", F.lit(policy.s3)))
     if policy.guardian is not None:
         p = p.filter(F.col("guardian_probability") > policy.guardian)
     return (exclusive(p) if policy.exclusivity else p).select("s1", "target", "score")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions import text as X
+from kindred.sources.store import stored
 
 
 def keys(records: DataFrame) -> DataFrame:
@@ -41,7 +42,12 @@ def idf(df: Column, population: Column) -> Column:
 
 
 def build(records: DataFrame) -> dict[str, DataFrame]:
-    """All tables of the index from records (entity_id, business_name, business_address, country, source)."""
-    r = X.represented(records)
+    """All tables of the index from records (entity_id, business_name, business_address, country, source). The texts are represented once: the tables are lazy, what they are made of is stored."""
+    r = stored(X.represented(records))
     posted = postings(r)
     return {"records": r, "keys": keys(r), "postings": posted, "token_df": token_df(posted), "populations": populations(r)}
+
+
+def materialised(idx: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The index with every table stored, for queries that read them several times."""
+    return {name: df if name == "records" else stored(df) for name, df in idx.items()}

@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.operators.ranking import top
+from kindred.sources.store import numbered
+
+
+def _ordered(entities: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """entities (columns) with `_k`, each row's number from 1 by key within its stratum, and `_n`, the stratum's rows."""
+    sizes = entities.groupBy(*by).agg(F.count("*").alias("_n"))
+    return numbered(entities, by, "key", "s1", name="_k", first=1).join(sizes, by).select(*columns, *[c for c in by if c not in columns], "_k", "_n")
 
 
 def split(entities: DataFrame, fraction: float) -> DataFrame:
     """entities (s1, country, n_true, key) with `validation`: of each stratum (country, has matches) the first round-half-even(n * fraction) by key; of two or more records at least one stays on either side."""
-    strata = ["country", F.col("n_true") > 0]
-    n = F.count("*").over(Window.partitionBy(*strata))
-    take = F.bround(n * F.lit(fraction), 0).cast("bigint")
-    take = F.when(n >= 2, F.greatest(F.lit(1), F.least(take, n - 1))).otherwise(take)
-    k = F.row_number().over(Window.partitionBy(*strata).orderBy("key", "s1"))
-    return entities.withColumn("validation", k <= take)
+    rows = _ordered(entities.withColumn("_has", F.col("n_true") > 0), ["country", "_has"], entities.columns)
+    take = F.bround(F.col("_n") * F.lit(fraction), 0).cast("bigint")
+    take = F.when(F.col("_n") >= 2, F.greatest(F.lit(1), F.least(take, F.col("_n") - 1))).otherwise(take)
+    return rows.withColumn("validation", F.col("_k") <= take).select(*entities.columns, "validation")
 
 
 def allocate(groups: DataFrame, size: int, by: list[str]) -> DataFrame:
@@ -30,8 +35,7 @@ def allocate(groups: DataFrame, size: int, by: list[str]) -> DataFrame:
 def stratified(entities: DataFrame, size: int, by: list[str]) -> DataFrame:
     """Exactly size rows of entities (…, key): each stratum's share, by key."""
     takes = allocate(entities.groupBy(*by).agg(F.count("*").alias("n")), size, by).drop("n")
-    k = F.row_number().over(Window.partitionBy(*by).orderBy("key", "s1"))
-    return entities.withColumn("_k", k).join(takes, by).filter("_k <= take").drop("_k", "take")
+    return _ordered(entities, by, entities.columns).join(takes, by).filter("_k <= take").select(*entities.columns)
 
 
 def excluding(entities: DataFrame, used: DataFrame, size: int) -> DataFrame:

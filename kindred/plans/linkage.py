@@ -9,6 +9,7 @@ from kindred.functions import text as X
 from kindred.functions.hashing import entity_key, pair_key
 from kindred.operators import blocking, decide, features, index, metrics, model, ranking, retrieve, sampling
 from kindred.plans import presets
+from kindred.sources.store import stored
 from kindred.sources.tsv import submission
 
 
@@ -20,7 +21,7 @@ def sides(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 def candidates(records: DataFrame, config: presets.IndexConfig | None = None) -> DataFrame:
     """All retrieved pairs by the source-side index."""
     queries, targets = sides(records)
-    return retrieve.retrieved(X.represented(queries), index.build(targets), config)
+    return retrieve.retrieved(stored(X.represented(queries)), index.materialised(index.build(targets)), config)
 
 
 def rule_matches(records: DataFrame, threshold: float = 96.0, config: presets.LexicalConfig | None = None) -> tuple[DataFrame, DataFrame]:
@@ -55,7 +56,7 @@ def split(records: DataFrame, truth: DataFrame, fraction: float = 0.25, seed: in
 
 def matched(records: DataFrame, fitted, policy: decide.Policy, config: presets.IndexConfig | None = None) -> dict[str, DataFrame]:
     """The final query: matches and candidates of every reference record, as output tables."""
-    pairs = featured(records, config)
+    pairs = stored(featured(records, config))
     scored = decide.finite(model.scored(pairs, fitted))
     entities = sides(records)[0].select(F.col("entity_id").alias("s1"))
     return {"matching_results": submission(entities, decide.accepted(scored, policy)), "candidate_pairs": submission(entities, pairs.select("s1", "target"), "candidate_entity_ids")}
@@ -63,10 +64,10 @@ def matched(records: DataFrame, fitted, policy: decide.Policy, config: presets.I
 
 def experiment(records: DataFrame, truth: DataFrame, pipeline=None, names: tuple[str, ...] = features.ALL, config: presets.IndexConfig | None = None) -> dict:
     """Fit on one part of the records, tune thresholds on another, evaluate on the third: model, policy and metrics."""
-    pairs = labelled(featured(records, config), truth).persist()
+    pairs = stored(labelled(featured(records, config), truth))
     held = split(records, truth, 0.3, 2028).filter("validation").select("s1")
     e = truth.select("s1", F.size("targets").alias("n_true")).join(records.select(F.col("entity_id").alias("s1"), "country"), "s1").withColumn("key", entity_key(F.col("s1"), 2029))
-    parts = sampling.partitions(e, held, 0.3).select("s1", "partition").persist()
+    parts = stored(sampling.partitions(e, held, 0.3).select("s1", "partition"))
     of = lambda df, p: df.join(parts.filter(F.col("partition") == p).select("s1"), "s1", "left_semi")
     fitted = model.fit(training(of(pairs, "fit")), pipeline or model.logistic(), names)
     best = decide.source_thresholds(model.scored(of(pairs, "tune"), fitted, names), of(truth, "tune")).first()

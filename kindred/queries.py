@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from kindred.functions import fuzzy, hashing
 from kindred.functions import text as X
 from kindred.operators import audit, blocking, decide, features, index, metrics, miss, model, ranking, retrieve, sampling, validate
-from kindred.plans import linkage, presets, proxy
+from kindred.plans import linkage, policy, presets, proxy
 from kindred.plans.proxy import PARTY_NUM, WITH
 from kindred.sources import tsv
+from kindred.sources.store import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -199,7 +200,7 @@ def pool(p: DataFrame) -> DataFrame:
 
 
 def q_of(p: DataFrame) -> DataFrame:
-    return retrieve.queries_with_sources(X.represented(s1(p)))
+    return retrieve.queries_with_sources(stored(X.represented(s1(p))))
 
 
 def terms_of(p: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -281,7 +282,7 @@ lex AS (SELECT s1, source, target, CAST(100 * CAST(en AS INTEGER) + 90 * CAST(ea
 
 
 def lexical(p: DataFrame) -> DataFrame:
-    return blocking.lexical(X.represented(s1(p)), X.represented(others(p)))
+    return blocking.lexical(stored(X.represented(s1(p))), stored(X.represented(others(p))))
 
 
 query("c_05_lexical_blocker", _LEX + "SELECT s1, source, target, blocking_score FROM lex")(lambda p, t: lexical(p).select("s1", "source", "target", "blocking_score"))
@@ -450,7 +451,7 @@ on_numbers("s_19_numeric_features")(lambda p: linkage.featured(p).select("s1", "
 
 
 def fitted(p: DataFrame, t: DataFrame) -> DataFrame:
-    f = linkage.labelled(linkage.featured(p), t).persist()
+    f = stored(linkage.labelled(linkage.featured(p), t))
     return model.scored(f, model.fit(linkage.training(f), model.logistic()))
 
 
@@ -568,6 +569,46 @@ query("m_05_probe_trace", _POST + ", h AS (SELECT s1, source, probe, count(*) AS
 
 
 def importances(p: DataFrame, t: DataFrame) -> DataFrame:
-    f = linkage.labelled(first_featured(p), t).persist()
+    f = stored(linkage.labelled(first_featured(p), t))
     found_ = model.importance(model.fit(linkage.training(f), model.logistic(), features.FIRST), features.FIRST)
     return p.sparkSession.createDataFrame(list(found_.items()), "feature string, value double")
+
+
+# Second-stage models and policies, over the proxy's records: a quarter tunes, the rest fits
+
+
+def staged(p: DataFrame, t: DataFrame) -> dict[str, DataFrame]:
+    """Featured, labelled pairs and truth, by part."""
+    pairs = stored(linkage.labelled(linkage.featured(p), t))
+    side = stored(linkage.split(p, t).select("s1", "validation"))
+    of = lambda df, tune: df.join(side.filter(F.col("validation") == tune).select("s1"), "s1", "left_semi")
+    return {"fit": of(pairs, False), "tune": of(pairs, True), "fit_truth": of(t, False), "tune_truth": of(t, True)}
+
+
+def second_stage(p: DataFrame, t: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    parts = staged(p, t)
+    return parts, policy.variants(parts["tune"], policy.fit(parts["fit"], parts["fit_truth"]))
+
+
+def policies(p: DataFrame, t: DataFrame) -> DataFrame:
+    parts, scored = second_stage(p, t)
+    picked, rows = policy.tune(scored, parts["tune_truth"], t)
+    schema = "name string, variant string, s2 double, s3 double, guardian double, exclusivity boolean, penalty double, macro_fbeta double, macro_precision double, macro_recall double, chosen boolean"
+    return p.sparkSession.createDataFrame([tuple((r | {"chosen": r is picked}).values()) for r in rows], schema)
+
+
+def grouped_scores(p: DataFrame, t: DataFrame) -> DataFrame:
+    parts = staged(p, t)
+    return policy.scored_group(parts["tune"], policy.fit(parts["fit"], parts["fit_truth"]), "relative").select("s1", "target", "score")
+
+
+def boosted_scores(p: DataFrame, t: DataFrame) -> DataFrame:
+    """Trees as configured, but 20 rounds of them."""
+    f = stored(linkage.labelled(first_featured(p), t))
+    return model.scored(f, model.fit(linkage.training(f), model.boosted(rounds=20), features.FIRST), features.FIRST).select("s1", "target", "score")
+
+
+query("e_03_boosted_scores")(boosted_scores)
+query("e_17_group_scores")(grouped_scores)
+query("e_19_variants")(lambda p, t: second_stage(p, t)[1])
+query("e_20_policies")(policies)

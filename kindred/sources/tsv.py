@@ -10,6 +10,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from kindred.sources.store import numbered
 from pyspark.sql import types as T
 
 RECORD = ("entity_id", "business_name", "business_address", "country")
@@ -88,18 +90,8 @@ def select_ids(df: DataFrame, ids: DataFrame, column: str = "entity_id", require
 
 
 def positioned(df: DataFrame, *order: str, limit: int | None = None) -> DataFrame:
-    """df with `position` from 0 in the given order: sorted by range, counted by partition, so that no task holds all rows."""
-    spark = df.sparkSession
-    names = [f"o{i}" for i in range(len(order))]
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_own", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    ranged = ranged.persist()
-    counts = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())  # a row a partition
-    before, total = [], 0
-    for part, n in counts:
-        before.append((part, total))
-        total += n
-    del names
-    out = ranged.join(F.broadcast(spark.createDataFrame(before or [(0, 0)], "_part int, _before bigint")), "_part").withColumn("position", F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+    """df with `position` from 0 in the given order, without a task that holds all rows."""
+    out = numbered(df, [], *order)
     return out if limit is None else out.filter(F.col("position") < limit)
 
 
