@@ -87,7 +87,7 @@ query("a_20_typed_rows", "SELECT s1, CAST(n_true AS DOUBLE) AS n_true FROM truth
 query("a_23_pairs_by_entity", "SELECT s1, count(*) AS n, count(DISTINCT target) AS n_distinct FROM link GROUP BY s1")(lambda p, t: metrics.links(t).groupBy("s1").agg(F.count("*").alias("n"), F.count_distinct("target").alias("n_distinct")))
 query("a_25_submission", "SELECT t.s1 AS source1_entity_id, coalesce(string_agg(l.target, ',' ORDER BY l.target), '') AS matched_entity_ids FROM truth t LEFT JOIN link l USING (s1) GROUP BY t.s1")(lambda p, t: tsv.submission(t, metrics.links(t)))
 query("a_33_ids", "SELECT DISTINCT entity_id FROM party WHERE source = 'S1'")(lambda p, t: s1(p).select("entity_id").distinct())
-query("d_36_digest")(lambda p, t: tsv.digest(p))
+query("d_36_digest", """SELECT count(*) AS rows, CAST(coalesce(sum(CAST(concat('0x', left(md5(concat_ws(chr(31), entity_id, source, business_name, business_address, country, fam)), 15)) AS BIGINT)), 0) AS VARCHAR) AS digest FROM party""")(lambda p, t: tsv.digest(p))
 
 # Text
 
@@ -189,7 +189,7 @@ cmp AS (SELECT o.*, q.country, coalesce(n.both / wn.total, 0) AS name_idf, coale
   FROM org o JOIN q ON q.entity_id = o.s1 JOIN x ON x.entity_id = o.target LEFT JOIN ov n ON n.s1 = o.s1 AND n.target = o.target AND n.field = 'name' LEFT JOIN ov a ON a.s1 = o.s1 AND a.target = o.target AND a.field = 'address'
   LEFT JOIN ws wn ON wn.s1 = o.s1 AND wn.source = o.source AND wn.field = 'name' LEFT JOIN ws wa ON wa.s1 = o.s1 AND wa.source = o.source AND wa.field = 'address'),
 dig AS (SELECT *, CASE WHEN len(qd) = 0 OR len(xd) = 0 THEN 0 ELSE len(list_intersect(qd, xd)) / least(len(qd), len(xd)) END AS dg FROM cmp),
-sc AS (SELECT s1, source, target, country, array_to_string(passes, '|') AS passes, round(name_idf, 9) AS name_idf,
+sc AS (SELECT s1, source, target, country, array_to_string(passes, '|') AS passes, round(name_idf, 9) AS name_idf, round(address_idf, 9) AS address_idf,
   round(CASE WHEN list_contains(passes, 'exact_name') THEN 100 + 30 * aj + 10 * dg ELSE 0 END, 9) AS exact_name_score, round(CASE WHEN list_contains(passes, 'exact_address') THEN 100 + 30 * nj ELSE 0 END, 9) AS exact_address_score,
   round(CASE WHEN list_contains(passes, 'name_signature') THEN 105 + 20 * aj ELSE 0 END, 9) AS name_signature_score, round(CASE WHEN list_contains(passes, 'name_token') THEN 100 * name_idf + 20 * nj ELSE 0 END, 9) AS name_token_score,
   round(CASE WHEN list_contains(passes, 'address_token') THEN 100 * address_idf + 20 * aj + 20 * dg ELSE 0 END, 9) AS address_token_score, round(CASE WHEN list_contains(passes, 'numeric_address') THEN 80 * dg + 20 * nj + 20 * aj ELSE 0 END, 9) AS numeric_address_score FROM dig),
@@ -200,6 +200,7 @@ rk AS (SELECT *, CASE WHEN exact_name_score > 0 THEN row_number() OVER (PARTITIO
   CASE WHEN name_token_score > 0 THEN row_number() OVER (PARTITION BY s1, source ORDER BY name_token_score DESC, target) ELSE 0 END AS name_token_rank,
   CASE WHEN address_token_score > 0 THEN row_number() OVER (PARTITION BY s1, source ORDER BY address_token_score DESC, target) ELSE 0 END AS address_token_rank,
   CASE WHEN exact_address_score > 0 THEN row_number() OVER (PARTITION BY s1, source ORDER BY exact_address_score DESC, target) ELSE 0 END AS exact_address_rank,
+  CASE WHEN numeric_address_score > 0 THEN row_number() OVER (PARTITION BY s1, source ORDER BY numeric_address_score DESC, target) ELSE 0 END AS numeric_address_rank, 0 AS char_name_rank,
   CASE WHEN name_signature_score > 0 THEN row_number() OVER (PARTITION BY s1, source ORDER BY name_signature_score DESC, target) ELSE 0 END AS name_signature_rank FROM best),
 el AS (SELECT * FROM rk WHERE exact_name_rank BETWEEN 1 AND 40 OR name_token_rank BETWEEN 1 AND 40 OR address_token_rank BETWEEN 1 AND 40 OR exact_address_rank BETWEEN 1 AND 40 OR name_signature_rank BETWEEN 1 AND 40),
 sel AS (SELECT * FROM el QUALIFY row_number() OVER (PARTITION BY s1, source ORDER BY best_score DESC, pass_count DESC, target) <= 60)
@@ -261,7 +262,18 @@ query("d_13_candidate_metrics", _POST + _PER + """SELECT count(*) AS entities, C
     lambda p, t: rounded(metrics.candidate_metrics(t, ranking.budgeted(found(p), CAPS, 60)), "link_recall", "mean_candidates", "median_candidates", "p95_candidates", "p99_candidates").select("entities", "true_links", "kept_links", "link_recall", "all_kept", "mean_candidates", "median_candidates", "p95_candidates", "p99_candidates", "max_candidates", "zero_entities")
 )
 query("d_14_candidates_by_entity", _POST + "SELECT s1, string_agg(DISTINCT target, ',' ORDER BY target) AS targets FROM sel GROUP BY s1")(lambda p, t: metrics.candidate_sets(ranking.budgeted(found(p), CAPS, 60)).withColumn("targets", F.array_join("targets", ",")))
-query("d_22_budget_frontier")(lambda p, t: metrics.budget_frontier(linkage.candidates(p), t, presets.BUDGETS))
+def _frontier() -> str:
+    """The candidates of each budget, and their metrics."""
+    caps = lambda b: " OR ".join(f"{x}_rank BETWEEN 1 AND {b.caps[x]}" for x in ranking.PASSES)
+    kept = [f"(SELECT '{name}' AS budget, s1, target FROM rk WHERE {caps(b)} QUALIFY row_number() OVER (PARTITION BY s1, source ORDER BY best_score DESC, pass_count DESC, target) <= {b.total})" for name, b in presets.BUDGETS.items()]
+    return _POST + f""", kb AS ({' UNION ALL '.join(kept)}), per AS (SELECT g.budget, t.s1, t.n_true, count(DISTINCT kb.target) AS n, count(DISTINCT link.target) AS kept
+  FROM truth t CROSS JOIN (SELECT unnest({list(presets.BUDGETS)}) AS budget) g LEFT JOIN kb ON kb.s1 = t.s1 AND kb.budget = g.budget LEFT JOIN link ON link.s1 = t.s1 AND link.target = kb.target GROUP BY ALL)
+SELECT budget, CAST(sum(n_true) AS BIGINT) AS true_links, CAST(sum(kept) AS BIGINT) AS kept_links, round(sum(kept) / sum(n_true), 9) AS link_recall, count(*) FILTER (kept = n_true) AS all_kept, round(avg(n), 9) AS mean_candidates, max(n) AS max_candidates FROM per GROUP BY budget"""
+
+
+query("d_22_budget_frontier", _frontier())(
+    lambda p, t: rounded(metrics.budget_frontier(found(p), t, presets.BUDGETS), "link_recall", "mean_candidates").select("budget", "true_links", "kept_links", "link_recall", "all_kept", "mean_candidates", "max_candidates")
+)
 query("d_26_diagnostics")(lambda p, t: retrieve.diagnostics(X.represented(s1(p)), built(p), presets.IndexConfig()))
 query("d_12_planned_probes")(lambda p, t: (lambda x: retrieve.probes(x[0], x[1], presets.INDEX["compact_14"]))(terms_of(p)))
 query("f_08_candidate_budget")(lambda p, t: linkage.candidates(p, presets.INDEX["compact_6"]).select("s1", "source", "target", "best_score"))
@@ -391,7 +403,27 @@ query("d_33_output_audit", ", m AS (SELECT s1, count(*) FILTER (source = 'S2') A
 query("d_34_throughput", "SELECT CAST(s AS BIGINT) AS shard, count(*) AS n, CAST(2 AS DOUBLE) AS seconds, CAST(count(*) AS DOUBLE) / 2 AS per_second FROM (SELECT CAST(split_part(s1, '-', 2) AS BIGINT) % 4 AS s FROM truth) GROUP BY s UNION ALL SELECT -1, count(*), 2, CAST(count(*) AS DOUBLE) / 2 FROM truth")(
     lambda p, t: audit.throughput(t.groupBy((F.split_part("s1", F.lit("-"), F.lit(2)).cast("bigint") % 4).alias("shard")).agg(F.count("*").alias("n"), F.lit(2.0).alias("seconds")))
 )
-query("m_14_validator")(lambda p, t: validate.violations(tsv.submission(t, predicted(t)), "matched_entity_ids", t, others(p).select(F.col("entity_id").alias("target"))))
+def broken_lists(t: DataFrame) -> DataFrame:
+    """A submission with a fault of each kind, by the records' numbers."""
+    n = F.split_part("source1_entity_id", F.lit("-"), F.lit(2)).cast("bigint")
+    s = tsv.submission(t, predicted(t))
+    ids = F.col("matched_entity_ids")
+    ids = F.when(n % 11 == 0, F.lit("S3-1,S2-1")).when(n % 11 == 3, F.lit("S2-4,S2-4")).when(n % 11 == 5, F.lit("S2-5,,S3-5")).when(n % 11 == 6, F.col("source1_entity_id")).when(n % 11 == 7, F.lit("X-7")).otherwise(ids)
+    s = s.withColumn("matched_entity_ids", ids).filter(n % 13 != 1)
+    return s.unionByName(s.filter(n % 17 == 2)).unionByName(s.filter(n % 19 == 3).withColumn("source1_entity_id", F.concat(F.lit("S2-"), n)))
+
+
+_BROKEN = _PRED + """, sub AS (SELECT t.s1, CAST(split_part(t.s1, '-', 2) AS BIGINT) AS n, coalesce(string_agg(DISTINCT p.target, ',' ORDER BY p.target), '') AS ids FROM truth t LEFT JOIN pred p ON p.s1 = t.s1 GROUP BY t.s1),
+bad AS (SELECT s1, n, CASE n % 11 WHEN 0 THEN 'S3-1,S2-1' WHEN 3 THEN 'S2-4,S2-4' WHEN 5 THEN 'S2-5,,S3-5' WHEN 6 THEN s1 WHEN 7 THEN 'X-7' ELSE ids END AS ids FROM sub WHERE n % 13 <> 1),
+r AS (SELECT s1, CASE WHEN trim(ids) = '' THEN []::VARCHAR[] ELSE string_split(ids, ',') END AS items FROM (SELECT s1, ids FROM bad UNION ALL SELECT s1, ids FROM bad WHERE n % 17 = 2 UNION ALL SELECT concat('S2-', n), ids FROM bad WHERE n % 19 = 3)),
+i AS (SELECT s1, unnest(items) AS target FROM r), v AS (
+  SELECT 'blank_entity' AS rule, s1 AS x FROM r WHERE trim(s1) = '' UNION ALL SELECT 'wrong_entity_prefix', s1 FROM r WHERE NOT starts_with(s1, 'S1-') UNION ALL SELECT 'repeated_entity', s1 FROM r GROUP BY s1 HAVING count(*) > 1
+  UNION ALL SELECT 'blank_item', s1 FROM i WHERE trim(target) = '' UNION ALL SELECT 'repeated_item', s1 FROM r WHERE len(list_distinct(items)) < len(items) UNION ALL SELECT 'unsorted', s1 FROM r WHERE list_sort(items) <> items
+  UNION ALL SELECT 'self_match', s1 FROM i WHERE target = s1 UNION ALL SELECT 'wrong_prefix', target FROM i WHERE NOT regexp_full_match(target, 'S[23]-.+') AND target <> s1
+  UNION ALL SELECT 'missing_entity', s1 FROM truth WHERE s1 NOT IN (SELECT s1 FROM r) UNION ALL SELECT DISTINCT 'unknown_entity', s1 FROM r WHERE s1 NOT IN (SELECT s1 FROM truth)
+  UNION ALL SELECT DISTINCT 'unknown_target', target FROM i WHERE target NOT IN (SELECT entity_id FROM party WHERE source <> 'S1'))
+SELECT rule, count(x) AS n, min(x) AS example FROM (SELECT unnest(['blank_entity', 'wrong_entity_prefix', 'repeated_entity', 'blank_item', 'repeated_item', 'unsorted', 'self_match', 'wrong_prefix', 'missing_entity', 'unknown_entity', 'unknown_target']) AS rule) LEFT JOIN v USING (rule) GROUP BY rule"""
+query("m_14_validator", _BROKEN)(lambda p, t: validate.violations(broken_lists(t), "matched_entity_ids", t, others(p).select(F.col("entity_id").alias("target"))))
 query("h_04_subset", "SELECT DISTINCT s1 FROM link WHERE source = 'S3'")(lambda p, t: validate.not_subset(t, t.withColumn("targets", F.filter("targets", lambda x: x.startswith("S2-")))))
 
 # Splits and samples
@@ -466,10 +498,43 @@ query("e_28_rule_matches", _LEXICAL_PAIRS + " SELECT s1, source, target, rule AS
 
 def first_featured(p: DataFrame) -> DataFrame:
     """Pass-eligible pairs, uncapped, with the first 51 features."""
-    return features.with_first(ranking.eligible(linkage.candidates(p), CAPS))
-
-
-query("x_51_features")(lambda p, t: first_featured(p).select("s1", "target", *features.FIRST))
+    return features.with_first(ranking.eligible(found(p), CAPS))
+
+
+def _first_features() -> str:
+    """The 51 features, each from its definition."""
+    share = lambda f: f"(f{f}.set / 100.0)"
+    words = lambda x: f"list_filter(string_split({x}, ' '), lambda w: w <> '')"
+    digits = lambda x: f"list_filter({x}, lambda w: regexp_full_match(w, '[0-9]+'))"
+    postal = lambda x: f"list_filter({x}, lambda w: regexp_full_match(w, '[0-9]{{4,10}}'))"
+    both = lambda x, y: f"CAST(len(list_intersect({x}, {y})) AS DOUBLE)"
+    jaccard = lambda x, y: f"CASE WHEN len({x}) = 0 OR len({y}) = 0 THEN 0.0 ELSE {both(x, y)} / len(list_distinct(list_concat({x}, {y}))) END"
+    overlap = lambda x, y: f"CASE WHEN len({x}) = 0 OR len({y}) = 0 THEN 0.0 ELSE {both(x, y)} / least(len({x}), len({y})) END"
+    lengths = lambda x, y: f"CASE WHEN {x} = '' OR {y} = '' THEN 0.0 ELSE CAST(least(length({x}), length({y})) AS DOUBLE) / greatest(length({x}), length({y})) END"
+    equal = lambda x, y: f"{x} <> '' AND {x} = {y}"
+    initials = lambda x: f"array_to_string(list_transform({words(x)}, lambda w: left(w, 1)), '')"
+    value = {}
+    for name, f, norm, uniq in (("name", "n", "nn", "nu"), ("address", "a", "an", "au")):
+        x, y, u, v = f"r.{norm}", f"r.x_{norm}", f"r.{uniq}", f"r.x_{uniq}"
+        value |= {
+            f"normalized_{name}_exact": equal(x, y), f"{name}_ratio": f"f{f}.ratio", f"{name}_token_set_ratio": f"f{f}.set", f"{name}_token_sort_ratio": f"f{f}.sort", f"{name}_token_jaccard": jaccard(u, v),
+            f"{name}_token_containment": overlap(u, v), f"shared_{name}_tokens": both(u, v), f"{name}_idf_overlap": f"r.{name}_idf", f"{name}_length_ratio": lengths(x, y),
+        }
+    d, e = digits("r.au"), digits("r.x_au")
+    value |= {
+        "name_first_token_agreement": "r.nn <> '' AND r.x_nn <> '' AND split_part(r.nn, ' ', 1) = split_part(r.x_nn, ' ', 1)", "name_initials_agreement": equal(initials("r.nn"), initials("r.x_nn")),
+        "left_address_missing": "r.an = ''", "right_address_missing": "r.x_an = ''", "digit_token_overlap": overlap(d, e), "left_has_numeric": f"len({d}) > 0", "right_has_numeric": f"len({e}) > 0",
+        "exact_numeric_token_agreement": f"len({d}) > 0 AND {d} = {e}", "postal_like_agreement": f"len(list_intersect({postal('r.au')}, {postal('r.x_au')})) > 0", "shared_digit_tokens": both(d, e), "source_is_s3": "r.source = 'S3'", "country_agreement": "true",
+        "pass_count": "r.pass_count", "best_retrieval_score": "r.best_score", "second_best_retrieval_score": "r.second_score", "char_name_score": "0.0", "exp001_rule_score": "r.rule",
+        **{f"{k}_score": f"r.{k}_score" for k in ranking.PASSES if k != "char_name"}, **{f"{k}_reciprocal_rank": f"CASE WHEN r.{k}_rank > 0 THEN 1.0::DOUBLE / r.{k}_rank ELSE 0.0 END" for k in ranking.PASSES},
+        "name_address_similarity_product": f"{share('n')} * {share('a')}", "name_high_address_low": f"{share('n')} >= 0.9 AND {share('a')} < 0.5", "address_high_name_low": f"{share('a')} >= 0.9 AND {share('n')} < 0.5",
+    }
+    columns = ", ".join(f"round(CAST({value[k]} AS DOUBLE), 9) AS {k}" for k in features.FIRST)
+    near_ = ", near AS (SELECT el.*, q.nn, q.an, q.nu, q.au, x.nn AS x_nn, x.an AS x_an, x.nu AS x_nu, x.au AS x_au FROM el JOIN q ON q.entity_id = el.s1 JOIN x ON x.entity_id = el.target), "
+    return _POST + near_ + oracle.rule("near", "r") + f" SELECT r.s1, r.target, {columns} FROM r JOIN r_f fn ON fn.a = r.nn AND fn.b = r.x_nn JOIN r_f fa ON fa.a = r.an AND fa.b = r.x_an"
+
+
+query("x_51_features", _first_features())(lambda p, t: first_featured(p).select("s1", "target", *[F.round(x, 9).alias(x) for x in features.FIRST]))
 query("x_83_features")(lambda p, t: linkage.featured(p).select("s1", "target", *features.ALL))
 on_numbers("s_19_numeric_features")(lambda p: linkage.featured(p).select("s1", "target", *features.MORE))
 
