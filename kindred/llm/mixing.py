@@ -2,7 +2,8 @@
 
 Each source gets a budget of words (its target). Whole epochs over the source come first; of the next epoch, the documents
 with the smallest exponential keys -ln(u) / weight are taken until their sizes fill what is left of the budget (a document
-that would cross the budget is taken if at least half of it fits). u is a hash of the document, so reruns agree.
+that would cross the budget is taken if at least half of it fits). u is 60 bits of the document's MD5, so reruns agree and SQL
+can follow.
 
 No source is sorted as a whole. Keys fall in about sqrt(n) buckets a source; sums by bucket show the bucket in which the
 budget ends, and only that bucket's distinct keys are sorted, each with its number of rows. What is decided for a source is
@@ -30,12 +31,17 @@ def quality_weight(text: Column, size: Column) -> Column:
     return 1.0 / (1.0 + 4.0 * F.coalesce(F.try_divide(symbols.cast("double"), size.cast("double")), F.lit(0.0)))
 
 
-def sized(docs: DataFrame, source: str = "source", text: str = "text", id_col: str = "doc_id", seed: int = 17) -> DataFrame:
+SEED = 17
+
+
+def sized(docs: DataFrame, source: str = "source", text: str = "text", id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
     """docs with `_m_source`, `_m_size` (words), `_m_key` (the exponential key) and `_m_tie`."""
     t = F.coalesce(F.col(text), F.lit(""))
     d = docs.withColumn("_m_source", F.col(source)).withColumn("_m_text", t)
-    d = d.withColumn("_m_size", F.size(words_of(spaced(F.col("_m_text")))).cast("bigint")).withColumn("_m_tie", F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), "_m_text"))
-    u = (F.shiftrightunsigned("_m_tie", 11).cast("double") + 0.5) / float(1 << 53)
+    d = d.withColumn("_m_size", F.size(words_of(spaced(F.col("_m_text")))).cast("bigint"))
+    named = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_m_text")
+    d = d.withColumn("_m_tie", F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("bigint"))
+    u = (F.col("_m_tie").cast("double") + 0.5) / float(1 << 60)
     return d.withColumn("_m_key", -F.log(u) / quality_weight(F.col("_m_text"), F.col("_m_size"))).drop("_m_text")
 
 
@@ -127,4 +133,28 @@ def result(docs: DataFrame) -> DataFrame:
     """The digest that op3 returns."""
     rows = stored(sized(docs.select("doc_id", "source", "text")).select("doc_id", "_m_source", "_m_size", "_m_key", "_m_tie"))
     out = _copies(rows, plan(rows))
-    return out.select(F.col("doc_id").cast("bigint"), F.col("_m_source").alias("source"), F.col("_m_size").alias("size"), F.col("_p_source_size").alias("source_size"), F.col("_p_target").alias("target"), (F.col("_copies") * F.col("_m_size")).alias("taken"))
+    return out.select(F.col("doc_id").cast("bigint"), F.col("_m_source").alias("source"), F.col("_m_size").alias("size"), F.col("_p_source_size").alias("source_size"), F.round("_p_target", 6).alias("target"), (F.col("_copies") * F.col("_m_size")).alias("taken"))
+
+
+def _sql(seed: int = SEED, share: float = 1.5, ceiling: float = 2.0) -> str:
+    """result() in DuckDB: the water level of the targets is found among the sources' own levels, and each source is sorted as a whole."""
+    symbols = " + ".join(f"length(t) - length(replace(t, '{c}', ''))" for c in "#*$%&|<>")
+    weights = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS))
+    return f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS BIGINT) AS size FROM documents),
+k AS (SELECT doc_id, source, size, CAST({symbols} AS DOUBLE) AS symbols, CAST(concat('0x', left(md5(concat_ws('|', '{seed}', coalesce(CAST(doc_id AS VARCHAR), ''), t)), 15)) AS BIGINT) AS tie FROM d),
+e AS (SELECT *, -ln((CAST(tie AS DOUBLE) + 0.5) / {float(1 << 60)}) / (1.0::DOUBLE / (1.0 + 4.0 * CASE WHEN size = 0 THEN 0.0 ELSE symbols / size END)) AS key FROM k),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} {weights} END AS DOUBLE) AS weight FROM e GROUP BY source),
+level AS (SELECT a.source_size * {ceiling} / a.weight AS x, (SELECT sum(least({ceiling} * b.source_size, b.weight * a.source_size * {ceiling} / a.weight)) FROM s b) AS filled FROM s a),
+budget AS (SELECT sum(source_size) * {share} AS b FROM s),
+below AS (SELECT coalesce(max(x), 0.0) AS x FROM level, budget WHERE filled <= b),
+unit AS (SELECT x + coalesce((b - (SELECT sum(least({ceiling} * source_size, weight * x)) FROM s)) / nullif((SELECT sum(weight) FROM s WHERE {ceiling} * source_size > weight * x), 0), 0.0) AS u FROM below, budget),
+g AS (SELECT source, source_size, least({ceiling} * source_size, weight * u) AS target FROM s, unit),
+h AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size + 1e-12) END AS epochs FROM g),
+o AS (SELECT e.*, h.source_size, h.target, h.epochs, h.target - h.epochs * h.source_size AS room,
+  coalesce(sum(e.size) OVER (PARTITION BY e.source ORDER BY key, tie, e.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sofar FROM e JOIN h ON h.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, source, size, source_size, round(target, 6) AS target, CAST(CASE WHEN size = 0 THEN 0 ELSE size * (epochs + CASE WHEN room > 1e-9 AND sofar + size / 2.0 <= room THEN 1 ELSE 0 END) END AS BIGINT) AS taken FROM o
+"""
+
+
+SQL = _sql()
