@@ -148,11 +148,16 @@ def _path(half: DataFrame, loss: float) -> DataFrame:
     return useful.select("stratum", F.row_number().over(order).alias("rank"), "rule", "cutoff")
 
 
+def tuning(doc_id: Column) -> Column:
+    """Whether a labelled document orders the steps (else it certifies them): by the first digit of its id's MD5."""
+    return F.conv(F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, 1), 16, 10).cast("int") % 2 == 0
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = 0.03, delta: float = 0.05, loss: float = 20.0) -> DataFrame:
     """The certified cutoffs: (stratum, rule, cutoff), and of the stratum's second half good, good_lost, bad, bad_caught by all its rules together."""
     marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = measured.filter(~F.col("base_failed")).join(marks, "doc_id").withColumn("good", (F.col("quality") > 0).cast("long"))
-    known = stored(known.select("stratum", "good", (F.xxhash64("doc_id") % 2 == 0).alias("tuning"), *GRIDS))
+    known = stored(known.select("stratum", "good", tuning(F.col("doc_id")).alias("tuning"), *GRIDS))
     path = stored(_path(known.filter("tuning"), loss))
     lists = path.groupBy(F.col("stratum").alias("s")).agg(F.collect_list(F.struct("rank", "rule", "cutoff")).alias("steps"))
     value = F.create_map(*[x for name in GRIDS for x in (F.lit(name), F.col(name))])
@@ -196,3 +201,40 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.03, delta
 def result(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The digest that op7 returns."""
     return judged(docs, labels).select(F.col("doc_id").cast("bigint"), *COUNTS, "base_failed", "kept", "rejected_by")
+
+
+def _sql(alpha: float = 0.03, delta: float = 0.05, loss: float = 20.0) -> str:
+    """result() in DuckDB: windows as text, a row a document, rule and cutoff, and the binomial sum term by term."""
+    word = "[^ \\t\\n\\x0B\\f\\r]+"
+    symbols = " + ".join(f"length(t) - length(replace(t, '{c}', ''))" for c in SYMBOLS)
+    shares = "\n  UNION ALL ".join(f"SELECT rid, stratum, base_failed, doc_id, '{name}' AS rule, {i} AS ord, coalesce(CAST({a} AS DOUBLE) / nullif({b}, 0), 0.0) AS value FROM m" for i, (name, (a, b)) in enumerate(SHARES.items()))
+    grid = ", ".join(f"('{name}', {c}::DOUBLE)" for name, g in GRIDS.items() for c in g)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS words FROM documents),
+place AS (SELECT rid, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM d WHERE len(words) > {WINDOW}),
+win AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(words[i:i + {WINDOW - 1}], ' ')) AS often FROM place),
+gap AS (SELECT rid, least({WINDOW}, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) - i, {WINDOW})) AS n FROM win WHERE often > 1),
+rep AS (SELECT rid, CAST(sum(n) AS BIGINT) AS n FROM gap GROUP BY rid),
+c AS (SELECT rid, doc_id, stratum, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST({symbols} AS BIGINT) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines, length(t) - length(replace(t, '!', '')) AS n_bangs, len(regexp_extract_all(t, '\\p{{Lu}}')) AS n_upper FROM d),
+m AS (SELECT c.*, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, n_words < 20 OR 100 * coalesce(rep.n, 0) > 30 * n_words AS base_failed FROM c LEFT JOIN rep USING (rid)),
+v AS ({shares}),
+mark AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+known AS (SELECT v.*, CAST(quality > 0 AS INTEGER) AS good, CAST(concat('0x', left(md5(CAST(v.doc_id AS VARCHAR)), 1)) AS INTEGER) % 2 = 0 AS tuning FROM v JOIN mark USING (doc_id) WHERE NOT base_failed),
+grid AS (SELECT * FROM (VALUES {grid}) g(rule, cutoff)),
+tested AS (SELECT stratum, rule, cutoff, CAST(sum(good) FILTER (value >= cutoff) AS DOUBLE) AS gl, CAST(sum(1 - good) FILTER (value >= cutoff) AS DOUBLE) AS bc, nullif(sum(good), 0) AS g, nullif(sum(1 - good), 0) AS b FROM known JOIN grid USING (rule) WHERE tuning GROUP BY ALL),
+gain AS (SELECT stratum, rule, cutoff, coalesce(gl, 0) / g AS lost, coalesce(bc, 0) / b AS caught, coalesce(bc, 0) / b - {loss} * (coalesce(gl, 0) / g) AS gain FROM tested),
+best AS (SELECT stratum, rule, cutoff AS least FROM gain WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, cutoff DESC) = 1),
+path AS (SELECT gain.stratum, gain.rule, cutoff, row_number() OVER (PARTITION BY gain.stratum ORDER BY lost, caught DESC, gain.rule, cutoff DESC) AS rank FROM gain JOIN best ON best.stratum IS NOT DISTINCT FROM gain.stratum AND best.rule = gain.rule WHERE cutoff >= least AND caught > 0),
+seconds AS (SELECT DISTINCT rid, stratum, good FROM known WHERE NOT tuning),
+firsts AS (SELECT k.rid, min(rank) AS rank FROM known k JOIN path p ON p.stratum IS NOT DISTINCT FROM k.stratum AND p.rule = k.rule AND k.value >= p.cutoff WHERE NOT tuning GROUP BY k.rid),
+total AS (SELECT stratum, CAST(sum(good) AS BIGINT) AS n, (SELECT count(*) FROM (SELECT DISTINCT stratum FROM seconds)) AS strata FROM seconds GROUP BY stratum),
+lost AS (SELECT p.stratum, p.rule, p.cutoff, p.rank, n, strata, (SELECT count(*) FROM seconds s JOIN firsts f USING (rid) WHERE s.stratum IS NOT DISTINCT FROM p.stratum AND f.rank <= p.rank AND s.good = 1) AS k FROM path p JOIN total ON total.stratum IS NOT DISTINCT FROM p.stratum),
+sure AS (SELECT *, bool_and(n > 0 AND k < n * {alpha} AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({alpha}) + (n - j) * ln(1 - {alpha})))) <= {delta} / strata) OVER (PARTITION BY stratum ORDER BY rank) AS passed FROM lost),
+chosen AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM sure WHERE passed GROUP BY stratum, rule),
+hit AS (SELECT v.rid, arg_min(v.rule, v.ord) AS rule FROM v JOIN chosen ch ON ch.stratum IS NOT DISTINCT FROM v.stratum AND ch.rule = v.rule AND v.value >= ch.cutoff GROUP BY v.rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND hit.rule IS NULL AS kept, CASE WHEN base_failed THEN 'base' ELSE hit.rule END AS rejected_by FROM m LEFT JOIN hit USING (rid)
+"""
+
+
+SQL = _sql()
