@@ -1,33 +1,16 @@
-"""What the operators of this subpackage share: stored intermediates, folds, word columns and connected components."""
+"""What the operators of this subpackage share: folds, word columns and connected components; and stored(), for their imports."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from kindred.sources.store import stored
+
 #: The white space that separates words: space and the code points 9 to 13.
 SPACES = "\t\n\x0b\x0c\r"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see. Only where the session names none (tests), a new one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="kindred-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the shared folder and read back: lineage ends there, so no executor's loss brings back what was before."""
-    path = f"{shared_folder(df.sparkSession)}/kindred-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; -1 for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(-1))

@@ -239,5 +239,5 @@ def deduplicated(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     again = stored(every.groupBy(F.col("doc_id").alias("_row")).agg(F.count("*").alias("n")).filter("n > 1").join(kept, "_row", "left_semi").select("_row"))
     out = docs.withColumn("_row", row).join(kept, "_row", "left_semi")
     if not again.isEmpty():
-        out = out.join(again, "_row", "left_anti").unionByName(out.join(again, "_row", "left_semi").dropDuplicates(["_row"]))
+        out = out.join(again, "_row", "left_anti").unionByName(out.join(again, "_row", "left_semi").dropDuplicates(["_row", "doc_id", "text"]))  # hashes may collide, rows may not go
     return out.drop("_row").select(docs.columns)

@@ -48,6 +48,33 @@ def test_rare_family_is_learned():
     assert (scorer.scores([" ".join(plain()) for _ in range(20)]) < 0.5).all()
 
 
+def test_scores_by_plain_compression(spark):
+    """Every window compressed by itself, without a cache, and the features summed up window by window."""
+    import math
+
+    import zstandard
+
+    rows, labels = corpus(250, 3)
+    d = spark.createDataFrame([*rows, (900, "", "", ""), (901, None, "", ""), rows[0], rows[0]], DOC)
+    model = toxicity.learned(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+
+    def size(content, word):
+        held = toxicity.TAIL + content + toxicity.HEAD
+        p = zstandard.ZstdCompressionParameters.from_level(19, dict_size=len(held), source_size=96, write_content_size=False, write_dict_id=False)
+        d = zstandard.ZstdCompressionDict(held, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress(toxicity.HEAD + b" " + word + b" " + toxicity.TAIL))
+
+    got = toxicity.scored(d, model).collect()
+    for r in [x for x in got if x["doc_id"] in (0, 1, 2, 3, 4, 900, 901)]:
+        text = dict((i, t) for i, t, *_ in [*rows, (900, ""), (901, None)])[r["doc_id"]] or ""
+        saved = [size(model.ordinary, w) - size(model.toxic, w) for w in text.lower().encode().split()]
+        n, hits = len(saved), [sum(s >= k for s in saved) for k in toxicity.SAVINGS]
+        x = [math.log1p(h) for h in hits] + [min(1.0, 20.0 * h / (n + 30.0)) for h in hits] + [math.log(max(n, 100))]
+        z = model.weights[0] + sum(a * b for a, b in zip(model.weights[1:], x, strict=True))
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-9
+    assert len({x["score"] for x in got if x["doc_id"] == 0}) == 1 and sum(x["doc_id"] == 0 for x in got) == 3
+
+
 def test_held_out_labels_are_not_learned(spark):
     rows, labels = corpus(300)
     d, lab = spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
