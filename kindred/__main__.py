@@ -150,10 +150,9 @@ def cmd_ownership(spark, a):
 
 def cmd_generate(spark, a):
     r, t, who = records(spark, a.data, "train"), truth_of(spark, a.data), identity(spark, a, "train")
-    parts = stored(parts_of(r, t))
+    parts, job = stored(parts_of(r, t)), pairs_job(r, t, presets.INDEX[a.preset])
     for part in a.part or PARTS[:2]:
-        mine = parts.filter(F.col("part") == part).select("s1")
-        print(part, shards.run(mine, pairs_job(r, t, presets.INDEX[a.preset]), f"{a.out}/{part}", a.shards, who, a.shard))
+        print(part, shards.run(parts.filter(F.col("part") == part).select("s1"), job, f"{a.out}/{part}", a.shards, who, a.shard))
 
 
 def pairs_of(spark, a, part: str, mine: DataFrame) -> DataFrame:
@@ -172,9 +171,8 @@ def cmd_oracle(spark, a):
 
 
 def cmd_train(spark, a):
-    pairs, t = _part(spark, a, "fit")
+    (pairs, t), (tuning, tuning_truth) = _part(spark, a, "fit"), _part(spark, a, "tune")
     models = policy.fit(pairs, t)
-    tuning, tuning_truth = _part(spark, a, "tune")
     row, tried = policy.tune(policy.variants(tuning, models), tuning_truth, truth_of(spark, a.data))
     bundle.freeze(spark, models, row, tried, a.out, identity(spark, a, "train"), presets.INDEX[a.preset])
     print(json.dumps(row))

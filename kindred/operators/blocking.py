@@ -48,19 +48,34 @@ def _sides(found: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFram
     }).drop("query_country")
 
 
+def _first_copies(targets: DataFrame, n: int) -> DataFrame:
+    """targets without those that n others with equal texts, source and country and smaller ids come before: every reference record scores copies alike and prefers the smaller id, so these are never among its best n."""
+    t = targets.withColumns({"_n": F.col("name.norm"), "_a": F.col("address.norm")})
+    return R.top(t, n, ["source", "country", "_n", "_a"], F.col("entity_id")).drop("_n", "_a")
+
+
 def lexical(queries: DataFrame, targets: DataFrame, c: LexicalConfig | None = None) -> DataFrame:
-    """Pairs (s1, source, target) that share an exact name or address or a token that few reference records have, with blocking score and provenance; the best top_k a record and source."""
+    """Pairs (s1, source, target) that share an exact name or address or a token that few reference records have, with blocking score and provenance; the best top_k a record and source.
+
+    Reference records of equal texts and country find the same targets, so one of them asks for all; copies among the targets
+    beyond the top_k-th stay out. So g copies on both sides make no g * g pairs.
+    """
     c = c or LexicalConfig()
     kinds = {"exact_name": F.array("name.norm"), "exact_address": F.array("address.norm"), "name_token": _long(F.col("name.uniq"), c.min_token_length), "address_token": _long(F.col("address.uniq"), c.min_token_length)}
-    asked = _frequent(_keys(queries, "s1", kinds), {"name_token": c.max_query_df, "address_token": c.max_query_df})
-    found = asked.join(_keys(targets, "target", kinds), ["country", "kind", "value"]).select("s1", "target").distinct()
+    texts = queries.select("entity_id", "country", F.col("name.norm").alias("n"), F.col("address.norm").alias("a"))
+    one = texts.groupBy("country", "n", "a").agg(F.min("entity_id").alias("s1"))
+    asked = _frequent(_keys(queries, "s1", kinds), {"name_token": c.max_query_df, "address_token": c.max_query_df}).join(one.select("s1"), "s1", "left_semi")
+    found = asked.join(_keys(_first_copies(targets, c.top_k), "target", kinds), ["country", "kind", "value"]).select("s1", "target").distinct()
     p = _sides(found, queries, targets)
     several = (F.col("shared_address") >= 2) | ((F.col("shared_address") >= 1) & (F.col("shared_digits") >= 1))
     p = p.filter(F.col("exact_name") | F.col("exact_address") | (F.col("shared_name") >= 1) | several)
     whys = {"exact_name": F.col("exact_name"), "exact_address": F.col("exact_address"), "rare_name_token": F.col("shared_name") >= 1, "address_tokens": F.col("shared_address") >= 2, "address_number": (F.col("shared_address") >= 1) & (F.col("shared_digits") >= 1)}
     score = 100 * F.col("exact_name").cast("int") + 90 * F.col("exact_address").cast("int") + 20 * F.col("shared_name") + 8 * F.col("shared_address") + 12 * F.col("shared_digits")
     p = p.withColumns({"blocking_score": score.cast("double"), "provenance": F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in whys.items()]))})
-    return R.top(p, c.top_k, ["s1", "source"], F.desc("blocking_score"), F.col("target"))
+    best = R.top(p, c.top_k, ["s1", "source"], F.desc("blocking_score"), F.col("target"))
+    copies = texts.join(one.withColumnRenamed("s1", "one"), ["country", "n", "a"]).select("one", F.col("entity_id").alias("own"))
+    own = queries.select(F.col("entity_id").alias("own"), F.col("name").alias("qn"), F.col("address").alias("qa"))
+    return best.drop("qn", "qa").join(copies, F.col("s1") == F.col("one")).join(own, "own").drop("s1", "one").withColumnRenamed("own", "s1")
 
 
 def multipass(queries: DataFrame, targets: DataFrame, c: MultiPassConfig | None = None) -> DataFrame:
@@ -72,7 +87,7 @@ def multipass(queries: DataFrame, targets: DataFrame, c: MultiPassConfig | None
         "name": _long(F.col("name.uniq"), c.min_name_token_length), "address": _long(F.col("address.uniq"), c.min_address_token_length), "numeric": F.col("address.digits"), "char": gram(),
     }
     asked = _frequent(_keys(queries, "s1", kinds()), {"name": c.max_name_df, "address": c.max_address_df, "numeric": c.max_numeric_df, "char": c.max_char_df})
-    met = asked.join(_keys(targets, "target", kinds()), ["country", "kind", "value"]).groupBy("s1", "target").agg(F.count_if(F.col("kind") == "char").alias("char_hits"), F.count_if(F.col("kind") != "char").alias("other_hits"))
+    met = asked.join(_keys(_first_copies(targets, c.pool), "target", kinds()), ["country", "kind", "value"]).groupBy("s1", "target").agg(F.count_if(F.col("kind") == "char").alias("char_hits"), F.count_if(F.col("kind") != "char").alias("other_hits"))
     p = _sides(met.filter((F.col("other_hits") > 0) | (F.col("char_hits") >= c.min_shared_grams)), queries, targets)
     df = query_df(queries).filter("kind IN ('name', 'address')")
     population = queries.groupBy("country").agg(F.count("*").alias("population"))

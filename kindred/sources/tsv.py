@@ -10,9 +10,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kindred.sources.store import numbered
-from pyspark.sql import types as T
 
 RECORD = ("entity_id", "business_name", "business_address", "country")
 TRUTH = ("source1_entity_id", "matched_entity_ids")
@@ -41,6 +41,13 @@ def read_tsv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFr
     return df.select(*[F.when(F.col("_corrupt").isNotNull(), bad.cast("string")).otherwise(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns])
 
 
+def read_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of a table that write_tsv wrote, with their types again; a field that does not fit is an error."""
+    head = spark.read.text(path).limit(1).first()
+    check_schema(head[0].split("\t") if head else [], tuple(schema.names))
+    return spark.read.csv(path, sep="\t", header=True, schema=schema, mode="FAILFAST", quote="", nullValue="")
+
+
 def bad_ids(df: DataFrame, column: str, prefix: str) -> DataFrame:
     """One row: how many ids are empty or lack the prefix, and the five smallest."""
     wrong = df.filter(F.coalesce(~F.col(column).startswith(f"{prefix}-"), F.lit(True)) | (F.col(column) == f"{prefix}-"))

@@ -79,6 +79,17 @@ def test_lexical_blocker(spark):
         assert {r["target"] for r in got.collect()} == {"S2-1", "S2-2"}
 
 
+def test_copies_on_both_sides_make_no_square(spark):
+    """40 copies ask, 60 copies are there: each reference record still gets the first five, with its own raw text."""
+    q = X.represented(records(spark, *[(f"S1-{i:02}", "Acme  LLC" if i % 2 else "ACME llc", "1 Road", "US") for i in range(40)], ("S1-x", "Acme LLC", "", "US")))
+    t = X.represented(records(spark, *[(f"S2-{i:02}", "Acme LLC", "1 Road", "US") for i in range(60)], *[(f"S2-y{i}", "Acme LLC", "", "US") for i in range(9)]))
+    got = blocking.lexical(q, t, presets.LexicalConfig(top_k=5)).select("s1", "target", "qn.raw").collect()
+    for e in [f"S1-{i:02}" for i in range(40)]:
+        assert sorted(r["target"] for r in got if r["s1"] == e) == [f"S2-{i:02}" for i in range(5)]
+        assert {r["raw"] for r in got if r["s1"] == e} == {"Acme  LLC" if int(e[-1]) % 2 else "ACME llc"}
+    assert sorted(r["target"] for r in got if r["s1"] == "S1-x") == [f"S2-{i:02}" for i in range(5)]
+
+
 def test_multipass(spark):
     q = X.represented(records(spark, ("S1-1", "Acme Trading", "12 Market Road 400001", "IN")))
     t = X.represented(records(spark, ("S2-1", "Acme Trading", "", "IN"), ("S2-2", "Acmee Tradings", "12 Market Rd 400001", "IN"), ("S2-3", "Acme Trading", "12 Market Road 400001", "US")))

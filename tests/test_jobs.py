@@ -21,7 +21,7 @@ def data(tmp_path_factory):
     d = tmp_path_factory.mktemp("data")
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda sigma".split()
     lines, truth = {(s, k): [] for s in ("train", "test") for k in (1, 2, 3)}, []
-    for split, n in (("train", 60), ("test", 12)):
+    for split, n in (("train", 50), ("test", 12)):
         for i in range(n):
             name, road = " ".join(r.sample(words, 3)), f"{r.randint(1, 99)} {r.choice(words)} road {r.randint(10000, 10020)}"
             lines[split, 1].append(f"S1-{split}{i}\t{name}\t{road}\tUS")
@@ -40,7 +40,7 @@ def data(tmp_path_factory):
 
 def test_the_whole_job(spark, data, tmp_path):
     run = lambda *args: commands.main([*map(str, args)], spark)
-    some = ("--data", data, "--preset", "compact_6", "--shards", 2)
+    some = ("--data", data, "--preset", "compact_6", "--shards", 1)
     run("generate", *some, "--out", tmp_path / "pairs", "--shard", 0, "--part", "fit")
     with pytest.raises(tsv.DataError, match="missing"):
         run("train", *some, "--pairs", tmp_path / "pairs", "--out", tmp_path / "bundle")
