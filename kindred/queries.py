@@ -325,7 +325,40 @@ query("b_06_query_index", _LEX + "SELECT s1, country, kind, value FROM qr")(
 )
 query("b_07_admission", _LEX + "SELECT s1, target FROM m WHERE en OR ea OR sn >= 1 OR sa >= 2 OR (sa >= 1 AND sd >= 1)")(lambda p, t: blocking.lexical(X.represented(s1(p)), X.represented(others(p)), presets.LexicalConfig(top_k=1 << 30)).select("s1", "target"))
 query("d_09_query_df", ", u AS (SELECT country, 'name' AS kind, unnest(nu) AS token FROM tok WHERE source = 'S1' UNION ALL SELECT country, 'address', unnest(au) FROM tok WHERE source = 'S1') SELECT country, kind, token, count(*) AS df FROM u GROUP BY ALL")(lambda p, t: blocking.query_df(X.represented(s1(p))).filter("kind IN ('name', 'address')"))
-query("c_06_multipass_blocker")(lambda p, t: blocking.multipass(X.represented(s1(p)), X.represented(others(p))).drop("qn", "qa", "tn", "ta"))
+def _grams(a: str) -> str:
+    t = f"replace({a}, ' ', '')"
+    return f"CASE WHEN length({t}) = 0 THEN []::VARCHAR[] WHEN length({t}) < 4 THEN [{t}] ELSE list_distinct(list_transform(range(1, length({t}) - 2), lambda i: substring({t}, i, 4))) END"
+
+
+def _multipass(side: str, name: str) -> str:
+    """(name, country, kind, value) of one side."""
+    kinds = {"exact_name": "[nn]", "exact_address": "[an]", "name_signature": "[array_to_string(nu, ' ')]", "name": "list_filter(nu, lambda w: length(w) >= 3)", "address": "list_filter(au, lambda w: length(w) >= 3)", "numeric": "list_filter(au, lambda w: regexp_full_match(w, '[0-9]+'))", "char": "g"}
+    return " UNION ALL ".join(f"SELECT * FROM (SELECT entity_id AS {name}, country, '{k}' AS kind, unnest({v}) AS value FROM {side}) WHERE value <> ''" for k, v in kinds.items())
+
+
+_SHARE = "CASE WHEN len({0}) = 0 OR len({1}) = 0 THEN 0.0 ELSE CAST(len(list_intersect({0}, {1})) AS DOUBLE) / {2} END"
+_MULTI = f""", gr AS (SELECT *, {_grams('nn')} AS g FROM tok), q AS (SELECT * FROM gr WHERE source = 'S1'), x AS (SELECT * FROM gr WHERE source <> 'S1'),
+qk AS ({_multipass('q', 's1')}), qr AS (SELECT * FROM qk QUALIFY count(*) OVER (PARTITION BY country, kind, value) <= CASE kind WHEN 'name' THEN 60 WHEN 'address' THEN 40 WHEN 'numeric' THEN 250 WHEN 'char' THEN 6 ELSE 1 << 30 END),
+xk AS ({_multipass('x', 'target')}), met AS (SELECT s1, target, count(*) FILTER (kind = 'char') AS ch, count(*) FILTER (kind <> 'char') AS other FROM qr JOIN xk USING (country, kind, value) GROUP BY ALL HAVING ch >= 2 OR other > 0),
+qt AS (SELECT entity_id AS s1, country, 'name' AS kind, unnest(nu) AS token FROM q UNION ALL SELECT entity_id, country, 'address', unnest(au) FROM q), pop AS (SELECT country, count(*) AS n FROM q GROUP BY country),
+w AS (SELECT s1, kind, token, ln((pop.n + 1) / (count(*) OVER (PARTITION BY qt.country, kind, token) + 1)) + 1 AS idf FROM qt JOIN pop USING (country)), ws AS (SELECT s1, kind, sum(idf) AS total FROM w GROUP BY ALL),
+ov AS (SELECT m.s1, m.target, w.kind, sum(idf) AS hit FROM met m JOIN x ON x.entity_id = m.target JOIN w ON w.s1 = m.s1 AND list_contains(CASE w.kind WHEN 'name' THEN x.nu ELSE x.au END, w.token) GROUP BY ALL),
+cm AS (SELECT m.s1, m.target, x.source, q.nn <> '' AND q.nn = x.nn AS en, q.an <> '' AND q.an = x.an AS ea, len(x.nu) > 0 AND q.nu = x.nu AS sg, len(list_intersect(q.nu, x.nu)) AS sn, len(list_intersect(q.au, x.au)) AS sa, ch, coalesce(n.hit / wn.total, 0) AS ni, coalesce(a.hit / wa.total, 0) AS ai,
+  {_SHARE.format('q.nu', 'x.nu', 'len(list_distinct(list_concat(q.nu, x.nu)))')} AS nj, {_SHARE.format('q.au', 'x.au', 'len(list_distinct(list_concat(q.au, x.au)))')} AS aj, {_SHARE.format('q.g', 'x.g', 'len(list_distinct(list_concat(q.g, x.g)))')} AS cj,
+  list_filter(q.au, lambda w: regexp_full_match(w, '[0-9]+')) AS qd, list_filter(x.au, lambda w: regexp_full_match(w, '[0-9]+')) AS xd
+  FROM met m JOIN q ON q.entity_id = m.s1 JOIN x ON x.entity_id = m.target LEFT JOIN ov n ON n.s1 = m.s1 AND n.target = m.target AND n.kind = 'name' LEFT JOIN ov a ON a.s1 = m.s1 AND a.target = m.target AND a.kind = 'address'
+  LEFT JOIN ws wn ON wn.s1 = m.s1 AND wn.kind = 'name' LEFT JOIN ws wa ON wa.s1 = m.s1 AND wa.kind = 'address'),
+dg AS (SELECT *, len(list_intersect(qd, xd)) AS sd, {_SHARE.format('qd', 'xd', 'least(len(qd), len(xd))')} AS d FROM cm),
+mp AS (SELECT s1, source, target, round(CASE WHEN en THEN 100 + 30 * aj + 10 * d ELSE 0 END, 9) AS exact_name_score, round(CASE WHEN ea THEN 100 + 30 * nj ELSE 0 END, 9) AS exact_address_score, round(CASE WHEN sg THEN 105 + 20 * aj ELSE 0 END, 9) AS name_signature_score,
+  round(CASE WHEN sn > 0 AND ni > 0 THEN 100 * ni + 20 * nj ELSE 0 END, 9) AS name_token_score, round(CASE WHEN sa >= 2 OR ai >= 0.25 THEN 100 * ai + 20 * aj + 20 * d ELSE 0 END, 9) AS address_token_score,
+  round(CASE WHEN sd > 0 THEN 80 * d + 20 * nj + 20 * aj ELSE 0 END, 9) AS numeric_address_score, round(CASE WHEN ch >= 2 AND cj >= 0.2 THEN 100 * cj + 20 * nj ELSE 0 END, 9) AS char_name_score FROM dg
+  WHERE en OR ea OR sg OR (sn > 0 AND ni > 0) OR sa >= 2 OR ai >= 0.25 OR sd > 0 OR (ch >= 2 AND cj >= 0.2))
+"""
+_MULTI_SCORES = [f"{x}_score" for x in ranking.PASSES]
+query("c_06_multipass_blocker", _MULTI + f"SELECT s1, source, target, {', '.join(_MULTI_SCORES)} FROM mp")(
+    lambda p, t: rounded(blocking.multipass(stored(X.represented(s1(p))), stored(X.represented(others(p))), presets.MultiPassConfig(pool=1 << 30)), *_MULTI_SCORES).select("s1", "source", "target", *_MULTI_SCORES)
+)
+query("c_06_multipass_pool")(lambda p, t: blocking.multipass(X.represented(s1(p)), X.represented(others(p))).drop("qn", "qa", "tn", "ta"))
 query("f_02_multipass_ranks")(lambda p, t: ranking.budgeted(blocking.multipass(X.represented(s1(p)), X.represented(others(p))), presets.BUDGETS["balanced"].caps, presets.BUDGETS["balanced"].total).select("s1", "source", "target", "best_score", "pass_count"))
 
 # Metrics, on predictions that SQL can make too: targets of the family whose number is not divisible by 4, and each record's own number in S2
@@ -562,7 +595,7 @@ def decide_features(p: DataFrame, t: DataFrame) -> DataFrame:
 
 query("a_31_retrieval_pool", _POST + "SELECT source, count(*) AS pairs, count(DISTINCT s1) AS records FROM rk GROUP BY source")(lambda p, t: found(p).groupBy("source").agg(F.count("*").alias("pairs"), F.count_distinct("s1").alias("records")))
 query("a_32_feature_pairs")(lambda p, t: linkage.training(linkage.labelled(first_featured(p), t)).select("s1", "target", "label", "kind", "hardness"))
-query("b_08_multipass_admission")(lambda p, t: blocking.multipass(X.represented(s1(p)), X.represented(others(p)), presets.MultiPassConfig(pool=1 << 30)).select("s1", "target"))
+query("b_08_multipass_admission", _MULTI + "SELECT s1, target FROM mp")(lambda p, t: blocking.multipass(X.represented(s1(p)), X.represented(others(p)), presets.MultiPassConfig(pool=1 << 30)).select("s1", "target"))
 query("b_10_same_country", _POST + "SELECT CAST(0 AS BIGINT) AS across, count(*) AS pairs FROM rk")(
     lambda p, t: found(p).select("s1", "country").join(p.select(F.col("entity_id").alias("s1"), F.col("country").alias("c")), "s1").agg(F.count_if(F.col("c") != F.col("country")).alias("across"), F.count("*").alias("pairs"))
 )
@@ -635,18 +668,21 @@ query("d_37_importance")(lambda p, t: importances(p, t))
 query("e_01_vectors")(lambda p, t: features.vectors(first_featured(p), features.FIRST).select("s1", "target", F.col("features").cast("string").alias("features")))
 query("e_10_fine_thresholds", _SCORED + """, g AS (SELECT CAST(unnest(range(50, 101, 5)) / 100 AS DOUBLE) AS threshold), c AS (SELECT t.s1, n_true, threshold, count(s.target) FILTER (s.label = 1) AS tp, count(s.target) FILTER (s.label = 0) AS fp FROM truth t CROSS JOIN g LEFT JOIN s ON s.s1 = t.s1 AND s.score >= threshold GROUP BY ALL)
 SELECT threshold, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, count(*) FILTER (n_true = 0 AND fp = 0) AS correct_singletons FROM c GROUP BY threshold""")(lambda p, t: metrics.threshold_curve(scores(p, t), t, [x / 100 for x in range(50, 101, 5)]).select("threshold", "tp", "fp", "correct_singletons"))
-# The same searches on the thresholds of the reference, which SQL is too slow for
-query("e_06_configured_threshold")(lambda p, t: metrics.best_threshold(scores(p, t), t, presets.PROBABILITY_THRESHOLDS).select("threshold", F.round("macro_fbeta", 9).alias("macro_fbeta")))
-query("e_07_configured_curve")(lambda p, t: metrics.threshold_curve(scores(p, t), t, presets.PROBABILITY_THRESHOLDS).select("threshold", F.round("macro_fbeta", 9).alias("macro_fbeta")))
-query("e_10_thousandths")(lambda p, t: metrics.threshold_curve(scores(p, t), t, presets.FINE_THRESHOLDS).select("threshold", "tp", "fp", "correct_singletons", F.round("macro_fbeta", 9).alias("macro_fbeta")))
-query("e_11_reference_grid")(lambda p, t: rounded(decide.source_thresholds(scores(p, t), t), "macro_fbeta"))
+# The same searches on the thresholds of the reference
+_CONFIGURED = _CURVE.replace(f"unnest({GRID})", f"unnest({list(presets.PROBABILITY_THRESHOLDS)})")
+query("e_06_configured_threshold", _CONFIGURED + "SELECT * FROM f ORDER BY macro_fbeta DESC, threshold DESC LIMIT 1")(lambda p, t: metrics.best_threshold(scores(p, t), t, presets.PROBABILITY_THRESHOLDS).select("threshold", F.round("macro_fbeta", 9).alias("macro_fbeta")))
+query("e_07_configured_curve", _CONFIGURED + "SELECT * FROM f")(lambda p, t: metrics.threshold_curve(scores(p, t), t, presets.PROBABILITY_THRESHOLDS).select("threshold", F.round("macro_fbeta", 9).alias("macro_fbeta")))
+_FINE = _SCORED + f""", g AS (SELECT CAST(unnest({list(presets.FINE_THRESHOLDS)}) AS DOUBLE) AS threshold), c AS (SELECT t.s1, n_true, threshold, count(s.target) FILTER (s.label = 1) AS tp, count(s.target) FILTER (s.label = 0) AS fp FROM truth t CROSS JOIN g LEFT JOIN s ON s.s1 = t.s1 AND s.score >= threshold GROUP BY ALL)
+SELECT threshold, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, count(*) FILTER (n_true = 0 AND fp = 0) AS correct_singletons, round(avg(CASE WHEN n_true = 0 THEN CAST(fp = 0 AS DOUBLE) WHEN tp = 0 THEN 0 ELSE 1.25 * tp / (1.25 * tp + 0.25 * (n_true - tp) + fp) END), 9) AS macro_fbeta FROM c GROUP BY threshold"""
+query("e_10_thousandths", _FINE)(lambda p, t: metrics.threshold_curve(scores(p, t), t, presets.FINE_THRESHOLDS).select("threshold", "tp", "fp", "correct_singletons", F.round("macro_fbeta", 9).alias("macro_fbeta")))
+query("e_11_reference_grid", SQL["e_11_source_threshold_search"].split(" ", 1)[1].removeprefix(WITH).strip().replace(f"unnest({GRID})", f"unnest({list(decide.GRID)})"))(lambda p, t: rounded(decide.source_thresholds(scores(p, t), t), "macro_fbeta"))
 query("f_03_top_k", _LEX + "SELECT s1, source, target FROM m WHERE en OR ea OR sn >= 1 OR sa >= 2 OR (sa >= 1 AND sd >= 1) QUALIFY row_number() OVER (PARTITION BY s1, source ORDER BY 100 * CAST(en AS INTEGER) + 90 * CAST(ea AS INTEGER) + 20 * sn + 8 * sa + 12 * sd DESC, target) <= 3")(
     lambda p, t: blocking.lexical(X.represented(s1(p)), X.represented(others(p)), presets.LexicalConfig(top_k=3)).select("s1", "source", "target")
 )
 query("f_04_pool_prune", _POST + "SELECT s1, source, target FROM best QUALIFY row_number() OVER (PARTITION BY s1, source ORDER BY best_score DESC, pass_count DESC, target) <= 10")(lambda p, t: ranking.pruned(found(p), 10).select("s1", "source", "target"))
-query("a_12_all_positions")(lambda p, t: tsv.positioned(s1(p).select("entity_id"), "entity_id"))
-query("f_03_top_25")(lambda p, t: blocking.lexical(X.represented(s1(p)), X.represented(others(p)), presets.LexicalConfig()).select("s1", "source", "target"))
-query("f_04_pool_of_120")(lambda p, t: ranking.pruned(found(p), presets.MultiPassConfig().pool).select("s1", "source", "target"))
+query("a_12_all_positions", "SELECT entity_id, row_number() OVER (ORDER BY entity_id) - 1 AS position FROM party WHERE source = 'S1'")(lambda p, t: tsv.positioned(s1(p).select("entity_id"), "entity_id"))
+query("f_03_top_25", _LEX + "SELECT s1, source, target FROM lex")(lambda p, t: blocking.lexical(X.represented(s1(p)), X.represented(others(p)), presets.LexicalConfig()).select("s1", "source", "target"))
+query("f_04_pool_of_120", _POST + "SELECT s1, source, target FROM best QUALIFY row_number() OVER (PARTITION BY s1, source ORDER BY best_score DESC, pass_count DESC, target) <= 120")(lambda p, t: ranking.pruned(found(p), presets.MultiPassConfig().pool).select("s1", "source", "target"))
 query("f_11_link_ranks", _POST + """, a AS (SELECT s1, target, row_number() OVER (PARTITION BY s1, source ORDER BY best_score DESC, pass_count DESC, target) AS k FROM rk), b AS (SELECT s1, target, row_number() OVER (PARTITION BY s1, source ORDER BY best_score DESC, pass_count DESC, target) AS k FROM el)
 SELECT link.s1, link.target, CAST(a.k AS INTEGER) AS pool_rank, CAST(b.k AS INTEGER) AS eligible_rank FROM link JOIN a ON a.s1 = link.s1 AND a.target = link.target JOIN b ON b.s1 = link.s1 AND b.target = link.target""")(
     lambda p, t: miss.classified(t, found(p), presets.Budget("b", 60, CAPS)).filter("eligible_rank IS NOT NULL").select("s1", "target", "pool_rank", "eligible_rank")
@@ -729,6 +765,38 @@ def manifests(p: DataFrame, t: DataFrame) -> DataFrame:
     return p.sparkSession.createDataFrame([(len(found_), sum(m["entities"] for m in found_), sum(m["rows"] for m in found_))], "shards int, entities bigint, rows bigint")
 
 
+def truth_file(p: DataFrame, t: DataFrame) -> DataFrame:
+    """A truth file with a fault of each kind, by the records' order, and its errors by line."""
+    rows = tsv.positioned(s1(p).select("entity_id"), "entity_id").select("position", F.col("entity_id").alias("s1"))
+    k = F.col("position") % 9
+    ids = F.when(k == 2, "S2-1,S2-1").when(k == 4, "S2-1,,S3-1").when(k == 5, "X-1").when(k == 7, "S2-1, S3-2").otherwise("")
+    lines = rows.select("position", F.when(k == 1, F.col("s1")).when(k == 3, F.concat(F.lit("Q-"), "position", F.lit("\t"))).when(F.col("position") % 27 == 8, F.lit("S1-twice\t")).otherwise(F.concat("s1", F.lit("\t"), ids)).alias("value"))
+    head = p.sparkSession.createDataFrame([(-1, "\t".join(tsv.TRUTH))], "position bigint, value string")
+    path = _place(p)
+    head.unionByName(lines).coalesce(1).sortWithinPartitions("position").select("value").write.text(path)
+    return tsv.truth_errors(p.sparkSession, path).select("line", "error")
+
+
+query("a_07_truth_errors", """, n AS (SELECT row_number() OVER (ORDER BY entity_id) - 1 AS position FROM party WHERE source = 'S1')
+SELECT position + 2 AS line, CASE WHEN position % 9 = 1 THEN 'not two fields' WHEN position % 9 = 2 THEN 'repeated item' WHEN position % 9 = 3 THEN 'wrong id' WHEN position % 9 = 4 THEN 'empty item' WHEN position % 9 = 5 THEN 'wrong prefix' ELSE 'repeated record' END AS error
+FROM n WHERE position % 9 BETWEEN 1 AND 5 OR (position % 27 = 8 AND position > 8)""")(truth_file)
+query("d_32_pool_merge", _POST + _PER + "SELECT round(sum(kept) / sum(n_true), 9) AS recall, round(avg(n), 9) AS mean_pairs, CAST(sum(n) AS BIGINT) AS pairs, count(*) FILTER (n = 0) AS without FROM kept")(
+    lambda p, t: rounded(metrics.candidate_metrics(t, ranking.budgeted(found(p), CAPS, 60)).select(F.col("link_recall").alias("recall"), F.col("mean_candidates").alias("mean_pairs"), F.round(F.col("mean_candidates") * F.col("entities"), 0).cast("bigint").alias("pairs"), F.col("zero_entities").alias("without")), "recall", "mean_pairs")
+)
+
+
+def owned(p: DataFrame, t: DataFrame) -> DataFrame:
+    """One owner a target, if the truth allows it."""
+    try:
+        decide.check_exclusivity(t)
+        allowed = True
+    except ValueError:
+        allowed = False
+    return decide.accepted(scores(p, t), decide.Policy(0.5, 0.5, exclusivity=allowed)).agg(F.count("*").alias("accepted")).withColumn("allowed", F.lit(allowed))
+
+
+query("e_24_ownership_rule", _SCORED + """, c AS (SELECT count(*) = 0 AS allowed FROM (SELECT target FROM link GROUP BY target HAVING count(DISTINCT s1) > 1)), a AS (SELECT * FROM s WHERE score >= 0.5)
+SELECT CASE WHEN allowed THEN (SELECT count(DISTINCT target) FROM a) ELSE (SELECT count(*) FROM a) END AS accepted, allowed FROM c""")(owned)
 _TYPED = _POST + " SELECT s1, source, target, round(name_idf, 9) AS name_idf, CAST(pass_count AS INTEGER) AS pass_count, CAST(name_token_rank AS INTEGER) AS name_token_rank, best_score FROM rk"
 query("a_02_tsv_scan", "SELECT entity_id, business_name, business_address, country, source FROM party WHERE source = 'S2'")(scanned)
 query("a_15_stored_index", _POST + "SELECT source, country, field, token, df FROM tdf")(indexed)

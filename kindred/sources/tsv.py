@@ -8,11 +8,11 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kindred.sources.store import numbered
+from kindred.sources.store import numbered, stored
 
 RECORD = ("entity_id", "business_name", "business_address", "country")
 TRUTH = ("source1_entity_id", "matched_entity_ids")
@@ -81,6 +81,26 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def truth_errors(spark: SparkSession, path: str) -> DataFrame:
+    """(line, error, text) of a truth file's broken lines, the header as line 1. Lines are counted in two levels, within the blocks that tasks read and over blocks, so that a file of any size is read in parallel."""
+    lines = spark.read.text(path).select(F.col("value").alias("text"), F.input_file_name().alias("_file"), F.input_file_block_start().alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    lines = stored(lines)
+    own = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_at"))
+    counts = lines.groupBy(F.col("_file").alias("f"), F.col("_block").alias("b")).agg(F.count("*").alias("n"))
+    counts = counts.withColumn("before", F.sum("n").over(Window.partitionBy("f").orderBy("b")) - F.col("n")).drop("n")
+    rows = lines.withColumn("own", own).join(counts, (F.col("_file") == F.col("f")) & (F.col("_block") == F.col("b"))).withColumn("line", F.col("own") + F.col("before"))
+    cells = F.split("text", "\t")
+    rows = rows.select("_file", "line", "text", F.get(cells, F.lit(0)).alias("s1"), F.get(cells, F.lit(1)).alias("ids"), F.size(cells).alias("n"))
+    items = F.transform(F.split("ids", ","), lambda x: F.trim(x))
+    some = F.trim("ids") != ""
+    header = (F.col("line") == 1) & (F.col("text") == "\t".join(TRUTH))
+    error = F.when(F.col("n") != 2, "not two fields").when(~F.col("s1").rlike("^S1-.+"), "wrong id").when(some & F.exists(items, lambda x: x == ""), "empty item")
+    error = error.when(some & F.exists(items, lambda x: ~x.rlike("^S[23]-.+")), "wrong prefix").when(some & (F.size(F.array_distinct(items)) < F.size(items)), "repeated item")
+    first = rows.filter(~header).groupBy("s1").agg(F.min("line").alias("first"))
+    again = rows.filter(~header).join(first, "s1", "left").withColumn("error", F.coalesce(error, F.when(F.col("line") > F.col("first"), "repeated record")))
+    return again.filter("error IS NOT NULL").select("line", "error", "text")
+
+
 def check_unique(df: DataFrame, *keys: str) -> None:
     twice = df.groupBy(*keys).count().filter("count > 1").orderBy(*keys).limit(5).collect()
     if twice:
