@@ -12,7 +12,7 @@ from fixed grids and are chosen per stratum on labelled documents that the base
    correction for their number; `delta` is divided by the number of strata (Bonferroni).
 
 So with probability 1 - delta, in no stratum do the rules together reject more than `alpha` of the good documents. With
-alpha = 0.03, delta = 0.05 and four strata a stratum needs 144 good labelled documents in the second half, about 290 in all.
+alpha = 0.05, delta = 0.05 and four strata a stratum needs 86 good labelled documents in the second half, about 170 in all.
 
 Defined cases: null and empty texts have no words and fail the base rule; a null stratum is a stratum of its own; a stratum
 with too few labels to certify anything gets no cutoff, so only the base rule acts there; null, contradictory or repeated
@@ -153,7 +153,7 @@ def tuning(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, 1), 16, 10).cast("int") % 2 == 0
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = 0.03, delta: float = 0.05, loss: float = 20.0) -> DataFrame:
+def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, loss: float = 20.0) -> DataFrame:
     """The certified cutoffs: (stratum, rule, cutoff), and of the stratum's second half good, good_lost, bad, bad_caught by all its rules together."""
     marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = measured.filter(~F.col("base_failed")).join(marks, "doc_id").withColumn("good", (F.col("quality") > 0).cast("long"))
@@ -185,13 +185,13 @@ def _with_verdicts(measured: DataFrame, q: str, chosen: DataFrame) -> DataFrame:
     return out.withColumn("_rejected_by", F.when(F.col(f"{q}base_failed"), F.lit("base")).otherwise(rule)).drop(*wide.columns)
 
 
-def judged(docs: DataFrame, labels: DataFrame, alpha: float = 0.03, delta: float = 0.05, loss: float = 20.0, **columns: str) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, loss: float = 20.0, **columns: str) -> DataFrame:
     """Every row of docs with its measures, base_failed, rejected_by (the first rule that rejects it, else null) and kept."""
     m = stored(measures(docs, **columns))
     return _with_verdicts(m, "", cutoffs(m, labels, alpha, delta, loss)).withColumnRenamed("_rejected_by", "rejected_by").withColumn("kept", F.col("rejected_by").isNull())
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.03, delta: float = 0.05, loss: float = 20.0) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, loss: float = 20.0) -> DataFrame:
     """The rows of docs that are kept, with their columns. Each text is measured once: the rows are stored with their measures, and no text is shuffled."""
     m = stored(with_measures(docs))
     chosen = cutoffs(m.select("doc_id", "_q.*"), labels, alpha, delta, loss)
@@ -203,7 +203,7 @@ def result(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judged(docs, labels).select(F.col("doc_id").cast("bigint"), *COUNTS, "base_failed", "kept", "rejected_by")
 
 
-def _sql(alpha: float = 0.03, delta: float = 0.05, loss: float = 20.0) -> str:
+def _sql(alpha: float = 0.05, delta: float = 0.05, loss: float = 20.0) -> str:
     """result() in DuckDB: windows as text, a row a document, rule and cutoff, and the binomial sum term by term."""
     word = "[^ \\t\\n\\x0B\\f\\r]+"
     symbols = " + ".join(f"length(t) - length(replace(t, '{c}', ''))" for c in SYMBOLS)

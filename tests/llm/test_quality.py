@@ -129,7 +129,7 @@ def test_cutoffs_equal_brute_force(spark, seed, n):
     labels = spark.createDataFrame([(i, g, 0) for i, _, g, _ in rows] + [(rows[0][0], 1, 0), (None, 0, 0), (10**9, 0, 0)], "doc_id bigint, quality int, toxic int")
     tuning = {r["id"]: r["t"] for r in spark.range(n).select("id", quality.tuning(F.col("id")).alias("t")).collect()}
     got = {(x["stratum"], x["rule"]): x["cutoff"] for x in quality.cutoffs(measured, labels).collect()}
-    assert got == plain_cutoffs(rows, 0.03, 0.05, 20.0, tuning)
+    assert got == plain_cutoffs(rows, 0.05, 0.05, 20.0, tuning)
     assert got or n == 400
 
 
