@@ -241,3 +241,16 @@ def deduplicated(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     if not again.isEmpty():
         out = out.join(again, "_row", "left_anti").unionByName(out.join(again, "_row", "left_semi").dropDuplicates(["_row", "doc_id", "text"]))  # hashes may collide, rows may not go
     return out.drop("_row").select(docs.columns)
+
+
+#: The digest that op8 returns, in DuckDB: shingles as text, all pairs that share one, and what can be reached over links.
+SQL = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+') AS words FROM documents),
+sets AS (SELECT rid, doc_id, CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS sh FROM d),
+one AS (SELECT rid, len(sh) AS n, unnest(sh) AS x FROM sets),
+common AS (SELECT a.rid AS a, b.rid AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n FROM one a JOIN one b ON a.x = b.x AND a.rid <> b.rid GROUP BY ALL),
+link AS (SELECT a, b FROM common WHERE 100 * n >= 75 * (na + nb - n)),
+reach AS (SELECT rid AS a, rid AS b FROM sets UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+least AS (SELECT reach.a AS rid, min(sets.doc_id) AS component_id FROM reach JOIN sets ON sets.rid = reach.b GROUP BY reach.a)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM sets JOIN least USING (rid)
+"""

@@ -67,4 +67,4 @@ QUERIES = {
     )
 }
 
-SQL: dict[str, str] = {"op3_mixing": mixing.SQL, "op7_quality_rules": quality.SQL, "op9_chat_formatting": chat.SQL}
+SQL: dict[str, str] = {"op3_mixing": mixing.SQL, "op6_pruned_graph_near_dedup": graph.SQL, "op7_quality_rules": quality.SQL, "op8_bottom_k_near_dedup": near.SQL, "op9_chat_formatting": chat.SQL}
