@@ -122,13 +122,16 @@ def ngrams(text: Column, n: int, keep_short: bool) -> Column:
     return F.when(size >= n, grams).otherwise(short)
 
 
+#: What the secondary normalisation removes or parts, in this order.
+SECONDARY = (r"https?://|www\.", r"(?<=[a-z0-9])\.(?:com|org|net|in|fr|co)\b", r"(?<=[a-z])(?=\d)|(?<=\d)(?=[a-z])", r"[^a-z0-9]+")
+
+
 def secondary(text: Column) -> Column:
     """Latin letters and figures only: web prefixes and common endings of domains go, letters part from figures."""
     t = latinised(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(t, r"https?://|www\.", " ")
-    t = F.regexp_replace(t, r"(?<=[a-z0-9])\.(?:com|org|net|in|fr|co)\b", " ")
-    t = F.regexp_replace(t, r"(?<=[a-z])(?=\d)|(?<=\d)(?=[a-z])", " ")
-    return F.trim(F.regexp_replace(t, r"[^a-z0-9]+", " "))
+    for pattern in SECONDARY:
+        t = F.regexp_replace(t, pattern, " ")
+    return F.trim(t)
 
 
 def core_name(normalized: Column) -> Column:

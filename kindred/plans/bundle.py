@@ -32,7 +32,7 @@ def freeze(spark: SparkSession, models: dict[str, PipelineModel], row: dict, tri
         m.write().overwrite().save(f"{path}/models/{name}")
     body = {
         "models": {name: model_digest(spark, f"{path}/models/{name}") for name in models}, "policy": row, "tried": tried, "identity": identity, "config": asdict(config),
-        "features": list(features.ALL), "code": shards.code_digest(), "packages": shards.packages(), "evaluation_read": False,
+        "features": list(features.ALL), "code": shards.code_digest(), "packages": shards.packages(), "evaluated": False,
     }
     text = json.dumps(body, sort_keys=True)
     shards.write_text(spark, f"{path}/freeze.json", json.dumps({"digest": hashlib.sha256(text.encode()).hexdigest(), "bundle": body}, sort_keys=True))
@@ -44,7 +44,7 @@ def load(spark: SparkSession, path: str, identity: str | None = None) -> tuple[d
     stored = json.loads(shards.read_text(spark, f"{path}/freeze.json"))
     body = stored["bundle"]
     shards.require({"digest": hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()}, {"digest": stored["digest"]}, path)
-    expected = {"features": list(features.ALL), "code": shards.code_digest(), "packages": shards.packages(), "evaluation_read": False}
+    expected = {"features": list(features.ALL), "code": shards.code_digest(), "packages": shards.packages(), "evaluated": False}
     shards.require(body, expected | ({"identity": identity} if identity else {}), path)
     shards.require({name: model_digest(spark, f"{path}/models/{name}") for name in body["models"]}, body["models"], f"{path}/models")
     return {name: PipelineModel.load(f"{path}/models/{name}") for name in body["models"]}, body

@@ -25,6 +25,7 @@ ENTITY = (
 ).split()
 RELATIVE = "score rank source_rank top second third top_second second_third minus_top above_50 above_80 above_95 strong_s2 strong_s3 source_top_margin".split()
 CROSS = [*RELATIVE, "cross_name", "cross_core", "cross_address", "cross_numeric_agreement", "cross_numeric_conflict"]
+#: The penalties on clashing numbers that are tried; the names in tune() are fixed too.
 PENALTIES = (0.01, 0.03, 0.05)
 SEED = 2031
 

@@ -50,7 +50,7 @@ def test_the_whole_job(spark, data, tmp_path):
     assert "macro_fbeta" in (tmp_path / "evaluation" / "report.md").read_text()
     run("infer", *some, "--bundle", tmp_path / "bundle", "--out", tmp_path / "results")
     body = json.loads((tmp_path / "bundle" / "freeze.json").read_text())["bundle"]
-    assert len(body["tried"]) == 10 and body["evaluation_read"] is False
+    assert len(body["tried"]) == 10 and body["evaluated"] is False
     if not body["policy"]["exclusivity"]:
         run("infer-merge", *some, "--results", tmp_path / "results", "--bundle", tmp_path / "bundle", "--out", tmp_path / "out")
         run("validate", "--data", data, "--matching", tmp_path / "out" / "matching_results", "--candidate", tmp_path / "out" / "candidate_pairs", "--check-ids")
