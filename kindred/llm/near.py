@@ -85,7 +85,7 @@ def postings(classes: DataFrame, share: float = SHARE) -> DataFrame:
 
 def _rarest(values: DataFrame, needed: Column) -> DataFrame:
     """(value, class, size, place): of each class the size - needed + 1 rarest values and their places in that order. values: value, class, size. Values of one class only come first in that order and need no row."""
-    often = values.groupBy("value").agg(F.count("*").alias("often")).filter("often > 1")
+    often = stored(values.groupBy("value").agg(F.count("*").alias("often")).filter("often > 1"))  # stored, so that AQE sees a join of two exchanges and can split a hot value
     shared = values.join(often, "value")
     lists = shared.groupBy("class", "size").agg(F.array_sort(F.collect_list(F.struct("often", "value"))).alias("v"))  # at most a set's size each
     lists = lists.withColumn("first", F.size("v") - needed + 1).filter("first > 0")
@@ -164,7 +164,7 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: f
 def _hubs(lists: DataFrame, first: int, n: int = 1) -> DataFrame:
     """Up to n pairs a class: each with that one of the lists' hubs, under an order of its own, that it shares most lists with. lists: value, class, component."""
     key = lambda salt: F.struct(F.xxhash64(F.lit(salt), "class").alias("order"), F.col("class").alias("hub"), F.col("component").alias("hub_component"))
-    hubs = lists.groupBy("value").agg(*[F.min(key(first + k)).alias(f"h{k}") for k in range(n)]).select("value", F.array(*[f"h{k}" for k in range(n)]).alias("hubs"))
+    hubs = stored(lists.groupBy("value").agg(*[F.min(key(first + k)).alias(f"h{k}") for k in range(n)]).select("value", F.array(*[f"h{k}" for k in range(n)]).alias("hubs")))
     met = lists.join(hubs, "value").select(F.col("class").alias("a"), "component", F.posexplode("hubs").alias("k", "h"))
     pairs = met.filter("h.hub_component <> component").groupBy("a", "k", F.col("h.hub").alias("b")).agg(F.count("*").alias("n"))
     best = pairs.groupBy("a", "k").agg(F.max(F.struct("n", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
@@ -174,7 +174,7 @@ def _hubs(lists: DataFrame, first: int, n: int = 1) -> DataFrame:
 def _open(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     """lists (value, class, …) with the component of each class, without those that lie in one component."""
     c = lists.withColumn("component", F.col("class")) if labels is None else lists.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    split = c.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("value")
+    split = stored(c.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("value"))
     return stored(c.join(split, "value", "left_semi"))  # value, class, size, place, component
 
 
