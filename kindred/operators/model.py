@@ -34,8 +34,12 @@ def boosted(seed: int = 2030, rounds: int = 160, depth: int = 5) -> Pipeline:
 
 
 def fit(pairs: DataFrame, pipeline: Pipeline, names: tuple[str, ...] = ALL) -> PipelineModel:
-    """pairs: features by name and label."""
-    return pipeline.fit(balanced(vectors(pairs, names)))
+    """pairs: features by name and label. The training summaries are dropped: they hold the session, which can't travel to tasks once it has observed a query."""
+    fitted = pipeline.fit(balanced(vectors(pairs, names)))
+    for stage in fitted.stages:
+        if getattr(stage, "hasSummary", False):
+            stage._java_obj.setSummary(stage._java_obj.getClass().getClassLoader().loadClass("scala.None$").getField("MODULE$").get(None))
+    return fitted
 
 
 def scored(pairs: DataFrame, model: PipelineModel, names: tuple[str, ...] = ALL) -> DataFrame:

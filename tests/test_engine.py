@@ -297,6 +297,20 @@ def test_selected_ids(spark):
         tsv.select_ids(df, spark.createDataFrame([("S2-1",), ("S2-9",)], "entity_id string"))
 
 
+def test_models_score_in_a_session_that_has_observed(spark):
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    spark.range(5).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 5
+    r = random.Random(2)
+    rows = [(f"S1-{i}", f"S2-{i}", i % 2, float(i % 2) + r.random(), r.random()) for i in range(40)]
+    pairs = spark.createDataFrame(rows, "s1 string, target string, label int, x double, y double")
+    fitted = model.fit(pairs, model.logistic(), ("x", "y"))
+    got = model.scored(pairs, fitted, ("x", "y")).filter("score > 0.5").groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in got}.get(1, 0) >= 15
+
+
 def test_end_to_end(spark):
     r = random.Random(4)
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda sigma".split()
