@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred import queries as Q
-from kindred.operators import decide
+from kindred.operators import decide, metrics
 from kindred.plans import presets, proxy
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
@@ -90,3 +90,10 @@ def test_readme_lists_the_operators_without_a_query():
     have = {"-".join(x.split("_")[:2]).upper() for x in Q.QUERIES}
     listed = re.search(r"without a query: ([^.]*)\.", readme)
     assert set(re.findall(r"[A-Z]-\d\d", listed[1])) == {x for x in re.findall(r"^\| ([A-QS-Z]-\d\d) \|", survey, re.M) if x not in have}
+
+
+def test_levels_are_found_by_halves(spark):
+    grid = [i / 1000 for i in range(500, 1001)]
+    values = [None, 0.0, 0.4999, 0.5, 0.77, 0.9995, 1.0, 2.0, float("nan")]
+    got = spark.createDataFrame([(v,) for v in values], "score double").select("score", metrics.level(F.col("score"), grid).alias("n")).collect()
+    assert [r["n"] for r in got] == [0 if v is None else sum(not v < x for x in grid) for v in values]
