@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,41 +65,46 @@ def assessed(scored: DataFrame, truth: DataFrame, policy: Policy) -> DataFrame:
     return M.evaluated(M.entity_metrics(truth, accepted(scored, policy)))
 
 
+def _corners(n: int):
+    """For mapInPandas: the differences (i, j, d) of the records' summed values of F0.5 over a grid of n thresholds a source."""
+
+    def steps(at: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Where values start, and the counts of the pairs that pass from there on."""
+        return np.concatenate([[1], at + 1]), *(np.concatenate([c[::-1].cumsum()[::-1], [0]]) for c in counts)
+
+    def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = np.zeros((n + 2, n + 2))
+        for batch in batches:
+            for n_true, times, *x in batch.itertuples(index=False):
+                (i, tp2, fp2), (j, tp3, fp3) = steps(*x[:3]), steps(*x[3:])
+                tp, fp = np.add.outer(tp2, tp3), np.add.outer(fp2, fp3)
+                value = np.divide(1.25 * tp, 1.25 * tp + 0.25 * (n_true - tp) + fp) if n_true else (fp == 0).astype(float)
+                value = np.diff(np.diff(value, axis=0, prepend=0), axis=1, prepend=0)
+                table[np.ix_(i, j)] += times * value
+        i, j = np.nonzero(table[: n + 1, : n + 1])
+        yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "d": table[i, j]})
+
+    return corners
+
+
 def source_thresholds(scored: DataFrame, truth: DataFrame, grid: Sequence[float] = GRID, penalty: float = 0.0, single: bool = False) -> DataFrame:
     """The pair of thresholds (s2, s3) of the greatest macro F0.5, and that; equal ones: the higher sum, then the higher s2.
 
     Each record's hits by source change at its own scores only. So instead of every pair of thresholds with every record,
-    the records' steps are multiplied: between two neighbouring scores nothing changes. A record gives a value for each
-    rectangle of (s2, s3) steps as a difference on the grid's corners; two running sums over the small grid finish it.
+    the records' steps are multiplied: between two neighbouring scores nothing changes. Records of the same steps count
+    together. They give a value for each rectangle of (s2, s3) steps as a difference on the grid's corners; a task adds
+    these up on one grid, and two running sums over the small grid finish it.
     """
-    g = F.array(*[F.lit(float(x)) for x in grid])
     label = M.links(truth).withColumn("t", F.lit(1))
     p = scored.withColumn("score", F.col("score") - penalty * F.col("numeric_conflict")) if penalty else scored
-    p = p.select("s1", "source", "target", "score").join(label, ["s1", "target"], "left").withColumn("at", F.size(F.filter(g, lambda x: x <= F.col("score"))))
+    p = p.select("s1", "source", "target", "score").join(label, ["s1", "target"], "left").withColumn("at", M.level(F.col("score"), grid))
     steps = p.filter("at > 0").groupBy("s1", "source", "at").agg(F.count("t").alias("tp"), F.count_if(F.col("t").isNull()).alias("fp"))
-    lists = steps.groupBy("s1").agg(*[F.collect_list(F.when(F.col("source") == s, F.struct("at", "tp", "fp"))).alias(s) for s in ("S2", "S3")])
-    e = truth.select("s1", F.size("targets").alias("n")).join(lists, "s1", "left")
+    lists = steps.groupBy("s1").agg(*[F.array_sort(F.collect_list(F.when(F.col("source") == s, F.struct("at", "tp", "fp")))).alias(s) for s in ("S2", "S3")])
     none = F.array().cast("array<struct<at:int,tp:bigint,fp:bigint>>")
-    e = e.withColumns({s: F.coalesce(s, none) for s in ("S2", "S3")})
-    # The grid's levels at which a source's counts change, level 1 included: level k holds the pairs with at >= k.
-    for s in ("S2", "S3"):
-        e = e.withColumn(f"l{s}", F.array_sort(F.array_distinct(F.concat(F.array(F.lit(1)), F.transform(s, lambda x: x["at"] + 1)))))
-    sums = lambda s, lv, f: F.aggregate(s, F.lit(0).cast("bigint"), lambda acc, x: acc + F.when(x["at"] >= lv, x[f]).otherwise(0))
-    e = e.select("s1", "n", "S2", "S3", "lS2", F.col("lS3"))
-    a = e.withColumn("i", F.explode("lS2")).withColumn("j", F.explode("lS3"))
-    def value(i, j):  # noqa: E306
-        tp = sums(F.col("S2"), i, "tp") + sums(F.col("S3"), j, "tp")
-        fp = sums(F.col("S2"), i, "fp") + sums(F.col("S3"), j, "fp")
-        den = 1.25 * tp + 0.25 * (F.col("n") - tp) + fp
-        return F.when(F.col("n") == 0, F.when(fp == 0, 1.0).otherwise(0.0)).otherwise(F.coalesce(F.try_divide(1.25 * tp, den), F.lit(0.0)))
-    before = lambda levels, x: F.array_max(F.filter(levels, lambda y: y < x))
-    here, up, left = value(F.col("i"), F.col("j")), value(before(F.col("lS2"), F.col("i")), F.col("j")), value(F.col("i"), before(F.col("lS3"), F.col("j")))
-    corner = value(before(F.col("lS2"), F.col("i")), before(F.col("lS3"), F.col("j")))
-    i0, j0 = F.col("i") > 1, F.col("j") > 1
-    delta = here - F.when(i0, up).otherwise(0.0) - F.when(j0, left).otherwise(0.0) + F.when(i0 & j0, corner).otherwise(0.0)
-    corners = a.select("i", "j", delta.alias("d")).filter("i <= {0} AND j <= {0}".format(len(grid))).groupBy("i", "j").agg(F.sum("d").alias("d"))
-    import numpy as np
-
+    e = truth.select("s1", F.size("targets").alias("n")).join(lists, "s1", "left").withColumns({s: F.coalesce(s, none) for s in ("S2", "S3")})
+    same = e.groupBy("n", "S2", "S3").agg(F.count("*").alias("times"))
+    flat = same.select("n", "times", *[F.col(f"{s}.{f}").cast("array<bigint>").alias(f"{s}{f}") for s in ("S2", "S3") for f in ("at", "tp", "fp")])
+    corners = flat.mapInPandas(_corners(len(grid)), "i int, j int, d double").groupBy("i", "j").agg(F.sum("d").alias("d"))
     table = np.zeros((len(grid) + 1, len(grid) + 1))
     for r in corners.collect():  # at most the grid squared
         table[r["i"], r["j"]] += r["d"]

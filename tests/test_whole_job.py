@@ -97,3 +97,17 @@ def test_levels_are_found_by_halves(spark):
     values = [None, 0.0, 0.4999, 0.5, 0.77, 0.9995, 1.0, 2.0, float("nan")]
     got = spark.createDataFrame([(v,) for v in values], "score double").select("score", metrics.level(F.col("score"), grid).alias("n")).collect()
     assert [r["n"] for r in got] == [0 if v is None else sum(not v < x for x in grid) for v in values]
+
+
+def test_a_search_multiplies_no_records(spark, copies, monkeypatch):
+    """Records of equal steps reach the search over pairs of thresholds once."""
+    seen = []
+    corners = decide._corners
+
+    def watched(n):
+        run = corners(n)
+        seen.append(n)
+        return run
+
+    monkeypatch.setattr(decide, "_corners", watched)
+    assert Q.QUERIES["e_11_reference_grid"](spark, copies).count() == 1 and seen == [len(decide.GRID)]
