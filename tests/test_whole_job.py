@@ -111,3 +111,9 @@ def test_a_search_multiplies_no_records(spark, copies, monkeypatch):
 
     monkeypatch.setattr(decide, "_corners", watched)
     assert Q.QUERIES["e_11_reference_grid"](spark, copies).count() == 1 and seen == [len(decide.GRID)]
+
+
+def test_plans_are_made_by_batch(spark, copies):
+    """No fold over a record's pairs of terms, which is interpreted cell by cell."""
+    plan = Q.QUERIES["d_12_planned_probes"](spark, copies)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "aggregate(" not in plan
