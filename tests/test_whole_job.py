@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred import queries as Q
-from kindred.operators import decide, metrics
+from kindred.operators import decide, features, metrics
 from kindred.plans import presets, proxy
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
@@ -117,3 +117,17 @@ def test_plans_are_made_by_batch(spark, copies):
     """No fold over a record's pairs of terms, which is interpreted cell by cell."""
     plan = Q.QUERIES["d_12_planned_probes"](spark, copies)._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "aggregate(" not in plan
+
+
+def test_pairs_travel_with_two_forms_of_a_text(spark, copies):
+    """No exchange of pairs by country and record before that by record, and no arrays of words in either."""
+    plan = Q.QUERIES["x_51_features"](spark, copies)._jdf.queryExecution().executedPlan().toString()
+    assert "[query_country" not in plan and "tn#" not in re.sub(r"alias.*", "", "\n".join(x for x in plan.split("\n") if "Exchange" in x or "Sort [" in x))
+
+
+def test_secondary_texts_are_joined_before_features(spark, copies, monkeypatch):
+    """Joins of x_83_features meet texts, not rows of 51 features."""
+    seen, first = [], features.with_first
+    monkeypatch.setattr(features, "with_first", lambda pairs: seen.append({"qn2", "tn2"} <= set(pairs.columns)) or first(pairs))
+    Q.QUERIES["x_83_features"](spark, copies)
+    assert seen == [True]
