@@ -6,9 +6,8 @@ They are joined by host: a url looks up each suffix of its host, so a list of an
 Association rules: a url is the set of its tokens (scheme, labels of the host, its last two labels, words of the path,
 names of query parameters; figures are one token). Each labelled page counts, so a url of several pages counts as often. Before
 mining, tokens that too few bad urls have for any rule, and those that all urls have, are left out; tokens that stand in
-exactly the same pages (a path that always comes as a whole) are one item, so long urls don't multiply sets. Of the items
-that then are left of one url, the `most_items` that tell most of bad urls are mined. Spark's FP-growth finds the frequent
-sets of these items together with the label, of any length; sets whose confidence and support suffice and that no subset
+exactly the same pages (a path that always comes as a whole) are one item, so long urls don't multiply sets. All
+items that then are left of a url are mined. Spark's FP-growth finds the frequent sets of these items together with the label, of any length; sets whose confidence and support suffice and that no subset
 with as much confidence makes needless become blocking rules; their numbers are then counted on all labelled urls in full.
 A rule must be `lift` times as sure as the share of bad urls or, where that asks for too much, leave at most one part in
 `lift` of the share of good urls. Rules are indexed by their rarest token, looked up by a url's tokens and checked in full.
@@ -68,19 +67,18 @@ def listed(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return best.select("host", "path", "b.rule", "b.rule_verdict")
 
 
-def _items(labelled: DataFrame, n: int, enough: int, most_items: int) -> tuple[DataFrame, DataFrame]:
+def _items(labelled: DataFrame, n: int, enough: int) -> tuple[DataFrame, DataFrame]:
     """(id, bad, t) with each url's items, and (name, members): which tokens an item stands for. labelled: id, items, bad."""
     each = labelled.select("id", F.col("bad").cast("long").alias("bad"), F.explode("items").alias("item"))
     mark = lambda k: F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(38,0)")).alias(f"h{k}")
     sums = each.groupBy("item").agg(F.count("*").alias("n"), F.sum("bad").alias("b"), mark(1), mark(2)).filter((F.col("b") >= enough) & (F.col("n") < n))
     same = sums.groupBy("n", "b", "h1", "h2").agg(F.min("item").alias("name"), F.array_sort(F.collect_list("item")).alias("members"))  # members stand in one url together: no more than its tokens
-    same = stored(same.select("name", "members", (F.col("b") / F.col("n")).alias("share"), "n"))
-    first = F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("o"), (-F.col("n")).alias("k"), "name")))
-    lists = each.join(same.withColumnRenamed("name", "item").drop("members"), "item").withColumnRenamed("item", "name").groupBy("id").agg(F.slice(first, 1, most_items)["name"].alias("t"))
-    return labelled.select("id", "bad").join(lists, "id", "left").withColumn("t", F.coalesce("t", F.array().cast("array<string>"))), same.select("name", "members")
+    same = stored(same.select("name", "members"))
+    lists = each.join(same.withColumnRenamed("name", "item").drop("members"), "item").withColumnRenamed("item", "name").groupBy("id").agg(F.array_sort(F.collect_list("name")).alias("t"))
+    return labelled.select("id", "bad").join(lists, "id", "left").withColumn("t", F.coalesce("t", F.array().cast("array<string>"))), same
 
 
-def mine(labelled: DataFrame, support: float = 0.0005, least: int = 20, confidence: float = 0.6, lift: float = 2.0, partitions: int | None = None, longest: int | None = None, most_items: int = 16) -> DataFrame:
+def mine(labelled: DataFrame, support: float = 0.0005, least: int = 20, confidence: float = 0.6, lift: float = 2.0, partitions: int | None = None, longest: int | None = None) -> DataFrame:
     """Rules (rule_id, items, support, confidence) from (items, bad), a row a labelled page. support: the least share of urls that must have the tokens and the label, `least` their least number. longest: the most items of a rule, None for any number."""
     labelled = stored(labelled.withColumn("id", F.monotonically_increasing_id()))
     n, bad = labelled.agg(F.count("*"), F.sum(F.col("bad").cast("bigint"))).first()
@@ -90,7 +88,7 @@ def mine(labelled: DataFrame, support: float = 0.0005, least: int = 20, confiden
     fewest = max(math.ceil(support * n), least)
     if fewest > bad:
         return labelled.sparkSession.createDataFrame([], schema)
-    baskets, members = _items(labelled, n, fewest, most_items)
+    baskets, members = _items(labelled, n, fewest)
     sets = FPGrowth(itemsCol="t", minSupport=(fewest - 0.5) / n, minConfidence=1.0)
     sets = sets.setNumPartitions(partitions) if partitions else sets
     found = sets.fit(baskets.select(F.when(F.col("bad"), F.concat("t", F.array(F.lit(BAD)))).otherwise(F.col("t")).alias("t"))).freqItemsets

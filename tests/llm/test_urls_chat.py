@@ -80,6 +80,14 @@ def test_four_tokens_together_block(spark):
         assert {r["page_id"] for r in got if r["verdict"] == "block"} == {i for i, *_ in rows if bad(parts[i % 16])}
 
 
+def test_urls_of_many_items_lose_none(spark):
+    """Two tokens together tell, and stand in bad urls behind 17 others that tell more."""
+    r = random.Random(5)
+    rows = [([*r.sample([f"f{k}" for k in range(40)], 17), "y", "z"], True) for _ in range(200)] + [([x], False) for x in ("y", "z", "x") for _ in range(200)]
+    got = {tuple(x["items"]): x["support"] for x in urls.mine(spark.createDataFrame(rows, "items array<string>, bad boolean")).collect()}
+    assert got[("y", "z")] == 200
+
+
 def test_mined_rules_block(spark):
     r = random.Random(1)
     rows = [(i, f"http://{r.choice(['www', 'm'])}.{r.choice(['spam-farm', 'good', 'fine'])}.example.org/en/{i}", "", "") for i in range(400)]
