@@ -1,8 +1,9 @@
 """LM scoring by deleted interpolation.
 
-p(w | u v) = a * c(u v w) / c(u v) + b * c(v w) / c(v) + g * c(w) / N + d / (V + 1), where pairs and triples that occur once are
-counted as not occurring (so a document does not vouch for itself by what stands in it alone), and (a, b, g, d) depend on the
-bucket of the context's frequency: the power of two of c(u v), or of c(v) where u v does not occur. Expectation-maximisation
+p(w | u v) = a * c(u v w) / c(u v) + b * c(v w) / c(v) + g * c(w) / N + d / (V + 1), where (a, b, g, d) depend on the bucket of
+the context's frequency: the power of two of c(u v), or of c(v) where u v does not occur. `least` is the count below which
+pairs and triples count as not occurring: 1 for the method as it is, 2 (the default) so that a document does not vouch for
+itself by what stands in it alone. Expectation-maximisation
 learns them: one fold of the training documents is deleted from the counts, and the weights make that fold likely under the
 counts that remain. An estimate without a context hands its weight to the next lower order. Scores then use the counts of
 all training documents. c, N and V are exact and cover every training document; words, pairs and triples are told apart by
@@ -10,7 +11,9 @@ all training documents. c, N and V are exact and cover every training document;
 
 Texts are gathered into blocks of some MB, each of one fold kind, in a stored table. A block asks for the counts of its
 distinct words and pairs, and then of those triples of which both pairs occur twice (others can't): one row per block and
-range of hashes, with sorted, difference-coded keys and its own counts. For each range the blocks' counts are added up and
+range of hashes, with sorted, difference-coded keys and its own counts. Where triples that occur once count, a held-out block
+asks for all whose pairs occur; a training block that has a pair which occurs once knows that its triples occur once, and names
+them only where held-out blocks have asked for both pairs. For each range the blocks' counts are added up and
 the sums sent back in the order asked. So the corpus' occurrences are never shuffled one by one, a frequent key is one a
 block, and nothing of the vocabulary's size is on one machine. Ranges grow with the input, and so that rows don't grow with
 its square, more than 2^FAN_BITS ranges are reached in levels: the requests of some blocks for a wide range are merged into
@@ -35,12 +38,15 @@ from pyspark.sql import functions as F
 
 from kindred.llm import shingles
 from kindred.llm.common import fold, stored
+from kindred.sources.store import released
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 16 << 20
 #: A request is split at once into at most 2^FAN_BITS ranges, and about as many requests are merged for the next level.
 FAN_BITS = 6
+#: Marks the count of a pair that a held-out block asks for; counts are below.
+ASKED = 1 << 40
 #: Buckets by the frequency of one word of context, and as many again by that of two.
 BUCKETS = 40
 #: Cells of the histogram for one octave of a ratio, and the octaves covered on either side of 1.
@@ -79,7 +85,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             ids = np.array([int(i or 0) for i, _ in rows], np.int64)
             block = pd.DataFrame([{
                 "block": (part << 24) + made, "kind": kind, "n_bytes": size[kind], "ids": ids.tobytes(), "nulls": np.array([i is None for i, _ in rows], bool).tobytes(),
-                "sizes": np.array([len(t) for _, t in rows], np.int64).tobytes(), "texts": zstandard.ZstdCompressor(level=3).compress(b"".join(t for _, t in rows)),
+                "sizes": np.array([len(t) for _, t in rows], np.int64).tobytes(), "texts": zstandard.ZstdCompressor(level=7).compress(b"".join(t for _, t in rows)),
             }])
             made, size[kind] = made + 1, 0
             return block
@@ -145,11 +151,15 @@ class Tokens:
         out[self.first] = start
         return out
 
-    def triples(self, pair_totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which tokens end a triple whose pairs both occur twice; these triples' sorted distinct hashes, and the place of each."""
-        often = pair_totals >= 2
-        mask = often[self.pair] & often[self.uv]
-        return mask, *_unique(self.triple_hash[mask])
+    def triples(self, pair_totals: np.ndarray, least: int = 2, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which tokens end a triple to ask for; these triples' sorted distinct hashes, and the place of each; which tokens end a triple that occurs once, here, and is not asked for. asked: in a training block, which pairs held-out blocks ask for."""
+        both = lambda x: x[self.pair] & x[self.uv]
+        mask = both(pair_totals >= least)
+        alone = np.zeros(len(mask), bool)
+        if least < 2 and asked is not None:
+            alone = mask & ~both(pair_totals >= 2) & ~both(asked)
+            mask = mask & ~alone
+        return mask, *_unique(self.triple_hash[mask]), alone
 
 
 REQUEST = "order int, part bigint, member bigint, keys binary, counts binary, gone binary"
@@ -168,8 +178,8 @@ def _table(rows: list[tuple], schema: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
 
-def requests(table: DataFrame, bits: int) -> DataFrame:
-    """What each block asks of words (order 1) and pairs (order 2), with its own training counts and which of them are deleted."""
+def requests(table: DataFrame, bits: int, least: int) -> DataFrame:
+    """What each block asks of words (order 1) and pairs (order 2), with its own training counts and which of them are deleted. Where triples that occur once count, a held-out block's pairs are marked."""
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -177,20 +187,22 @@ def requests(table: DataFrame, bits: int) -> DataFrame:
                 t, out = Tokens(row), []
                 for order, keys, counts in ((1, t.words, t.word_counts), (2, t.pairs, t.pair_counts)):
                     counts = counts * (row["kind"] > 0)
+                    if least < 2 and order == 2 and row["kind"] == 0:
+                        counts = counts + ASKED
                     out += _split(order, row["block"], keys, counts, counts if row["kind"] == 1 else None, bits)
                 yield _table(out, REQUEST)
 
     return table.mapInPandas(ask, REQUEST)
 
 
-def triple_requests(table: DataFrame, answered: DataFrame, bits: int) -> DataFrame:
+def triple_requests(table: DataFrame, answered: DataFrame, bits: int, least: int) -> DataFrame:
     """What each block asks of triples (order 3), once it knows how often its pairs occur."""
 
     def ask(block: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, row in block.iterrows():
             t = Tokens(row)
-            _, keys, places = t.triples(_answers(rows)[2][0])
+            _, keys, places, _ = _triples(t, _answers(rows), row["kind"], least)
             counts = np.bincount(places, minlength=len(keys)) * (row["kind"] > 0)
             out += _split(3, row["block"], keys, counts, counts if row["kind"] == 1 else None, bits)
         return _table(out, REQUEST)
@@ -198,15 +210,25 @@ def triple_requests(table: DataFrame, answered: DataFrame, bits: int) -> DataFra
     return table.groupBy("block").cogroup(answered.filter("order = 2").groupBy("member")).applyInPandas(ask, REQUEST)
 
 
+def _marked(counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Counts, and which are marked by ASKED."""
+    return [c & (ASKED - 1) for c in counts], [c >= ASKED for c in counts]
+
+
 def _merged(rows: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """The rows' keys as places among the distinct ones, these, and their counts in all and in deleted documents."""
+    """The rows' keys as places among the distinct ones, these, and their counts in all and in deleted documents. What one row marks is marked in the first."""
     with np.errstate(over="ignore"):
         keys = [np.cumsum(_unpacked(k), dtype=np.uint64) for k in rows["keys"]]
-    counts = [_unpacked(c).astype(np.int64) for c in rows["counts"]]
+    counts, asked = _marked([_unpacked(c).astype(np.int64) for c in rows["counts"]])
     gone = [np.zeros(len(c), np.int64) if g is None else c if bytes(g) == b"=" else _unpacked(g).astype(np.int64) for g, c in zip(rows["gone"], counts, strict=True)]
     distinct, places = _unique(np.concatenate(keys))
     add = lambda x: np.bincount(places, weights=np.concatenate(x), minlength=len(distinct)).astype(np.int64)  # noqa: E731  # exact below 2^53
-    return np.split(places, np.cumsum([len(k) for k in keys])[:-1]), distinct, add(counts), add(gone)
+    total, asked = add(counts), np.concatenate(asked)
+    if asked.any():
+        mark = np.zeros(len(distinct), np.int64)
+        mark[places[asked]] = ASKED
+        total += mark
+    return np.split(places, np.cumsum([len(k) for k in keys])[:-1]), distinct, total, add(gone)
 
 
 def replies(asked: DataFrame, bits: int, members: int, done: int | None = None) -> DataFrame:
@@ -234,7 +256,8 @@ def replies(asked: DataFrame, bits: int, members: int, done: int | None = None)
 
     def back(key, rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         places, *_ = _merged(rows)
-        total, gone = _answers(found)[int(key[0])]
+        total, gone, asked = _answers(found)[int(key[0])]
+        total = total + asked * ASKED
         return _table([(m, int(key[0]), int(key[1]), _packed(total[i]), None if g is None else _packed(gone[i]), 0, 0, 0) for m, g, i in zip(rows["member"], rows["gone"], places, strict=True)], REPLY)
 
     wide = inner.filter("member >= 0").withColumn("wide", F.shiftright("part", narrow - done))
@@ -242,38 +265,40 @@ def replies(asked: DataFrame, bits: int, members: int, done: int | None = None)
     return out.unionByName(inner.filter("member < 0"))
 
 
-def _answers(rows: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each order the sums over all training documents and over the deleted ones (0 where they were not asked for)."""
+def _answers(rows: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order the sums over all training documents and over the deleted ones (0 where they were not asked for), and which are marked."""
     out = {}
     for order, part in rows.sort_values("part").groupby("order"):
-        total = [_unpacked(x).astype(np.int64) for x in part["totals"]]
+        total, asked = _marked([_unpacked(x).astype(np.int64) for x in part["totals"]])
         gone = [np.zeros(len(t), np.int64) if g is None else _unpacked(g).astype(np.int64) for t, g in zip(total, part["gone"], strict=True)]
-        out[order] = np.concatenate(total), np.concatenate(gone)
+        out[order] = np.concatenate(total), np.concatenate(gone), np.concatenate(asked)
     return out
 
 
-def _estimates(t: Tokens, totals: dict[int, np.ndarray], mask: np.ndarray, places: np.ndarray, n: int, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per token: the bucket of its context, and the three maximum-likelihood estimates, each over the uniform one (0 where there are no counts). totals: counts by order, those of pairs and triples below two as 0."""
+def _triples(t: Tokens, a: dict[int, tuple], kind: int, least: int) -> tuple:
+    """The triples of a block with these answers."""
+    return t.triples(a[2][0], least, a[2][2] if kind > 0 else None)
+
+
+def _estimates(t: Tokens, totals: dict[int, np.ndarray], mask: np.ndarray, places: np.ndarray, alone: np.ndarray, n: int, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per token: the bucket of its context, and the three maximum-likelihood estimates, each over the uniform one (0 where there are no counts). totals: counts by order, of pairs and triples those that count."""
     divide = lambda x, y: np.divide(x, y, out=np.zeros(len(x)), where=y > 0) * (v + 1.0)
     uv, one = totals[2][t.uv], totals[1][t.v]
     power = lambda x: np.minimum(BUCKETS - 1, np.frexp(x.astype(float))[1])
     bucket = np.where(uv > 0, BUCKETS + power(uv), power(one))
     triple = np.zeros(len(uv), np.int64)
-    triple[mask] = totals[3][places]
+    triple[mask], triple[alone] = totals[3][places], 1
     return bucket, divide(triple, uv), divide(totals[2][t.pair], one), totals[1][t.word] / max(n, 1) * (v + 1.0)
 
 
-def _pruned(x: np.ndarray) -> np.ndarray:
-    return np.where(x >= 2, x, 0)
+def _known(a: dict[int, tuple], left: bool, least: int) -> dict[int, np.ndarray]:
+    """Counts by order, of all training documents or (left) without the deleted ones; those of pairs and triples below least as 0."""
+    counts = {k: x - y if left else x for k, (x, y, _) in a.items()}
+    often = lambda x: np.where(x >= least, x, 0)
+    return {1: counts[1], 2: often(counts[2]), 3: often(counts.get(3, np.zeros(0, np.int64)))}
 
 
-def _known(a: dict[int, tuple], left: bool) -> dict[int, np.ndarray]:
-    """Counts by order, of all training documents or (left) without the deleted ones."""
-    counts = {k: x - y if left else x for k, (x, y) in a.items()}
-    return {1: counts[1], 2: _pruned(counts[2]), 3: _pruned(counts.get(3, np.zeros(0, np.int64)))}
-
-
-def expectation_counts(table: DataFrame, answered: DataFrame, n: int, v: int) -> DataFrame:
+def expectation_counts(table: DataFrame, answered: DataFrame, n: int, v: int, least: int) -> DataFrame:
     """(bucket, three, two, one, tokens): tokens of the deleted fold by context bucket and by the cells of the ratios under the counts without that fold; cell -1: ratio 0."""
 
     def cell(ratio: np.ndarray) -> np.ndarray:
@@ -287,8 +312,8 @@ def expectation_counts(table: DataFrame, answered: DataFrame, n: int, v: int) ->
         out = []
         for _, row in block.iterrows():
             t, a = Tokens(row), _answers(rows)
-            mask, _, places = t.triples(a[2][0])
-            bucket, *ratios = _estimates(t, _known(a, True), mask, places, n, v)
+            mask, _, places, _ = _triples(t, a, row["kind"], least)  # those that occur once, here, are deleted
+            bucket, *ratios = _estimates(t, _known(a, True, least), mask, places, np.zeros(len(mask), bool), n, v)
             wide = 2 * OCTAVES * CELLS + 2
             code = bucket.astype(np.int64)
             for r in ratios:
@@ -325,24 +350,29 @@ def weights(histogram: pd.DataFrame, steps: int = 60) -> np.ndarray:
     return np.stack([fit(bucket == b) if (bucket == b).any() else every for b in range(2 * BUCKETS)])
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def scored(docs: DataFrame, least: int = 2) -> DataFrame:
+    """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Pairs and triples count from `least` occurrences (1 or 2)."""
+    if least not in (1, 2):
+        raise ValueError("pairs and triples count from 1 or 2 occurrences")
     table = stored(blocks(docs))
     size, members = table.agg(F.sum("n_bytes"), F.count("*")).first()
     bits = max(0, (-(-int(size or 0) // RANGE_BYTES) - 1).bit_length())
     top = min(bits, FAN_BITS)
-    answered = stored(replies(requests(table, top), bits, members))
+    answered = stored(replies(requests(table, top, least), bits, members))
     n, n_gone, v = (int(x or 0) for x in answered.filter("member < 0").agg(F.sum("n"), F.sum("n_gone"), F.sum("v")).first())
     columns = ["member", "order", "part", "totals", "gone"]
     answered = answered.filter("member >= 0").select(*columns)
-    answered = answered.unionByName(stored(replies(triple_requests(table, answered, top), bits, members).filter("member >= 0").select(*columns)))
-    mixture = weights(expectation_counts(table, answered, n - n_gone, v).toPandas())  # see above for its bound
+    answered = answered.unionByName(stored(replies(triple_requests(table, answered, top, least), bits, members).filter("member >= 0").select(*columns)))
+    mixture = weights(expectation_counts(table, answered, n - n_gone, v, least).toPandas())  # see above for its bound
+    released(docs.sparkSession)
 
     def score(block: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, row in block.iterrows():
-            t, counts = Tokens(row), _known(_answers(rows), False)
-            bucket, three, two, one = _estimates(t, counts, *(lambda m, _, p: (m, p))(*t.triples(counts[2])), n, v)
+            t, a = Tokens(row), _answers(rows)
+            counts = _known(a, False, least)
+            mask, _, places, alone = _triples(t, a, row["kind"], least)
+            bucket, three, two, one = _estimates(t, counts, mask, places, alone, n, v)
             w, word = mixture[bucket], counts[1][t.word]
             a = np.where(counts[2][t.uv] > 0, w[:, 0], 0.0)
             b = np.where(counts[1][t.v] > 0, w[:, 0] + w[:, 1] - a, 0.0)

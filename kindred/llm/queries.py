@@ -24,7 +24,7 @@ def op1_best_fit_decreasing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.scored(table(spark, sf_dir, "documents"))
+    return lm.scored(table(spark, sf_dir, "documents"), least=1)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from kindred.llm import lm
+from kindred.llm import lm, queries
 
 DOC = "doc_id long, text string, score string"
 fold = lambda i: -1 if i is None else zlib.crc32(str(i).encode()) % 7
@@ -165,3 +165,68 @@ def test_blocks_do_not_matter(spark, monkeypatch):
 def test_packed_numbers():
     x = np.array([0, 1, 2**63, 2**64 - 1, 77], np.uint64)
     assert (lm._unpacked(lm._packed(x)) == x).all() and len(lm._unpacked(lm._packed(x[:0]))) == 0
+
+
+def full(rows):
+    """Counts as in grams(), of all that stands."""
+    c = [Counter(), Counter(), Counter()]
+    for _, t in rows:
+        x = ["<s>", "<s>", *tokens(t)]
+        for k, y in enumerate((x[1:], zip(x, x[1:]), zip(x, x[1:], x[2:]))):
+            c[k].update(y)
+    return c
+
+
+def novel():
+    """corpus() and texts of rare words, parts of which stand once in training documents and again in held-out ones."""
+    r = random.Random(9)
+    once = [[f"q{k}_{j}" for j in range(12)] for k in range(40)]
+    rows = corpus() + [(2000 + k, " ".join(w)) for k, w in enumerate(once)]
+    for k in range(120):
+        w = r.choice(once)
+        a = r.randrange(9)
+        rows.append((3000 + k, " ".join([f"w{r.randrange(40)}", *w[a : a + r.randint(2, 4)], r.choice(w), "w1", "w2"])))
+    return rows
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_what_occurs_once_counts(spark, monkeypatch, small):
+    """The query's scores and the histogram of the deleted fold, by brute force over all counts; small: in blocks of few texts and ranges in levels."""
+    rows = novel()
+    if small:
+        monkeypatch.setattr(lm, "FAN_BITS", 1)
+        monkeypatch.setattr(lm, "RANGE_BYTES", 2400)
+        monkeypatch.setattr(lm, "BLOCK_BYTES", 3000)
+    seen = {}
+    real = lm.weights
+    monkeypatch.setattr(lm, "weights", lambda h: seen.setdefault("w", real(seen.setdefault("h", h))))
+    monkeypatch.setattr(queries, "table", lambda *a: spark.createDataFrame([(*x, "") for x in rows], DOC).repartition(3))
+    got = {r["doc_id"]: r["score"] for r in queries.op2_deleted_interpolation(spark, "").collect()}
+    rest, every = (full([(i, t) for i, t in rows if fold(i) not in out]) for out in ((2, 3), (2,)))
+    n, v = sum(k for w, k in every[0].items() if w != "<s>"), len(every[0]) - 1
+    singles = 0
+    for i, t in rows:
+        if i == 3:
+            continue  # stands twice
+        total, x = 0.0, ["<s>", "<s>", *tokens(t)]
+        for k in zip(x, x[1:], x[2:]):
+            singles += fold(i) == 2 and every[2].get(k) == 1
+            bucket, f = ratios(every, n, v, k)
+            w = list(seen["w"][bucket])
+            if not every[1].get(k[:2]):
+                w[0], w[1] = 0.0, w[0] + w[1]
+            if not every[0][k[1]]:
+                w[1], w[2] = 0.0, w[1] + w[2]
+            total += math.log10((sum(a * b for a, b in zip(w, f)) + w[3]) / (v + 1))
+        assert got[i] == pytest.approx(total, rel=1e-9)
+    assert singles > 20
+    left = sum(k for w, k in rest[0].items() if w != "<s>")
+    cell = lambda f: round(math.log2(f) * lm.CELLS) + lm.OCTAVES * lm.CELLS if f else -1
+    want = Counter()
+    for i, t in rows:
+        if fold(i) == 3:
+            x = ["<s>", "<s>", *tokens(t)]
+            for k in zip(x, x[1:], x[2:]):
+                bucket, f = ratios(rest, left, v, k)
+                want[bucket, *map(cell, f)] += 1
+    assert {tuple(map(int, r[:4])): int(r[4]) for r in seen["h"][["bucket", "three", "two", "one", "tokens"]].itertuples(index=False)} == want

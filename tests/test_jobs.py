@@ -172,3 +172,22 @@ def test_small_things(spark, tmp_path):
     shards.write_text(spark, str(tmp_path / "f.txt"), "a\nb")
     shards.write_text(spark, str(tmp_path / "f.txt"), "c\nd")
     assert shards.read_text(spark, str(tmp_path / "f.txt")) == "c\nd" and [x[:2] for x in shards.files(spark, str(tmp_path)) if not x[0].startswith(".")] == [("f.txt", 3)]
+
+
+def test_a_stored_plan_leaves_no_shuffle(spark):
+    """The shuffle files of what stored() has written are gone soon after, though no other query follows."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from kindred.sources.store import stored
+
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    before = files()
+    assert stored(spark.range(50_000).groupBy((F.col("id") % 9973).alias("k")).agg(F.count("*").alias("n"))).columns == ["k", "n"]
+    for _ in range(40):
+        if not files() - before:
+            break
+        time.sleep(0.25)
+    assert not files() - before
