@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import fold
+from kindred.llm.common import fold, trimmed
 
 HEAD, TAIL = bytes(range(200, 232)), bytes(range(160, 192))
 LEVEL = 19
@@ -47,11 +47,11 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _runs(words: set[bytes]) -> set[bytes]:
+def _runs(words: set[bytes], sizes: tuple[int, ...] = RUNS) -> set[bytes]:
     out = set()
     for w in words:
         x = b" " + w + b" "
-        for n in RUNS:
+        for n in sizes:
             out.update(x[i : i + n] for i in range(len(x) - n + 1))
     return out
 
@@ -76,16 +76,18 @@ def _content(words: Counter, size: int, runs: set[bytes] = frozenset()) -> bytes
 
 
 def dictionaries(toxic: list[str], ordinary: list[str], size: int = DICTIONARY, contrast: float = 50.0, least: int = 3) -> tuple[bytes, bytes]:
-    """The contents of the toxic and the ordinary dictionary. Copies among the texts count once."""
+    """The contents of the toxic and the ordinary dictionary. Copies among the texts count once. Runs are counted length by length, so that those of one length are in memory at once."""
     toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary))
-    found: Counter = Counter()
-    for t in toxic:
-        found.update(_runs(set(split(t))))
-    enough = {g for g, k in found.items() if k >= least}
-    other: Counter = Counter()
-    for t in ordinary:
-        other.update(_runs(set(split(t))) & enough)
-    telling = {g for g in enough if found[g] / len(toxic) > contrast * (other[g] + 0.5) / len(ordinary)}
+    telling: set[bytes] = set()
+    for n in RUNS:
+        found: Counter = Counter()
+        for t in toxic:
+            found.update(_runs(set(split(t)), (n,)))
+        found = Counter({g: k for g, k in found.items() if k >= least})
+        other: Counter = Counter()
+        for t in ordinary:
+            other.update(g for g in _runs(set(split(t)), (n,)) if g in found)
+        telling |= {g for g, k in found.items() if k / len(toxic) > contrast * (other[g] + 0.5) / len(ordinary)}
     words: Counter = Counter()
     for t in toxic:
         words.update(split(t))
@@ -177,7 +179,12 @@ def learned(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1500, ordinary
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.length("text") <= max_chars)
     rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"]).select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit([r["text"] for r in rows if r["toxic"] > 0], [r["text"] for r in rows if r["toxic"] <= 0])
+    toxic, ordinary = ([r["text"] for r in rows if (r["toxic"] > 0) == kind] for kind in (True, False))
+    del rows
+    model = fit(toxic, ordinary)
+    del toxic, ordinary
+    trimmed()  # what follows in this session needs the driver's memory
+    return model
 
 
 def scored(docs: DataFrame, model: Model, folds: int = 5) -> DataFrame:

@@ -101,3 +101,27 @@ def test_edges(spark):
     assert toxicity.result(odd.limit(0), lab).count() == 0
     for none, share in ((lab.limit(0), 0.0), (lab.withColumn("toxic", F.lit(None).cast("int")), 0.0), (lab.withColumn("toxic", F.lit(1)), 1.0)):
         assert {r["score"] for r in toxicity.result(odd, none).collect()} == {share}
+
+
+def test_runs_of_one_length_are_in_memory_at_once():
+    import random
+    import tracemalloc
+    from collections import Counter
+
+    r = random.Random(3)
+    text = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(200))
+    toxic, ordinary = [text() for _ in range(60)], [text() for _ in range(60)]
+
+    def peak(f):
+        tracemalloc.start()
+        f()
+        _, most = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        return most
+
+    def all_lengths():
+        found = Counter()
+        for t in toxic:
+            found.update(toxicity._runs(set(toxicity.split(t))))
+
+    assert peak(lambda: toxicity.dictionaries(toxic, ordinary)) < 0.6 * peak(all_lengths)
