@@ -124,3 +124,13 @@ def test_ids_too_wide_for_the_matrix_are_an_error(spark):
         bestfit.packed(docs(spark), kind="<u1")
     with pytest.raises(ValueError, match="wider kind"):
         bestfit.packed(docs(spark), width=1 << 17)
+
+
+def test_plain_words_skip_the_search_for_words():
+    enc = tokens.Encoder(tokens.default_path())
+    assert enc.bare is not enc.tokenizer
+    pick = random.Random(5)
+    some = [*"abEJHtywß.,!#_1 \n\t\x0b'", "̌", "̱", "İ", "Σ", "σ", "²", "Ⅷ", "é", "É", "字", "ؤ", "'s", "  ", "\xa0", "　", "😀", "Ⓐ", "ǅ", "ﬁ", "ª", "µ", "Haus", "ÉTÉ,", "straße"]
+    texts = ["".join(pick.choices(some, k=pick.randint(0, 14))) for _ in range(3000)]
+    for text in texts:
+        assert np.frombuffer(enc.ids(text), "<u4").tolist() == [*enc.tokenizer.encode(text, add_special_tokens=False).ids, tokens.END_ID], repr(text)
