@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ctypes
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -44,15 +46,41 @@ def trimmed() -> None:
         pass
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Graphs of so many edges (4 MB) are solved on the driver.
+FEW_EDGES = 1 << 18
+
+
+def _least(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (a, b) and the smallest node that each reaches: roots hook to smaller roots beside them, then all point to their roots."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low, new = np.minimum(root[x], root[y]), root.copy()
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        while not np.array_equal(up := new[new], new):
+            new = up
+        if np.array_equal(new, root):
+            return nodes, nodes[root]
+        root = new
+
+
+def components(edges: DataFrame, max_rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
     """Connected components of an undirected graph, as (node, component): each node that has an edge, with the smallest node it reaches.
 
     edges has columns (a, b). Alternating large-star and small-star steps (Kiveris et al., 2014): each round is two
     aggregations over the edges, so a component of any size is never gathered in one task, and a number of rounds that
     grows with the logarithm of the longest path. Stops when a round changes no edge; raises if max_rounds do not suffice.
+    At most `few` distinct edges are solved on the driver instead, where a round costs no tasks.
     No edges give no rows; loops and repeated edges have no effect beyond naming their node.
     """
-    e = stored(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    seen = Observation()
+    e = stored(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().observe(seen, F.count(F.lit(1)).alias("n")))
+    if seen.get["n"] <= few:
+        held = e.toArrow()
+        nodes, least = _least(*(held[c].to_numpy().astype(np.int64) for c in "ab"))
+        return edges.sparkSession.createDataFrame(pa.table({"node": nodes, "component": least}), "node bigint, component bigint")
     before = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

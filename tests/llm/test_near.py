@@ -129,3 +129,13 @@ def test_components(spark):
         got = {x["node"]: x["component"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
         assert got == {x: root(x) for x in up}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_few_edges_are_solved_on_the_driver_and_alike(spark, monkeypatch):
+    pick = random.Random(9)
+    node = lambda: pick.choice([-3, 0, 1 << 62, *range(5, 60)])
+    edges = [(node(), node()) for _ in range(45)] + [(k, k + 1) for k in range(100, 160)] + [(7, 7), (None, 4)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    far = {tuple(r) for r in components(df, few=0).collect()}
+    assert len({a for a, _ in far}) == len(far) > 60
+    assert {tuple(r) for r in components(df, max_rounds=0).collect()} == far  # no round of the cluster
