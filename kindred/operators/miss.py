@@ -11,6 +11,7 @@ from kindred.functions import text as X
 from kindred.operators import metrics as M
 from kindred.operators.ranking import budgeted, eligible
 from kindred.plans.presets import Budget, IndexConfig
+from kindred.sources.store import stored
 
 #: The document frequencies of the counterfactuals.
 THRESHOLDS = {"name": (60, 125, 250, 500, 1000), "address": (40, 80, 160, 320, 640), "numeric": (250, 500, 1000, 2500, 5000)}
@@ -47,32 +48,52 @@ def cap_counterfactual(truth: DataFrame, pool: DataFrame, caps: dict[str, int],
 
 
 def discovery(found: DataFrame, queries: DataFrame, records: DataFrame, token_df: DataFrame, config: IndexConfig) -> DataFrame:
-    """For links (s1, target): equality of texts, shared tokens and the rarest one's frequency, and, for each frequency bound, whether a shared token is eligible (the link could be met) and among the query's chosen ones (it would be)."""
-    q = queries.select(F.col("entity_id").alias("s1"), F.col("country"), F.col("name").alias("qn"), F.col("address").alias("qa"))
-    t = records.select(F.col("entity_id").alias("target"), "source", F.col("country").alias("target_country"), F.col("name").alias("tn"), F.col("address").alias("ta"))
-    p = found.select("s1", "target").join(q, "s1").join(t, "target")
-    p = p.withColumns({
-        "country_equal": F.col("country") == F.col("target_country"), "name_equal": (F.col("qn.norm") != "") & (F.col("qn.norm") == F.col("tn.norm")), "address_equal": (F.col("qa.norm") != "") & (F.col("qa.norm") == F.col("ta.norm")),
-        "signature_equal": (F.size("qn.uniq") > 0) & (F.col("qn.uniq") == F.col("tn.uniq")), "name_jaccard": X.jaccard(F.col("qn.uniq"), F.col("tn.uniq")), "address_jaccard": X.jaccard(F.col("qa.uniq"), F.col("ta.uniq")), "numeric_overlap": X.overlap(F.col("qa.digits"), F.col("ta.digits")),
-    })
+    """For links (s1, target): equality of texts, shared tokens and the rarest one's frequency, and, for each frequency bound, whether a shared token is eligible (the link could be met) and among the query's chosen ones (it would be).
+
+    Frequencies and the order of a query's own tokens, in its country and the target's source, are made once for queries of
+    equal texts; pairs of equal texts are compared once, and links carry ids only.
+    """
     bounds = {"name": (config.min_name_token_length, config.name_query_terms, config.max_name_token_df), "address": (config.min_address_token_length, config.address_query_terms, config.max_address_token_df), "numeric": (1, config.numeric_query_terms, config.max_numeric_token_df)}
-    role = lambda name, side, a: F.transform(a, lambda x: F.struct(F.lit(name).alias("role"), x.alias("token"), F.array_contains(side, x).alias("shared")))
-    roles = F.concat(role("name", F.col("tn.uniq"), F.col("qn.uniq")), role("address", F.col("ta.uniq"), F.col("qa.uniq")), role("numeric", F.col("ta.digits"), F.col("qa.digits")))
-    e = p.select("s1", "target", "source", "country", "country_equal", F.explode(roles).alias("r")).select("s1", "target", "source", "country", "country_equal", "r.*").withColumn("field", F.when(F.col("role") == "name", "name").otherwise("address"))
-    e = e.join(token_df, ["source", "country", "field", "token"], "left").fillna(0, ["df"])
+    parts = lambda x: [F.col("name.norm").alias(f"{x}n"), F.col("address.norm").alias(f"{x}a"), F.col("name.uniq").alias(f"{x}_name"), F.col("address.uniq").alias(f"{x}_address"), F.col("address.digits").alias(f"{x}_numeric")]
+    q = queries.select(F.col("entity_id").alias("s1"), "country", *parts("q"))
+    t = records.select(F.col("entity_id").alias("target"), "source", F.col("country").alias("target_country"), *parts("t"))
+
+    def classes(df: DataFrame, name: str, own: str, key: list[str]) -> tuple[DataFrame, DataFrame]:
+        """(name, own) of the rows, own being the smallest id of those with equal texts; and one row for each."""
+        one = df.groupBy(*key).agg(F.min(name).alias(own), *[F.first(c).alias(c) for c in df.columns if c not in (name, *key)])
+        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
+        return df.join(one.select(*[F.col(k).alias(f"_{k}") for k in key], own), same).select(name, own), one
+
+    own_q, one_q = classes(q, "s1", "q", ["country", "qn", "qa"])
+    own_t, one_t = classes(t, "target", "t", ["source", "target_country", "tn", "ta"])
+    links = stored(found.select("s1", "target").join(own_q, "s1").join(own_t, "target"))
+
+    role = lambda name: F.transform(f"q_{name}", lambda x: F.struct(F.lit(name).alias("role"), x.alias("token")))
+    e = one_q.select("q", "country", F.explode(F.concat(*map(role, bounds))).alias("r")).select("q", "country", "r.*").withColumn("field", F.when(F.col("role") == "name", "name").otherwise("address"))
+    e = e.crossJoin(records.select("source").distinct()).join(token_df, ["source", "country", "field", "token"], "left").fillna(0, ["df"])
     shortest = F.when(F.col("role") == "name", bounds["name"][0]).when(F.col("role") == "address", bounds["address"][0]).otherwise(1)
-    usable = (F.col("df") > 0) & (F.length("token") >= shortest)
-    e = e.withColumn("usable", usable).withColumn("k", F.when(F.col("usable"), F.row_number().over(Window.partitionBy("s1", "target", "role", "usable").orderBy("df", "token"))))
+    late = ((F.col("df") == 0) | (F.length("token") < shortest)).alias("late")  # not usable: after the others
+    ordered = lambda name: F.array_sort(F.collect_list(F.when(F.col("role") == name, F.struct(late, "df", "token"))))
+    numbered = lambda name: F.transform(name, lambda x, i: F.struct(x["token"].alias("token"), x["df"].alias("df"), F.when(~x["late"], i + 1).alias("k"))).alias(name)
+    terms = e.groupBy("q", "source").agg(*[ordered(n).alias(n) for n in bounds]).select("q", "source", *map(numbered, bounds))
+
+    p = links.select("q", "t").distinct().join(one_q, "q").join(one_t, "t").join(terms, ["q", "source"], "left")
+    none = F.expr("CAST(array() AS array<struct<token: string, df: bigint, k: int>>)")
+    p = p.withColumns({n: F.coalesce(F.filter(n, lambda x: F.array_contains(f"t_{n}", x["token"])), none) for n in bounds})  # shared ones
+    p = p.withColumns({
+        "country_equal": F.col("country") == F.col("target_country"), "name_equal": (F.col("qn") != "") & (F.col("qn") == F.col("tn")), "address_equal": (F.col("qa") != "") & (F.col("qa") == F.col("ta")),
+        "signature_equal": (F.size("q_name") > 0) & (F.col("q_name") == F.col("t_name")), "name_jaccard": X.jaccard(F.col("q_name"), F.col("t_name")), "address_jaccard": X.jaccard(F.col("q_address"), F.col("t_address")), "numeric_overlap": X.overlap(F.col("q_numeric"), F.col("t_numeric")),
+    })
     outs: list[Column] = []
     for name, (_, limit, current) in bounds.items():
-        mine = F.col("role") == name
-        outs += [F.count_if(mine & F.col("shared")).alias(f"shared_{name}"), F.min(F.when(mine & F.col("shared"), F.col("df"))).alias(f"min_{name}_df")]
+        outs += [F.size(name).cast("long").alias(f"shared_{name}"), F.array_min(F.transform(name, lambda x: x["df"])).alias(f"min_{name}_df")]
         for bound in dict.fromkeys((current, *THRESHOLDS[name])):
-            met = mine & F.col("usable") & F.col("shared") & F.col("country_equal") & (F.col("df") <= bound)
-            outs += [F.coalesce(F.bool_or(met), F.lit(False)).alias(f"{name}_{bound}_eligible"), F.coalesce(F.bool_or(met & (F.col("k") <= limit)), F.lit(False)).alias(f"{name}_{bound}_retrievable")]
-    per = e.groupBy("s1", "target").agg(*outs)
-    kept = ["s1", "target", "country_equal", "name_equal", "address_equal", "signature_equal", "name_jaccard", "address_jaccard", "numeric_overlap"]
-    return p.select(*kept).join(per, ["s1", "target"], "left")
+            first = F.array_min(F.transform(F.filter(name, lambda x: x["k"].isNotNull() & (x["df"] <= bound)), lambda x: x["k"]))
+            here = F.coalesce(F.col("country_equal"), F.lit(False))
+            outs += [(here & first.isNotNull()).alias(f"{name}_{bound}_eligible"), (here & F.coalesce(first <= limit, F.lit(False))).alias(f"{name}_{bound}_retrievable")]
+    kept = ["country_equal", "name_equal", "address_equal", "signature_equal", "name_jaccard", "address_jaccard", "numeric_overlap"]
+    per = stored(p.select("q", "t", *kept, *outs))
+    return links.join(per, ["q", "t"]).drop("q", "t").select("s1", "target", *per.columns[2:])
 
 
 def intersection_reasons(found: DataFrame, terms: DataFrame, records: DataFrame, probed: DataFrame, hits: DataFrame, config: IndexConfig) -> DataFrame:

@@ -350,3 +350,22 @@ def test_streaming_retrieval(spark, tmp_path):
     stream = spark.readStream.schema(RECORD + ", source string").parquet(str(tmp_path / "in"))
     S.start(stream, idx, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).select("target").collect()[0][0] == "S2-1"
+
+
+def test_discovery_goes_by_the_order_of_the_query(spark):
+    def rec(*rows):
+        return X.represented(records(spark, *rows))
+
+    t = records(spark, ("S2-1", "Common", "9 Road", "US"), ("S2-2", "Common Rare", "", "US"), ("S2-3", "", "", "US"), ("S2-4", "Common", "9 Road", "US"), ("S2-5", "Common", "", "FR"))
+    idx = index.build(t)
+    found = spark.createDataFrame([(s, x) for s in ("S1-1", "S1-2") for x in ("S2-1", "S2-2", "S2-3", "S2-4", "S2-5")], "s1 string, target string")
+    config = presets.IndexConfig(name_query_terms=1)
+    got = {(r["s1"], r["target"]): r for r in miss.discovery(found, rec(("S1-1", "Rare Common", "9 Lane", "US"), ("S1-2", "Rare Common", "9 Lane", "US")), idx["records"], idx["token_df"], config).collect()}
+    assert len(got) == 10
+    for s in ("S1-1", "S1-2"):
+        one = lambda x: tuple(got[s, x][c] for c in ("shared_name", "min_name_df", "name_60_eligible", "name_60_retrievable", "shared_numeric", "numeric_250_retrievable"))
+        assert one("S2-1") == one("S2-4") == (1, 3, True, False, 1, True)  # the query's only term is Rare
+        assert one("S2-2") == (2, 1, True, True, 0, False)
+        assert one("S2-3") == (0, None, False, False, 0, False)
+        assert one("S2-5") == (1, 3, False, False, 0, False)  # frequencies of the query's country, which the target's is not
+        assert got[s, "S2-2"]["signature_equal"] and not got[s, "S2-1"]["signature_equal"]
