@@ -100,14 +100,27 @@ def intersection_reasons(found: DataFrame, terms: DataFrame, records: DataFrame,
     """For links (s1, target), why intersections of shared terms (legacy order) did not find them; a link has all reasons that its pairs of shared terms give. terms: of the queries, usable ones; hits: (source, country, lf, lt, rf, rt, hits)."""
     if config.intersection_scheduler != "legacy":
         raise ValueError("the reasons describe the legacy order")
+    rows = lambda *names: F.array_sort(F.collect_list(F.struct(*names)))
     ranked = terms.withColumn("i", F.row_number().over(Window.partitionBy("s1", "source").orderBy("df", "field", "token")))
+    own = ranked.groupBy("s1", "source").agg(rows("i", "field", "token", "df").alias("terms"))
+    key = ["source", "country", "lf", "lt", "rf", "rt"]
+    tried = probed.select("s1", *key).join(hits.select(*key, "hits").dropDuplicates(key), key, "left").groupBy("s1", "source").agg(rows("lf", "lt", "rf", "rt", "hits").alias("tried"))
+
+    def reason(x: Column, y: Column) -> Column:
+        same = F.filter("tried", lambda p: (p["lf"] == x["field"]) & (p["lt"] == x["token"]) & (p["rf"] == y["field"]) & (p["rt"] == y["token"]))
+        return F.when(x["df"] > config.intersection_anchor_df, "anchor_df_exceeded").when(F.coalesce(F.size(same), F.lit(0)) <= 0, "pair_budget_exceeded").when(F.get(same, F.lit(0))["hits"] > config.max_intersection_hits, "intersection_overflow").otherwise("other_unresolved")
+
+    def cells(first: Column) -> Column:
+        """Of each pair of a query's terms within the limit: their places and the reason."""
+        return F.flatten(F.transform(first, lambda x: F.transform(F.filter(first, lambda y: y["i"] > x["i"]), lambda y: F.struct(x["i"].alias("l"), y["i"].alias("r"), reason(x, y).alias("reason")))))
+
+    own = own.join(tried, ["s1", "source"], "left").withColumn("first", F.filter("terms", lambda x: x["i"] <= config.intersection_terms))
+    own = stored(own.select("s1", "source", "terms", cells(F.col("first")).alias("cells")))
     t = records.select(F.col("entity_id").alias("target"), "source", F.col("name.uniq").alias("tn"), F.col("address.uniq").alias("ta"))
-    mine = found.select("s1", "target").join(t, "target").join(ranked, ["s1", "source"]).filter(F.array_contains(F.when(F.col("field") == "name", F.col("tn")).otherwise(F.col("ta")), F.col("token")))
-    left = mine.select("s1", "target", "source", "country", F.col("i").alias("li"), F.col("field").alias("lf"), F.col("token").alias("lt"), F.col("df").alias("ldf"))
-    right = mine.select("s1", "target", F.col("i").alias("ri"), F.col("field").alias("rf"), F.col("token").alias("rt"))
-    pairs = left.join(right, ["s1", "target"]).filter("li < ri")
-    tried = probed.select("s1", "source", "lf", "lt", "rf", "rt").withColumn("tried", F.lit(True)).join(hits.select("source", "country", "lf", "lt", "rf", "rt", "hits").dropDuplicates(), ["source", "lf", "lt", "rf", "rt"], "left")
-    x = pairs.join(tried.drop("country"), ["s1", "source", "lf", "lt", "rf", "rt"], "left")
-    reason = F.when(F.col("ri") > config.intersection_terms, "term_omitted").when(F.col("ldf") > config.intersection_anchor_df, "anchor_df_exceeded").when(F.col("tried").isNull(), "pair_budget_exceeded").when(F.col("hits") > config.max_intersection_hits, "intersection_overflow").otherwise("other_unresolved")
-    per = x.groupBy("s1", "target").agg(F.array_sort(F.collect_set(reason)).alias("reasons"))
-    return found.select("s1", "target").join(per, ["s1", "target"], "left").withColumn("reasons", F.coalesce("reasons", F.array(F.lit("no_usable_combination"))))
+    x = found.select("s1", "target").join(t, "target", "left").join(own, ["s1", "source"], "left")
+    there = F.filter("terms", lambda x: F.when(x["field"] == "name", F.array_contains("tn", x["token"])).otherwise(F.array_contains("ta", x["token"])))
+    x = x.withColumn("at", F.transform(there, lambda x: x["i"]))
+    met = F.transform(F.filter("cells", lambda c: F.array_contains("at", c["l"]) & F.array_contains("at", c["r"])), lambda c: c["reason"])
+    omitted = F.when((F.size("at") > 1) & (F.array_max("at") > config.intersection_terms), F.array(F.lit("term_omitted"))).otherwise(X.no_words())
+    reasons = F.array_sort(F.array_distinct(F.concat(met, omitted)))
+    return x.select("s1", "target", F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("no_usable_combination"))).alias("reasons"))

@@ -369,3 +369,15 @@ def test_discovery_goes_by_the_order_of_the_query(spark):
         assert one("S2-3") == (0, None, False, False, 0, False)
         assert one("S2-5") == (1, 3, False, False, 0, False)  # frequencies of the query's country, which the target's is not
         assert got[s, "S2-2"]["signature_equal"] and not got[s, "S2-1"]["signature_equal"]
+
+
+def test_reasons_go_by_the_hits_of_the_own_country(spark):
+    records_ = X.represented(records(spark, ("S2-1", "Alpha Beta", "", "US"), ("S2-2", "Alpha", "", "US")))
+    terms = spark.createDataFrame([("S1-1", "S2", "US", "name", w, False, n) for n, w in enumerate(("alpha", "beta"), 1)], "s1 string, source string, country string, field string, token string, numeric boolean, df long")
+    pair = "source string, country string, lf string, lt string, rf string, rt string"
+    probed = spark.createDataFrame([("S1-1", "S2", "US", "name", "alpha", "name", "beta")], "s1 string, " + pair)
+    found = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S2-2"), ("S1-2", "S2-1"), ("S1-1", "S2-9")], "s1 string, target string")
+    for here, want in ((1, "other_unresolved"), (151, "intersection_overflow")):
+        hits = spark.createDataFrame([("S2", c, "name", "alpha", "name", "beta", n) for c, n in (("US", here), ("FR", 152 - here))], pair + ", hits long")
+        got = {(r["s1"], r["target"]): r["reasons"] for r in miss.intersection_reasons(found, terms, records_, probed, hits, presets.IndexConfig()).collect()}
+        assert got == {("S1-1", "S2-1"): [want], ("S1-1", "S2-2"): ["no_usable_combination"], ("S1-2", "S2-1"): ["no_usable_combination"], ("S1-1", "S2-9"): ["no_usable_combination"]}
