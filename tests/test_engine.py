@@ -96,6 +96,20 @@ def test_multipass(spark):
     assert {r["target"] for r in blocking.multipass(q, t).collect()} == {"S2-1", "S2-2"}
 
 
+def test_multipass_scores_equal_texts_once(spark, monkeypatch):
+    """40 copies ask, 60 copies are there: one pair of texts is scored, and all pairs come out; with a pool each gets the first five, with its own raw text."""
+    q = X.represented(records(spark, *[(f"S1-{i:02}", "Acme  LLC" if i % 2 else "ACME llc", "1 Road", "US") for i in range(40)]))
+    t = X.represented(records(spark, *[(f"S2-{i:02}", "Acme LLC", "1 Road", "US") for i in range(60)]))
+    seen, summarised = [], blocking.R.summarised
+    monkeypatch.setattr(blocking.R, "summarised", lambda pairs: seen.append(pairs) or summarised(pairs))
+    every = blocking.multipass(q, t, presets.MultiPassConfig(pool=1 << 30)).select("s1", "target")
+    assert every.distinct().count() == every.count() == 40 * 60 and seen[0].count() == 1
+    got = blocking.multipass(q, t, presets.MultiPassConfig(pool=5)).select("s1", "target", "qn.raw", "exact_name_rank").collect()
+    for e in [f"S1-{i:02}" for i in range(40)]:
+        assert sorted((r["target"], r["exact_name_rank"]) for r in got if r["s1"] == e) == [(f"S2-{i:02}", i + 1) for i in range(5)]
+        assert {r["raw"] for r in got if r["s1"] == e} == {"Acme  LLC" if int(e[-1]) % 2 else "ACME llc"}
+
+
 def test_index_counts_by_country(spark):
     idx = index.build(records(spark, ("S2-1", "Rare Rare Trading", "", "France"), ("S2-2", "Rare A", "", "Elsewhere"), ("S2-3", "Rare B", "", "Elsewhere")))
     df = {r["country"]: r["df"] for r in idx["token_df"].filter("token = 'rare'").collect()}
