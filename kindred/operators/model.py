@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.operators.features import ALL, vectors
+from kindred.sources.store import stored
 
 
 def balanced(labelled: DataFrame) -> DataFrame:
@@ -33,9 +34,14 @@ def boosted(seed: int = 2030, rounds: int = 160, depth: int = 5) -> Pipeline:
     return Pipeline(stages=[GBTClassifier(featuresCol="features", weightCol="weight", stepSize=0.08, maxIter=rounds, maxDepth=depth, minInstancesPerNode=30, maxBins=256, seed=seed)])
 
 
+#: Values (rows times features) that a task of a fit goes over in each of its rounds.
+CELLS = 4_000_000
+
+
 def fit(pairs: DataFrame, pipeline: Pipeline, names: tuple[str, ...] = ALL) -> PipelineModel:
-    """pairs: features by name and label. The training summaries are dropped: they hold the session, which can't travel to tasks once it has observed a query."""
-    fitted = pipeline.fit(balanced(vectors(pairs, names)))
+    """pairs: features by name and label. A fit reads its rows some hundred times: they are stored as vectors first, and come in as few tasks as CELLS allows, for a round over small tasks is all overhead. The training summaries are dropped: they hold the session, which can't travel to tasks once it has observed a query."""
+    rows = stored(vectors(pairs, names).select("label", "features"))
+    fitted = pipeline.fit(balanced(rows).coalesce(max(1, -(-rows.count() * len(names) // CELLS))))
     for stage in fitted.stages:
         if getattr(stage, "hasSummary", False):
             stage._java_obj.setSummary(stage._java_obj.getClass().getClassLoader().loadClass("scala.None$").getField("MODULE$").get(None))

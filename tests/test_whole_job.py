@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred import queries as Q
-from kindred.operators import decide, features, metrics
+from kindred.operators import decide, features, metrics, model
 from kindred.plans import presets, proxy
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
@@ -131,3 +131,19 @@ def test_secondary_texts_are_joined_before_features(spark, copies, monkeypatch):
     monkeypatch.setattr(features, "with_first", lambda pairs: seen.append({"qn2", "tn2"} <= set(pairs.columns)) or first(pairs))
     Q.QUERIES["x_83_features"](spark, copies)
     assert seen == [True]
+
+
+def test_rounds_of_a_fit_have_few_tasks(spark):
+    """A fit goes over stored vectors, all of its rows and nothing else, in one task while they are few."""
+    seen = []
+
+    class Watched:
+        stages = []
+
+        def fit(self, rows):
+            seen.append((rows.rdd.getNumPartitions(), rows.count(), sorted(rows.columns), "Scan parquet" in rows._jdf.queryExecution().executedPlan().toString()))
+            return self
+
+    pairs = spark.range(400).repartition(16).selectExpr("id % 2 AS label", "id AS x", "id AS unused")
+    model.fit(pairs, Watched(), ("x",))
+    assert seen == [(1, 400, ["features", "label", "weight"], True)]
