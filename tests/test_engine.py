@@ -116,6 +116,14 @@ def test_index_counts_by_country(spark):
     assert df == {"France": 1, "Elsewhere": 2}
 
 
+def test_tables_of_records_are_not_broadcast(spark):
+    """Files of equal texts are small, so that by their size Spark would send millions of rows through the driver."""
+    idx = index.materialised(index.build(records(spark, *[(f"S2-{i}", "Acme Trading", "1 Road", "US") for i in range(50)])))
+    for name, key in (("keys", "value"), ("postings", "token"), ("records", "entity_id")):
+        plan = spark.createDataFrame([("acme",)], f"{key} string").join(idx[name], key)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_intersection_and_overflow(spark):
     t = records(spark, *[(f"S2-{i}", f"Alpha Beta {c}", "", "US") for i, c in enumerate("wxyz")])
     q = X.represented(records(spark, ("S1-1", "Alpha Beta Unknown", "", "US")))
