@@ -64,3 +64,41 @@ def test_common_subsequence_by_brute_force():
     for _ in range(300):
         a, b = ("".join(r.choices("abc", k=r.randint(0, 12))) for _ in range(2))
         assert fuzzy._common(a, b) == slow(a, b)
+
+
+def test_measures_of_many_pairs():
+    """To the bit those of one pair at a time: short and long texts, letters beyond the basic plane, empty sides, chunks of a few pairs."""
+    import random
+
+    r = random.Random(2)
+    text = lambda letters, most: "".join(r.choices(letters, k=r.randint(0, most)))
+    for letters, most in (("ab ", 12), ("abcdefgh  é日𝒳", 70), ("abc  ", 140), ("ab ", 300)):
+        a, b = [[text(letters, most) for _ in range(60)] for _ in range(2)]
+        a, b = [*a, *a[:30], "", "a", "", "b a"], [*b, *(x[: len(x) // 2] + "a" + x[len(x) // 2 + 1 :] for x in a[:30]), "", "", "a", "a b"]
+        for name, one in fuzzy.MEASURES.items():
+            assert list(fuzzy.OF_ALL[name](a, b)) == [one(x, y) for x, y in zip(a, b)], (name, letters)
+
+
+def test_pairs_in_two_places_are_measured_once(spark, monkeypatch):
+    """A name without a legal form is its own core, so both have the same pair."""
+    asked = []
+    monkeypatch.setitem(fuzzy.OF_ALL, "ratio", lambda a, b: asked.append(len(a)) or fuzzy.ratio_all(a, b))
+    seen = {}
+    monkeypatch.setattr(F, "pandas_udf", lambda f, *_: lambda *columns: seen.setdefault("f", f))
+    fuzzy.similarities({"name": (F.col("a"), F.col("b"), "ratio"), "core": (F.col("a"), F.col("b"), "ratio")})
+    import pandas as pd
+
+    x, y = pd.Series(["acme", "acme", "beta", None]), pd.Series(["acne", "acne", "bet", "x"])
+    out = seen["f"](x, y, x, y)
+    assert asked == [3] and out["name_ratio"].tolist() == out["core_ratio"].tolist() == [75.0, 75.0, fuzzy.ratio("beta", "bet"), 0.0]
+
+
+def test_grams_and_words_of_a_pair_are_made_once(spark):
+    """Expressions that several features read are columns of their own below them in the plan."""
+    from kindred.operators import retrieve
+
+    row = [(*["Acme One"] * 4, *["acme one"] * 4)]
+    names = [f"_{t}_{form}" for form in ("raw", "norm") for t in retrieve.TEXTS]
+    p = retrieve.expanded(spark.createDataFrame(row, names)).select(X.jaccard(F.col("qn.uniq"), F.col("tn.uniq")).alias("j"), X.overlap(F.col("qn.uniq"), F.col("tn.uniq")).alias("o"), F.size("qn.uniq").alias("n"))
+    plan = p._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array") == 2 and p.first()[:] == (1.0, 1.0, 2)
